@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, chat_format, curriculum_mix, quality_rules
+from . import best_fit_packing, chat_format, curriculum_mix, license_scan, quality_rules
 
-MODULES = [best_fit_packing, chat_format, curriculum_mix, quality_rules]
+MODULES = [best_fit_packing, chat_format, curriculum_mix, license_scan, quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
