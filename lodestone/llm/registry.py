@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, best_fit_packing, chat_format, curriculum_mix, license_scan, pii_sanitiser, quality_rules, url_filter
+from . import ann_tree, best_fit_packing, chat_format, chosen_path, curriculum_mix, license_scan, pii_sanitiser, quality_rules, url_filter
 
-MODULES = [ann_tree, best_fit_packing, chat_format, curriculum_mix, license_scan, pii_sanitiser, quality_rules, url_filter]
+MODULES = [ann_tree, best_fit_packing, chat_format, chosen_path, curriculum_mix, license_scan, pii_sanitiser, quality_rules, url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
