@@ -16,7 +16,9 @@ are ordinary text.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,30 +35,32 @@ SEPARATOR = 0
 #: Words kept per worker with their ids, until they are forgotten and learnt again.
 CACHE_WORDS = 400_000
 _WHITE = "\t-\r \x85\xa0  -     　"
-#: Cuts where the byte-level pre-tokeniser cuts around white space, so that each part is encoded as it is in its text.
-_PARTS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
+#: Cuts only where the byte-level pre-tokeniser cuts (before and after white space, and between a Latin word and ASCII
+#: characters after it), so that each part is encoded as it is in its text.
+_PARTS = re.compile(f" ?[{_LATIN}]++(?![^\\x00-\\x7F])| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
-class _Encoder(dict):
-    """Part of a text -> its ids as little-endian 32-bit bytes, through the tokenizers library."""
+class _Encoder:
+    """Texts -> their ids as little-endian 32-bit bytes, through the tokenizers library; parts seen before are kept."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def __missing__(self, part: str) -> bytes:
-        out = np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(part) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[part] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _PARTS.findall(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [_PARTS.findall(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = list(set().union(*parts).difference(self.known))
+        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            ids = e.ids
+            self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 @lru_cache(maxsize=2)
@@ -64,6 +68,16 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+def _parts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``most`` characters."""
+    lo = held = 0
+    for i, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= most or i == len(texts):
+            yield lo, i
+            lo, held = i, 0
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -81,20 +95,16 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
         end = np.uint32(separator).tobytes()
         encoder = _encoder(path)
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encoder.encode(text if isinstance(text, str) else "") + end
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                n = len(ids) // 4
-                bounds = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    rows.append((doc_id, k, a, b - a, ids[4 * a : 4 * b]))
-                held += len(ids)
-                if held > 8_000_000:
-                    yield _frame(rows)
-                    rows, held = [], 0
-            yield _frame(rows)
+            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            keys = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
+            for lo, hi in _parts(texts):
+                rows: list[tuple] = []
+                for doc_id, ids in zip(keys[lo:hi], encoder.encode(texts[lo:hi])):
+                    ids += end
+                    n = len(ids) // 4
+                    bounds = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
+                    rows += [(doc_id, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+                yield _frame(rows)
 
     def _frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
