@@ -21,6 +21,7 @@ columns are carried by ``keep_representatives``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -28,10 +29,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_bounded, table, written
+from .common import join_bounded, table, words, written
 from .components import connected_components
 
 SHINGLE, RECALL, B1 = 5, 0.99, 0.8
@@ -69,10 +70,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, n: int = SHINGLE) -> tuple[str, np.ndarray]:
     """The key of a text's words and its sorted distinct shingle hashes."""
-    import xxhash
-
     words = _WORDS.findall(text) if isinstance(text, str) else []
-    key = xxhash.xxh3_128_hexdigest("\x00".join(words))
+    key = hashlib.md5("\x00".join(words).encode()).hexdigest()
     w = np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
     if len(w) < n:
         w = np.concatenate([w, np.arange(n - len(w), dtype=np.uint64)])
@@ -82,6 +81,11 @@ def shingles(text: str | None, n: int = SHINGLE) -> tuple[str, np.ndarray]:
     return key, np.unique(_mix(h))
 
 
+def text_key(text: Column) -> Column:
+    """The same key by Spark functions."""
+    return F.md5(F.array_join(words(text), "\x00"))
+
+
 def runs_for(depth: int, recall: float = RECALL) -> int:
     """Runs until a pair at the threshold shares a path in at least one with probability ``recall``.
 
@@ -280,19 +284,13 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def similar_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, key, class_id, n_links, n_texts, n_copies for every row of docs (doc_id, text).
+    """doc_id, key, class_id, class_key, n_links, n_texts, n_copies for every row of docs (doc_id, text).
 
     n_links counts the other documents with a similarity of 0.8 or more, copies included; n_texts the other texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def key_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": [xxhash.xxh3_128_hexdigest("\x00".join(_WORDS.findall(t) if isinstance(t, str) else [])) for t in b["text"]]})
-
-    keyed = written(docs.mapInPandas(key_of, "doc_id long, key string"), "keys")
+    keyed = written(docs.select("doc_id", text_key(F.col("text")).alias("key")), "keys")
     texts = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     comps = written(connected_components(candidate_edges(docs, texts.count())), "candidates")
     members = comps.join(texts, F.col("node") == F.col("key")).select(F.col("rep").alias("doc_id"), "key", "root", "copies")
@@ -321,21 +319,29 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     classes = connected_components(verified.filter(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("node", "key")
     named = texts.join(classes, "key").select("key", "root", "rep", "copies")
     first = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = named.join(first, "root").join(counts, "key", "left").select("key", "class_id", "copies", "n_texts", "other_docs")
-    alone = texts.filter(F.col("copies") > 1).join(classes, "key", "left_anti").select("key", F.col("rep").alias("class_id"), "copies", F.lit(0).cast("long").alias("n_texts"), F.lit(0).cast("long").alias("other_docs"))
+    linked = named.join(first, "root").join(counts, "key", "left").select("key", "class_id", F.col("root").alias("class_key"), "copies", "n_texts", "other_docs")
+    alone = texts.filter(F.col("copies") > 1).join(classes, "key", "left_anti").select("key", F.col("rep").alias("class_id"), F.col("key").alias("class_key"), "copies", F.lit(0).cast("long").alias("n_texts"), F.lit(0).cast("long").alias("other_docs"))
     known = written(linked.unionByName(alone), "classes")
     out = join_bounded(keyed, known, "key")
     copies = F.coalesce("copies", F.lit(1))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select("doc_id", "key", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (zero("other_docs") + copies - 1).cast("long").alias("n_links"), zero("n_texts").alias("n_texts"), copies.cast("long").alias("n_copies"))
+    return out.select("doc_id", "key", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), (zero("other_docs") + copies - 1).cast("long").alias("n_links"), zero("n_texts").alias("n_texts"), copies.cast("long").alias("n_copies"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class: that with the smallest doc_id, and of repeated rows the first by text and source."""
-    dropped = similar_texts(docs).filter((F.col("n_links") > 0) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    dropped = written(dropped.withColumn("_drop", F.lit(True)), "dropped")
-    kept = join_bounded(docs, dropped, "doc_id", spread=1, limit=SLIM_ROWS).filter(F.col("_drop").isNull()).drop("_drop")
-    return kept
+    """One row of docs for each class, one with the smallest doc_id. Rows without links pass as they are.
+
+    Only the rows that stand for others are shuffled with their texts, to take one of repeated rows.
+    """
+    names = docs.columns
+    row = lambda: F.concat_ws(":", F.col("doc_id").cast("string"), "_text_key").alias("_row")
+    found = similar_texts(docs).filter(F.col("n_links") > 0).withColumn("_text_key", F.col("key"))
+    found = found.select(row(), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("_first"), F.col("class_key").alias("_class")).distinct()
+    keyed = docs.withColumn("_text_key", text_key(F.col("text")))
+    met = join_bounded(keyed.withColumn("_row", row()), written(found, "linked"), "_row", spread=1, limit=SLIM_ROWS)
+    single = met.filter(F.col("_first").isNull())
+    first = met.filter("_first").dropDuplicates(["_class"])
+    return single.select(*names).unionByName(first.select(*names))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
