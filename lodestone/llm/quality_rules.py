@@ -18,15 +18,20 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, join_bounded, table, words, written
 
-#: Host rules: name -> (columns of ``measure``) -> failed.
+#: Host rules: name -> a getter of metrics -> failed.
 HOST_RULES = {
-    "symbols": lambda: F.col("n_symbols") > F.col("n_words") * 0.1,
-    "duplicate_lines": lambda: F.col("n_dup_lines") > F.col("n_lines") * 0.3,
-    "word_length": lambda: (F.col("word_chars") < F.col("n_words") * 3) | (F.col("word_chars") > F.col("n_words") * 10),
+    "symbols": lambda m: m("n_symbols") > m("n_words") * 0.1,
+    "duplicate_lines": lambda m: m("n_dup_lines") > m("n_lines") * 0.3,
+    "word_length": lambda m: (m("word_chars") < m("n_words") * 3) | (m("word_chars") > m("n_words") * 10),
 }
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it or the optimiser moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _covered(positions: Column) -> Column:
     """Words under three-word windows at the sorted positions."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
@@ -34,27 +39,42 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(positions, zero, step, lambda a: a["n"])
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Adds the five metrics, n_lines and base_failed to every row of docs."""
-    text = F.coalesce("text", F.lit(""))
-    split = docs.withColumn("_w", words(F.col("text")))
+def _repeated(w: Column) -> Column:
+    """Words in three-word windows found twice: windows are sorted by hash, so equal ones are neighbours."""
+    window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
+    runs = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))
+
+    def twice(r: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(r, i)["h"] == x["h"], F.lit(False))
+        return F.transform(F.filter(r, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"])
+
+    return F.when(F.size(w) >= 3, _let(runs, lambda r: _covered(F.sort_array(twice(r))))).otherwise(0)
+
+
+def metrics(text: Column) -> Column:
+    """The metrics of a text and n_lines, as a struct of longs."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    counted = split.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "_lines": lines,
-        "_runs": F.sort_array(F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p"))))),
-    })
-    same = lambda x, i: F.coalesce(F.get("_runs", i)["h"] == x["h"], F.lit(False))
-    kept = F.transform(F.filter("_runs", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"])
-    seen = counted.withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(_covered(F.sort_array(kept)), F.lit(0)).cast("long"),
-    })
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return seen.withColumn("base_failed", failed).drop("_w", "_lines", "_runs")
+    of_words = _let(words(text), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r")))
+    of_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+    return _let(F.struct(of_words.alias("w"), of_lines.alias("l")), lambda m: F.struct(
+        m["w"]["n"].cast("long").alias("n_words"),
+        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        m["l"]["d"].cast("long").alias("n_dup_lines"),
+        m["w"]["r"].cast("long").alias("n_repeat_words"),
+        m["l"]["n"].cast("long").alias("n_lines"),
+    ))
+
+
+def base_rule(m) -> Column:
+    return (m("n_words") < 50) | (m("n_repeat_words") * 100 > m("n_words") * 50)
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id and source with the metrics, n_lines and base_failed."""
+    ids = [c for c in ("doc_id", "source") if c in docs.columns]
+    return docs.select(*ids, metrics(F.col("text")).alias("_m")).select(*ids, "_m.*").withColumn("base_failed", base_rule(F.col))
 
 
 def host_verdicts(measured: DataFrame, max_rate: float = 0.02) -> DataFrame:
@@ -63,7 +83,7 @@ def host_verdicts(measured: DataFrame, max_rate: float = 0.02) -> DataFrame:
     The prior of a rule has the mean m of all documents and the variance v of the sources' rates:
     a = m*s, b = (1-m)*s with s = m*(1-m)/v - 1, kept within 1 and 10,000.
     """
-    fails = {f"fail_{k}": F.sum(rule().cast("long")) for k, rule in HOST_RULES.items()}
+    fails = {f"fail_{k}": F.sum(rule(F.col).cast("long")) for k, rule in HOST_RULES.items()}
     hosts = measured.groupBy("source").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in fails.items()])
     stats = []
     for k in HOST_RULES:
@@ -85,14 +105,13 @@ def judge(measured: DataFrame, max_rate: float = 0.02) -> DataFrame:
     judged = join_bounded(measured, verdicts, "source")
     rejected = F.lit(False)
     for k, rule in HOST_RULES.items():
-        rejected = rejected | (rule() & F.col(f"enforce_{k}"))
+        rejected = rejected | (rule(F.col) & F.col(f"enforce_{k}"))
     return judged.withColumn("kept", ~F.col("base_failed") & ~rejected).drop(*[f"enforce_{k}" for k in HOST_RULES])
 
 
 def quality(docs: DataFrame, max_rate: float = 0.02) -> DataFrame:
     """doc_id, source, the metrics, base_failed and kept, one row per row of docs. Texts are measured once."""
-    slim = measure(docs.select("doc_id", "text", "source")).drop("text")
-    return judge(written(slim, "quality"), max_rate)
+    return judge(written(measure(docs), "quality"), max_rate)
 
 
 def filter_quality(docs: DataFrame, max_rate: float = 0.02) -> DataFrame:
@@ -101,14 +120,18 @@ def filter_quality(docs: DataFrame, max_rate: float = 0.02) -> DataFrame:
     The host verdicts need the measures of all documents first; the second pass measures a document again beside its
     text, so that no text is shuffled.
     """
-    names = docs.columns
-    verdicts = host_verdicts(measure(docs.select("text", "source")).drop("text"), max_rate)
+    verdicts = host_verdicts(measure(docs.select("text", "source")), max_rate)
     verdicts = written(verdicts.drop("n", *[f"rate_{k}" for k in HOST_RULES]), "hosts")
-    judged = join_bounded(measure(docs), verdicts, "source")
-    rejected = F.lit(False)
-    for k, rule in HOST_RULES.items():
-        rejected = rejected | (rule() & F.col(f"enforce_{k}"))
-    return judged.filter(~F.col("base_failed") & ~rejected).select(*names)
+    judged = join_bounded(docs, verdicts, "source")
+
+    def keep(m: Column) -> Column:
+        get = lambda c: m[c]
+        rejected = base_rule(get)
+        for k, rule in HOST_RULES.items():
+            rejected = rejected | (rule(get) & F.col(f"enforce_{k}"))
+        return ~rejected
+
+    return judged.filter(_let(metrics(F.col("text")), keep)).select(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
