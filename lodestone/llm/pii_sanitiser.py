@@ -140,26 +140,32 @@ def disclosures(docs: DataFrame, detected: DataFrame, min_contexts: int = MIN_CO
     pairs = mentions.select("row_key", "entity", "context", F.explode("terms").alias("t")).select("row_key", "entity", "context", F.col("t.term").alias("term"))
     # Distinct first, so that a hot pair is one row per document and per context before it is counted.
     by_context = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    by_context = written(by_context, "pii-pairs")
     df_pair = pairs.select("entity", "term", "row_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair"))
     df_entity = mentions.select("entity", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    terms = by_context.select("term").distinct()
-    n_terms = terms.count()
+    df_near = pairs.select("term", "row_key").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
     total = docs.count()
+    d = F.lit(float(max(total, 2)))
+
+    def ratio(df_term: str):
+        pmi = F.log2(F.col("df_pair") * d / (F.greatest(F.col(df_term), F.col("df_pair")) * F.col("df_entity")))
+        ic = F.log2(d / F.col("df_entity"))
+        return F.when(ic > 0, pmi / ic).otherwise(0.0)
+
+    # A term is in at least as many documents as have it near a mention: that bounds the ratio from above, so the common
+    # words are out before the words of the corpus are counted.
+    possible = by_context.join(df_pair, ["entity", "term"]).join(df_entity, "entity").join(df_near, "term").filter(ratio("df_near") >= threshold)
+    possible = written(possible, "pii-pairs")
+    terms = possible.select("term").distinct()
+    n_terms = terms.count()
     if n_terms == 0:
         df_term = terms.withColumn("df_term", F.lit(0).cast("long"))
     else:
-        said = docs.select(row_key().alias("row_key"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}\p{N}_'-]*"), 0)).alias("ws")).select("row_key", F.explode("ws").alias("term"))
-        wanted = F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms
-        if n_terms > BROADCAST_ROWS:
-            df_term = said.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term", "left_semi")
+        said = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}\p{N}_'-]*"), 0)).alias("ws")).select(F.explode("ws").alias("term"))
+        if n_terms <= BROADCAST_ROWS:
+            df_term = said.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
         else:
-            df_term = said.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    stats = by_context.join(df_pair, ["entity", "term"]).join(df_entity, "entity").join(df_term, "term")
-    d = F.lit(float(max(total, 2)))
-    pmi = F.log2(F.col("df_pair") * d / (F.greatest(F.col("df_term"), F.col("df_pair")) * F.col("df_entity")))
-    ic = F.log2(d / F.col("df_entity"))
-    return stats.withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("ratio") >= threshold)
+            df_term = said.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term", "left_semi")
+    return possible.join(df_term, "term").withColumn("ratio", ratio("df_term")).filter(F.col("ratio") >= threshold)
 
 
 def find_spans(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = GENERALISE) -> DataFrame:
