@@ -81,6 +81,10 @@ def shingles(text: str | None, n: int = SHINGLE) -> tuple[str, np.ndarray]:
     return key, np.unique(_mix(h))
 
 
+def text_id(key: str) -> int:
+    return int(key[:16], 16) - 2**63
+
+
 def text_key(text: Column) -> Column:
     """The same key by Spark functions."""
     return F.md5(F.array_join(words(text), "\x00"))
@@ -139,29 +143,31 @@ def sketches(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(batch: pd.DataFrame, most: int = 400_000) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
-    """Row numbers, keys, tokens end to end and sizes, in parts of about ``most`` tokens."""
-    rows: list[int] = []
+def _sets(batch: pd.DataFrame, seen: set[bytes], most: int = 400_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Keys, tokens end to end and sizes of the texts not seen yet, in parts of about ``most`` tokens."""
     keys: list[str] = []
     parts: list[np.ndarray] = []
     held = 0
-    for i, text in enumerate(batch["text"]):
+    for text in batch["text"]:
+        text = text if isinstance(text, str) else ""
+        if (same := hashlib.md5(text.encode()).digest()) in seen:
+            continue
+        seen.add(same)
         key, t = shingles(text)
-        rows.append(i)
         keys.append(key)
         parts.append(t)
         held += len(t)
         if held >= most:
-            yield rows, keys, np.concatenate(parts), np.array([len(p) for p in parts])
-            rows, keys, parts, held = [], [], [], 0
-    if rows:
-        yield rows, keys, np.concatenate(parts), np.array([len(p) for p in parts])
+            yield keys, np.concatenate(parts), np.array([len(p) for p in parts])
+            keys, parts, held = [], [], 0
+    if keys:
+        yield keys, np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def _link_bucket(keys: np.ndarray, sk: np.ndarray, link: float) -> tuple[list[tuple[str, str]], list[int]]:
+def _link_bucket(keys: np.ndarray, sk: np.ndarray, link: float) -> tuple[list[tuple[int, int]], list[int]]:
     """Edges of a bucket's members to leaders, and the leaders' numbers."""
     free = np.ones(len(keys), dtype=bool)
-    edges: set[tuple[str, str]] = set()
+    edges: set[tuple[int, int]] = set()
     leaders = []
     for i in range(len(keys)):
         if not free[i]:
@@ -177,52 +183,55 @@ def _link_bucket(keys: np.ndarray, sk: np.ndarray, link: float) -> tuple[list[tu
 
 
 def candidate_edges(docs: DataFrame, texts: int) -> DataFrame:
-    """(a, b): keys of texts that a bucket connects, from (doc_id, text) rows."""
+    """(a, b): ids of texts that a bucket connects, from (doc_id, text) rows. Texts that share an id only add candidates."""
     depth = depth_for(texts)
     runs = runs_for(depth)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()  # a text that a task has met before is a copy
         for batch in batches:
-            for _, keys, tokens, sizes in _sets(batch):
+            for keys, tokens, sizes in _sets(batch, seen):
+                ids = np.array([text_id(k) for k in keys], dtype=np.int64)
                 at, path = chosen_paths(tokens, sizes, depth, runs)
-                sk = sketches(tokens, sizes)
-                frame = pd.DataFrame({"path": path.view(np.int64), "key": np.array(keys, dtype=object)[at], "sketch": [sk[i].tobytes() for i in at]})
-                yield frame.drop_duplicates(["path", "key"])
-
-    rows = docs.select("text").mapInPandas(split, "path long, key string, sketch binary").withColumn("chunk", F.lit(0))
-    rows = rows.groupBy("path", "key").agg(F.first("sketch").alias("sketch"))  # copies meet once in a bucket
-    sized = written(rows, "paths")
-    counts = sized.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    full = sized.join(counts, "path")
+                yield pd.DataFrame({"path": path.view(np.int64), "id": ids[at], "sketch": None})
+                yield pd.DataFrame({"path": pd.array([None] * len(ids), dtype="Int64"), "id": ids, "sketch": [x.tobytes() for x in sketches(tokens, sizes)]})
+
+    rows = written(docs.select("text").mapInPandas(split, "path long, id long, sketch binary"), "paths")
+    paths = rows.filter(F.col("path").isNotNull()).select("path", "id")
+    # Most paths have one text; only the others go on, and only then with their sketches.
+    shared = paths.groupBy("path").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter(F.col("lo") < F.col("hi")).select("path")
+    full = written(paths.join(shared, "path").distinct(), "buckets")
+    counts = full.groupBy("path").agg(F.count("*").alias("n"))
+    sketch = rows.filter(F.col("path").isNull()).groupBy("id").agg(F.first("sketch").alias("sketch"))
     # Small buckets go to a task many at a time; a large one is cut into chunks.
-    cut = full.withColumn("chunk", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK)).cast("int"))
+    cut = full.join(counts, "path").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int")).join(sketch, "id")
 
     def buckets(link: float):
         def brute(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b, lead = [], [], []
-            pdf = pdf.sort_values(["path", "chunk", "key"], kind="stable")
+            pdf = pdf.sort_values(["path", "chunk", "id"], kind="stable")
             bounds = np.flatnonzero(((pdf["path"] != pdf["path"].shift()) | (pdf["chunk"] != pdf["chunk"].shift())).to_numpy())
             for lo, hi in zip(bounds, [*bounds[1:], len(pdf)]):
-                keys = pdf["key"].to_numpy()[lo:hi]
+                keys = pdf["id"].to_numpy()[lo:hi]
                 sk = np.frombuffer(b"".join(pdf["sketch"].iloc[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1)
                 edges, leaders = _link_bucket(keys, sk, link)
                 a += [x for x, _ in edges]
                 b += [y for _, y in edges]
                 lead += [lo + i for i in leaders] if pdf["n"].iloc[lo] > CHUNK else []
             top = pdf.iloc[lead]
-            edge = pd.DataFrame({"a": a, "b": b}, dtype=object).drop_duplicates()
+            edge = pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64")}).drop_duplicates()
             edge["path"], edge["sketch"] = 0, None
-            kept = pd.DataFrame({"a": top["key"], "b": None, "path": top["path"], "sketch": top["sketch"]})
+            kept = pd.DataFrame({"a": top["id"].astype("Int64"), "b": pd.array([None] * len(top), dtype="Int64"), "path": top["path"], "sketch": top["sketch"]})
             return pd.concat([edge, kept]) if len(kept) else edge
 
         return brute
 
-    out = "a string, b string, path long, sketch binary"
+    out = "a long, b long, path long, sketch binary"
     cells = cut.withColumn("cell", F.when(F.col("n") > CHUNK, F.xxhash64("path", "chunk")).otherwise(F.pmod(F.xxhash64("path"), F.lit(max(16, texts * runs // 20_000)))))
     found = written(cells.groupBy("cell").applyInPandas(buckets(LINK), out), "bucket-edges")
     edges = found.filter(F.col("b").isNotNull()).select("a", "b")
     # Leaders of a bucket's chunks meet once more, at the distance that two leaders of linked texts may have.
-    leaders = found.filter(F.col("b").isNull()).select("path", F.col("a").alias("key"), "sketch").withColumn("chunk", F.lit(0)).withColumn("n", F.lit(0)).withColumn("cell", F.col("path"))
+    leaders = found.filter(F.col("b").isNull()).select("path", F.col("a").alias("id"), "sketch").withColumn("chunk", F.lit(0)).withColumn("n", F.lit(0)).withColumn("cell", F.col("path"))
     again = leaders.groupBy("cell").applyInPandas(buckets(LINK - 0.1), out).select("a", "b")
     return edges.unionByName(again).distinct()
 
@@ -251,6 +260,7 @@ def _overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
 
 def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     """Exact links of the components (or block pairs) of a bundle: counts per text, and a forest of the links."""
+    pdf = pdf.drop_duplicates(["cell", "side", "key"], ignore_index=True)  # repeated rows, one from each task
     keys, sides, one, copies = pdf["key"].to_numpy(), pdf["side"].to_numpy(), pdf["one"].to_numpy(), pdf["copies"].to_numpy()
     sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["tokens"]]
     rows: list[tuple] = []
@@ -292,21 +302,27 @@ def similar_texts(docs: DataFrame) -> DataFrame:
 
     keyed = written(docs.select("doc_id", text_key(F.col("text")).alias("key")), "keys")
     texts = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
+    # text_id of the key: its first 64 bits, less 2**63
+    id_of = (F.conv(F.substring("key", 1, 16), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
     comps = written(connected_components(candidate_edges(docs, texts.count())), "candidates")
-    members = comps.join(texts, F.col("node") == F.col("key")).select(F.col("rep").alias("doc_id"), "key", "root", "copies")
+    members = comps.join(texts.withColumn("node", id_of), "node").select(F.col("rep").alias("doc_id"), "key", "root", "copies")
     sizes = comps.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = written(members.join(sizes, "root"), "wanted")
+    wanted = written(members.join(sizes, "root").withColumn("root", F.col("root").cast("string")), "wanted")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
         for b in batches:
             found = [shingles(t) for t in b["text"]]
+            keep = []
+            for (k, _), key in zip(found, b["key"]):
+                keep.append(k == key and k not in seen)
+                seen.add(k)
             out = b.drop(columns=["text", "doc_id"])
             out["tokens"] = [s.tobytes() for _, s in found]
-            yield out[[k == key for (k, _), key in zip(found, b["key"])]]
+            yield out[keep]
 
     met = join_bounded(docs, wanted, "doc_id", "inner", spread=1, limit=SLIM_ROWS)
     loaded = met.select("doc_id", "text", "key", "root", "copies", "n").mapInPandas(load, "key string, root string, copies long, n long, tokens binary")
-    loaded = loaded.dropDuplicates(["key"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     # A text of block i meets every block j; the pair (i, j) is one cell, with i on side 0.
