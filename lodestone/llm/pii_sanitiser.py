@@ -9,7 +9,7 @@
    term is removed from around the mentions of e, below that it is replaced by its shape.
 
 Only sums leave the tasks: pairs are counted with map-side combination, and the document frequencies of the candidate
-terms are counted in a second pass over all words, semi-joined to the candidates before any shuffle if they are few.
+terms are counted in a second pass over all words.
 
 Defined cases: a null text is empty; a null doc_id is a document of its own; repeated rows are scanned one by one and
 each counts as a document; a match that fails its check is dropped without a second try; an empty table gives no rows; other
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_bounded, table, written
+from .common import join_bounded, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, MIN_CONTEXTS, GENERALISE, REMOVE = 5, 3, 0.8, 0.95
@@ -156,15 +156,9 @@ def disclosures(docs: DataFrame, detected: DataFrame, min_contexts: int = MIN_CO
     possible = by_context.join(df_pair, ["entity", "term"]).join(df_entity, "entity").join(df_near, "term").filter(ratio("df_near") >= threshold)
     possible = written(possible, "pii-pairs")
     terms = possible.select("term").distinct()
-    n_terms = terms.count()
-    if n_terms == 0:
-        df_term = terms.withColumn("df_term", F.lit(0).cast("long"))
-    else:
-        said = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}\p{N}_'-]*"), 0)).alias("ws")).select(F.explode("ws").alias("term"))
-        if n_terms <= BROADCAST_ROWS:
-            df_term = said.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-        else:
-            df_term = said.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term", "left_semi")
+    said = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}\p{N}_'-]*"), 0)).alias("ws")).select(F.explode("ws").alias("term"))
+    # Counted before the join, with map-side combination: what is joined is a row per word, not one per occurrence.
+    df_term = said.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term", "left_semi")
     return possible.join(df_term, "term").withColumn("ratio", ratio("df_term")).filter(F.col("ratio") >= threshold)
 
 
