@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import retrieval
+from .operators import catalog, chunking, dialogue, refresh, retrieval, urls
+from .streaming import limits
 
-MODULES = [retrieval]
+MODULES = [catalog, chunking, dialogue, limits, refresh, retrieval, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
