@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..sources.tables import table
 
@@ -56,7 +55,8 @@ def anchored_rate_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_counts(spark: SparkSession, path: str, schema, minutes: int = 60, late: str = "10 minutes") -> DataFrame:
     """The same windows over a stream of Parquet files, with a watermark."""
-    return windowed_counts(spark.readStream.schema(schema).parquet(path).withWatermark("ts", late), minutes)
+    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(events.withWatermark("ts", late), minutes)
 
 
 QUERIES = {"rate_limit_windows": rate_limit_windows, "token_usage_rollup": token_usage_rollup, "session_gaps": session_gaps, "anchored_rate_windows": anchored_rate_windows}
