@@ -164,22 +164,29 @@ def _sets(batch: pd.DataFrame, seen: set[bytes], most: int = 400_000) -> Iterato
         yield keys, np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def _link_bucket(keys: np.ndarray, sk: np.ndarray, link: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges of a bucket's members to leaders, and the leaders' numbers."""
-    free = np.ones(len(keys), dtype=bool)
-    edges: set[tuple[int, int]] = set()
+def _link_bucket(sk: np.ndarray, link: float) -> tuple[np.ndarray, list[int]]:
+    """For each member the first of those it is connected with, and the leaders."""
+    label = np.arange(len(sk))
+    free = np.ones(len(sk), dtype=bool)
     leaders = []
-    for i in range(len(keys)):
+    for i in range(len(sk)):
         if not free[i]:
             continue
         same = (sk == sk[i]).mean(1)
         free &= same < ABSORB
         free[i] = False
         leaders.append(i)
-        for j in np.flatnonzero(same >= link):
-            if j != i:
-                edges.add((keys[i], keys[j]))
-    return list(edges), leaders
+        joined = np.unique(label[same >= link])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return label, leaders
+
+
+def _find(root: dict[int, int], i: int) -> int:
+    while root.setdefault(i, i) != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
 
 
 def candidate_edges(docs: DataFrame, texts: int) -> DataFrame:
@@ -208,19 +215,22 @@ def candidate_edges(docs: DataFrame, texts: int) -> DataFrame:
 
     def buckets(link: float):
         def brute(pdf: pd.DataFrame) -> pd.DataFrame:
-            a, b, lead = [], [], []
             pdf = pdf.sort_values(["path", "chunk", "id"], kind="stable")
+            ids = pdf["id"].to_numpy()
             bounds = np.flatnonzero(((pdf["path"] != pdf["path"].shift()) | (pdf["chunk"] != pdf["chunk"].shift())).to_numpy())
+            root: dict[int, int] = {}
+            lead: list[int] = []
             for lo, hi in zip(bounds, [*bounds[1:], len(pdf)]):
-                keys = pdf["id"].to_numpy()[lo:hi]
                 sk = np.frombuffer(b"".join(pdf["sketch"].iloc[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1)
-                edges, leaders = _link_bucket(keys, sk, link)
-                a += [x for x, _ in edges]
-                b += [y for _, y in edges]
+                label, leaders = _link_bucket(sk, link)
+                for j in np.flatnonzero(label != np.arange(hi - lo)):
+                    p, q = _find(root, int(ids[lo + j])), _find(root, int(ids[lo + label[j]]))
+                    if p != q:
+                        root[p] = q
                 lead += [lo + i for i in leaders] if pdf["n"].iloc[lo] > CHUNK else []
             top = pdf.iloc[lead]
-            edge = pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64")}).drop_duplicates()
-            edge["path"], edge["sketch"] = 0, None
+            pairs = [(i, r) for i in root if (r := _find(root, i)) != i]  # a forest over all buckets of the task
+            edge = pd.DataFrame({"a": pd.array([i for i, _ in pairs], dtype="Int64"), "b": pd.array([r for _, r in pairs], dtype="Int64"), "path": 0, "sketch": None})
             kept = pd.DataFrame({"a": top["id"].astype("Int64"), "b": pd.array([None] * len(top), dtype="Int64"), "path": top["path"], "sketch": top["sketch"]})
             return pd.concat([edge, kept]) if len(kept) else edge
 
@@ -277,16 +287,9 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
         for own, other, hit in ((left, right, linked), (right, left, linked.T))[: 1 if left is right else 2]:
             texts, docs = hit.sum(1), hit @ copies[other]
             rows += [(keys[i], None, int(t), int(d)) for i, t, d in zip(own, texts, docs) if t]
-        root = {}
-
-        def find(i: int) -> int:
-            while root.setdefault(i, i) != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        root: dict[int, int] = {}
         for x, y in zip(*np.nonzero(linked)):
-            p, q = find(left[x]), find(right[y])
+            p, q = _find(root, left[x]), _find(root, right[y])
             if p != q:
                 root[p] = q
                 rows.append((keys[left[x]], keys[right[y]], 0, 0))
