@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import catalog, chunking, dialogue, refresh, retrieval, urls
+from .operators import catalog, chunking, dialogue, ranking, refresh, retrieval, urls
 from .streaming import limits
 
-MODULES = [catalog, chunking, dialogue, limits, refresh, retrieval, urls]
+MODULES = [catalog, chunking, dialogue, limits, ranking, refresh, retrieval, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

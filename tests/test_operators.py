@@ -98,3 +98,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, windowed_counts(events).collect()))
+
+
+def test_last_mile(spark):
+    from lodestone.operators.ranking import last_mile, name_overlap, path_role
+
+    assert one(spark, name_overlap(F.array(F.lit("timeout"), F.lit("x1")), F.array(F.lit("timeouts")))) == 1.0
+    roles = {"src/a.test.ts": "test", "tests/a.ts": "test", "examples/a.ts": "example", "docs/a.ts": "docs", "readme.md": "docs", "vite.config.ts": "config", "src/a.ts": "source"}
+    for path, role in roles.items():
+        assert one(spark, path_role(F.lit(path))) == role
+    cols = "question_id int, rank int, score double, terms array<string>, intent string, identifier boolean, path string, symbol string, kind string, page string"
+    rows = [
+        (1, 0, 0.9, ["retry", "timeout"], "implementation", False, "src/queue.ts", None, "source", "p1"),
+        (1, 1, 0.8, ["retry", "timeout"], "implementation", False, "src/retryTimeout.ts", "retryTimeout", "source", "p2"),
+        (1, 2, 0.7, ["retry", "timeout"], "implementation", False, "test/retryTimeout.test.ts", None, "test", "p3"),
+        (2, 0, 0.5, ["a"], "concept", False, None, None, "docs", "p1"),
+        (2, 1, 0.6, ["a"], "concept", False, None, None, "docs", "p1"),
+    ]
+    out = last_mile(spark.createDataFrame(rows, cols)).collect()
+    assert [(r["page"], r["score"]) for r in sorted((r for r in out if r["question_id"] == 1), key=lambda r: r["rank"])] == [("p2", 0.9), ("p1", 0.8), ("p3", 0.7)]
+    assert [r["score"] for r in sorted((r for r in out if r["question_id"] == 2), key=lambda r: r["rank"])] == [0.5, 0.6]
