@@ -67,7 +67,7 @@ def _discounted(c: Column, d: list[float]) -> Column:
 
 
 class Model:
-    """Tables: unigrams (w, c, p), bigrams (part, h, w, lp) and histories (part, h, log_total, log_alpha), all written."""
+    """Tables: unigrams (w, c, p), bigrams (part, h, w, lp, word_count) and histories (part, h, log_total, log_alpha), all written."""
 
     def __init__(self, pairs: DataFrame) -> None:
         train = pairs.filter("train")
@@ -88,18 +88,25 @@ class Model:
         left = 1.0 - F.col("mass") * scale / F.col("total")
         alpha = left / F.greatest(1.0 - F.col("lower"), F.lit(1e-300))
         self.histories = written(sums.select(part, "h", F.log10(F.col("total") / scale).alias("log_total"), F.log10(alpha).alias("log_alpha")), "lm-histories", ["part"])
-        self.bigrams = written(bi.select(part, "h", "w", F.log10(_discounted(F.col("c"), d2)).alias("lm")), "lm-bigrams", ["part"])
+        logs = bi.withColumn("lm", F.log10(_discounted(F.col("c"), d2))).drop("c").join(self.histories.drop("part"), "h").join(uni, "w")
+        self.bigrams = written(logs.select(part, "h", "w", (F.col("lm") - F.col("log_total")).alias("lp"), F.col("c").alias("word_count")), "lm-bigrams", ["part"])
 
     def score(self, pairs: DataFrame) -> DataFrame:
-        """row_key, n_tokens, n_known, base_score, score; rows with the same key are summed together."""
+        """row_key, n_tokens, n_known, base_score, score; rows with the same key are summed together.
+
+        Every bigram of a training row is in the table, so only rows held out go on to histories and words.
+        """
         if not self.n:
             zero = F.lit(0.0)
             return pairs.groupBy("row_key").agg(F.count("*").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.sum(zero).alias("base_score"), F.sum(zero).alias("score"))
-        found = pairs.join(self.bigrams.drop("part"), ["h", "w"], "left").join(self.histories.drop("part"), "h", "left").join(self.unigrams, "w", "left")
+        bigrams = self.bigrams.drop("part")
+        base = lambda c: F.log10((F.coalesce(c, F.lit(0)) + 0.5) / (self.n + 0.5 * (self.v + 1)))
+        sums = [F.count("*").alias("n_tokens"), F.count("word_count").alias("n_known"), F.sum(base(F.col("word_count"))).alias("base_score"), F.sum("lp").alias("score")]
+        seen = pairs.filter("train").join(bigrams, ["h", "w"]).groupBy("row_key").agg(*sums)
+        held = pairs.filter(~F.col("train")).join(bigrams.drop("word_count"), ["h", "w"], "left").join(self.histories.select("h", "log_alpha"), "h", "left").join(self.unigrams, "w", "left")
         lower = F.log10(F.coalesce("p", F.lit(max(self.unknown, 1e-300))))
-        token = F.when(F.col("lm").isNotNull(), F.col("lm") - F.col("log_total")).otherwise(F.coalesce("log_alpha", F.lit(0.0)) + lower)
-        base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (self.n + 0.5 * (self.v + 1)))
-        return found.groupBy("row_key").agg(F.count("*").alias("n_tokens"), F.count("c").alias("n_known"), F.sum(base).alias("base_score"), F.sum(token).alias("score"))
+        full = held.withColumn("lp", F.coalesce("lp", F.coalesce("log_alpha", F.lit(0.0)) + lower)).withColumn("word_count", F.col("c"))
+        return seen.unionByName(full.groupBy("row_key").agg(*sums))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
