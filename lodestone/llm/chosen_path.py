@@ -368,3 +368,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_jaccard_join": op9_jaccard_join}
+
+#: All pairs of texts by their shared shingles, and the closure of the links.
+ORACLE_SQL = {
+    "op9_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT w, min(doc_id) AS rep, count(*) AS copies, row_number() OVER (ORDER BY min(doc_id)) AS tid FROM d GROUP BY w),
+s AS MATERIALIZED (SELECT DISTINCT tid, hash(w[i:i + 4]) AS g FROM t, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i)),
+z AS (SELECT tid, count(*) AS n FROM s GROUP BY tid),
+p AS (SELECT a.tid AS x, b.tid AS y, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.tid < b.tid GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN z a ON a.tid = x JOIN z b ON b.tid = y WHERE 9 * p.n >= 4 * (a.n + b.n)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT tid, tid AS other FROM t UNION SELECT c.tid, e.y FROM c JOIN e ON e.x = c.other),
+k AS (SELECT c.tid, min(o.rep) AS class_id FROM c JOIN t o ON o.tid = c.other GROUP BY c.tid),
+n AS (SELECT e.x AS tid, count(*) AS texts, sum(o.copies) AS docs FROM e JOIN t o ON o.tid = e.y GROUP BY 1)
+SELECT d.doc_id, class_id, (coalesce(docs, 0) + copies - 1)::BIGINT AS n_links, coalesce(texts, 0) AS n_texts, copies AS n_copies
+FROM d JOIN t ON d.w = t.w JOIN k ON k.tid = t.tid LEFT JOIN n ON n.tid = t.tid"""
+}

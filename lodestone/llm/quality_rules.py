@@ -139,3 +139,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}
+
+#: The same metrics, rates and verdicts, with windows compared by their words.
+ORACLE_SQL = {
+    "op3_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+x AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+p AS (SELECT r, i, (w[i], w[i + 1], w[i + 2]) AS g FROM x, unnest(range(1, len(w) - 1)) AS u(i)),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM p) WHERE n >= 2),
+k AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM c, unnest([0, 1, 2]) AS v(o) GROUP BY r),
+m AS (SELECT x.r, doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
+      FROM x LEFT JOIN k USING (r)),
+f AS (SELECT *, n_symbols > n_words * 0.1::DOUBLE AS a, n_dup_lines > n_lines * 0.3::DOUBLE AS b, word_chars < n_words * 3 OR word_chars > n_words * 10 AS e FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (a) AS fa, count(*) FILTER (b) AS fb, count(*) FILTER (e) AS fe FROM f GROUP BY source),
+q AS (SELECT sum(fa) / sum(n)::DOUBLE AS ma, var_pop(fa / n::DOUBLE) AS va, sum(fb) / sum(n)::DOUBLE AS mb, var_pop(fb / n::DOUBLE) AS vb, sum(fe) / sum(n)::DOUBLE AS me, var_pop(fe / n::DOUBLE) AS ve FROM h),
+s AS (SELECT *, greatest(1, least(10000, CASE WHEN va > 0 THEN ma * (1 - ma) / va - 1 ELSE 10000 END)) AS sa, greatest(1, least(10000, CASE WHEN vb > 0 THEN mb * (1 - mb) / vb - 1 ELSE 10000 END)) AS sb,
+        greatest(1, least(10000, CASE WHEN ve > 0 THEN me * (1 - me) / ve - 1 ELSE 10000 END)) AS se FROM q),
+v AS (SELECT source, (fa + ma * sa) / (n + sa) > 0.02 AS ea, (fb + mb * sb) / (n + sb) > 0.02 AS eb, (fe + me * se) / (n + se) > 0.02 AS ee FROM h, s),
+o AS (SELECT f.*, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed, a AND ea OR b AND eb OR e AND ee AS rejected FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM o"""
+}
