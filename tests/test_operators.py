@@ -118,3 +118,33 @@ def test_last_mile(spark):
     out = last_mile(spark.createDataFrame(rows, cols)).collect()
     assert [(r["page"], r["score"]) for r in sorted((r for r in out if r["question_id"] == 1), key=lambda r: r["rank"])] == [("p2", 0.9), ("p1", 0.8), ("p3", 0.7)]
     assert [r["score"] for r in sorted((r for r in out if r["question_id"] == 2), key=lambda r: r["rank"])] == [0.5, 0.6]
+
+
+def test_extract(spark):
+    from lodestone.functions import extract as E
+
+    lit = F.lit
+    assert one(spark, E.sitemap_locations(lit("<url><loc> https://e.com/a?x=1&amp;y=2 </loc></url><loc>https://e.com/b</loc><loc>https://e.com/b</loc>"))) == ["https://e.com/a?x=1&y=2", "https://e.com/b"]
+    robots = lit("User-agent: *\nDisallow: /x\ndisallow: /y\nDisallow:\nSitemap: https://e.com/s.xml\n")
+    assert one(spark, E.robots_sitemaps(robots)) == ["https://e.com/s.xml"] and one(spark, E.robots_disallows(robots)) == 2
+    assert [one(spark, E.status_reason(lit(s).cast("int"))) for s in (204, 404, 500, None)] == [None, "gone", "status_500", "no_response"]
+    assert one(spark, E.markdown_links(lit("[a](https://e.com/x#y) [b](/no) [c](https://e.com/x)"))) == ["https://e.com/x"]
+    assert one(spark, E.keyword_terms(lit("How to Run the run"))) == ["how", "run", "the"]
+    assert one(spark, E.clean_query(lit("why `x()` fails?!  now"))) == "why fails now"
+    assert one(spark, E.route_matches(lit("/a/:id/b"), lit("/a/7/b"))) and not one(spark, E.route_matches(lit("/a/:id"), lit("/a/7/b")))
+    assert one(spark, E.route_specificity(lit("/a/:id"))) == 21
+    assert [one(spark, E.clamp_score(lit(x).cast("double"))) for x in (1.5, -1.0, 0.3, float("nan"), None)] == [1.0, 0.0, 0.3, 0.0, 0.0]
+    assert one(spark, E.logistic(lit(0.0))) == 0.5 and one(spark, E.json_at(lit('{"a":{"b":3}}'), "a.b")) == "3"
+    assert E.strictness("strict") == (0.65, 0.5, False) and E.strictness("permissive") == (0.5, 0.5, True)
+    assert E.strictness("strict", 0.4) == (0.4, 0.4, False) and E.strictness("strict", None) == (0.0, 0.0, False)
+
+
+def test_layers(spark):
+    from lodestone.plans.layers import longest_path_layers, plan_graph
+
+    phases = spark.createDataFrame([(0, ["a"]), (1, ["b", "c"]), (2, ["d"])], "phase_no int, branches array<string>")
+    nodes, edges = plan_graph(phases)
+    more = edges.unionByName(spark.createDataFrame([("b", "c")], "src string, dst string"))
+    assert {r["node"]: r["depth"] for r in longest_path_layers(nodes, more).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    with pytest.raises(ValueError):
+        longest_path_layers(nodes, more.unionByName(spark.createDataFrame([("d", "a")], "src string, dst string")))
