@@ -25,7 +25,6 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,23 +42,6 @@ CHUNK, BLOCK, BUNDLE_ROWS = 4096, 512, 2048
 #: Rows of (doc_id, component) that may be broadcast, once counted.
 SLIM_ROWS = 500_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        out = xxhash.xxh64_intdigest(word)
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = out
-        return out
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,9 +52,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, n: int = SHINGLE) -> tuple[str, np.ndarray]:
     """The key of a text's words and its sorted distinct shingle hashes."""
+    import xxhash
+
     words = _WORDS.findall(text) if isinstance(text, str) else []
     key = hashlib.md5("\x00".join(words).encode()).hexdigest()
-    w = np.fromiter(map(_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     if len(w) < n:
         w = np.concatenate([w, np.arange(n - len(w), dtype=np.uint64)])
     h = w[: len(w) - n + 1].copy()
