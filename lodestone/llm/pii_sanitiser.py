@@ -157,8 +157,9 @@ def disclosures(docs: DataFrame, detected: DataFrame, min_contexts: int = MIN_CO
     possible = written(possible, "pii-pairs")
     terms = possible.select("term").distinct()
     said = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}\p{N}_'-]*"), 0)).alias("ws")).select(F.explode("ws").alias("term"))
-    # Counted before the join, with map-side combination: what is joined is a row per word, not one per occurrence.
-    df_term = said.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term", "left_semi")
+    # Counted before the join, with map-side combination: what is joined is a row per word, not one per occurrence. (A
+    # semi join would be moved below the count.)
+    df_term = said.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term")
     return possible.join(df_term, "term").withColumn("ratio", ratio("df_term")).filter(F.col("ratio") >= threshold)
 
 
