@@ -2,17 +2,18 @@
 
 1. Emails, IP addresses, card and phone numbers are found in every whole text, in time linear in its length.
 2. Each value found is a protected entity e. The words within ``WINDOW`` words around its mentions are terms t that may
-   reveal it. With document frequencies over all D documents, PMI(t, e) = log2(df(t, e) * D / (df(t) * df(e))) and the
-   information content is IC(e) = log2(D / df(e)). PMI/IC is at most 1, where t occurs with e only and so discloses it.
-3. A term is sensitive for e if PMI/IC reaches ``GENERALISE`` and the pair was seen in at least ``MIN_CONTEXTS`` different
-   contexts (windows of different words), so that copies of one passage are one piece of evidence. From ``REMOVE`` on the
-   term is removed from around the mentions of e, below that it is replaced by its shape.
+   reveal it. With frequencies over all D different texts, PMI(t, e) = log2(df(t, e) * D / ((df(t) + SMOOTH) * df(e))) and
+   the information content is IC(e) = log2(D / df(e)). PMI/IC nears 1 where t occurs with e only and so discloses it.
+   Copies of a text are one piece of evidence. A value in a single text is judged too: smoothing lowers what little
+   evidence says, by 1 / log2(D) there, and there is no floor.
+3. A term is sensitive for e if PMI/IC reaches ``GENERALISE``. From ``REMOVE`` on the term is removed from around the
+   mentions of e, below that it is replaced by its shape.
 
 Only sums leave the tasks: pairs are counted with map-side combination, and the document frequencies of the candidate
 terms are counted in a second pass over all words.
 
 Defined cases: a null text is empty; a null doc_id is a document of its own; repeated rows are scanned one by one and
-each counts as a document; a match that fails its check is dropped without a second try; an empty table gives no rows; other
+count as one text; a match that fails its check is dropped without a second try; an empty table gives no rows; other
 columns are carried by ``sanitise``.
 """
 
@@ -20,8 +21,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +33,10 @@ from pyspark.sql import functions as F
 from .common import join_bounded, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, MIN_CONTEXTS, GENERALISE, REMOVE = 5, 3, 0.8, 0.95
+WINDOW, GENERALISE, REMOVE = 5, 0.8, 0.95
+#: Texts with a term and without the value that are assumed beside those seen: one text alone is weak evidence.
+SMOOTH = 1.0
+SLOTS = 1 << 22
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -82,8 +89,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[str, int, list[tuple[str, int, int]]]]:
-    """For each mention: its entity, a hash of its context, and the terms around it that lie in no span."""
+def contexts(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """For each mention: its entity and the terms around it that lie in no span."""
     out = []
     taken = sorted((a, b) for _, a, b in spans)
     for kind, a, b in spans:
@@ -93,7 +100,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW)
             found = [(m[0].lower(), m.start() + shift, m.end() + shift) for m in _WORD.finditer(part)]
             found = [w for w in found if not _hit(taken, w)]
             near += found[-window:] if shift < a else found[:window]
-        out.append((f"{KINDS[kind]}:{value}", hash_text(" ".join(w for w, _, _ in near)), near))
+        out.append((f"{KINDS[kind]}:{value}", near))
     return out
 
 
@@ -102,18 +109,12 @@ def _hit(taken: list[tuple[int, int]], w: tuple[str, int, int]) -> bool:
     return any(x < w[2] and w[1] < y for x, y in taken[max(0, k - 4) : k])
 
 
-def hash_text(s: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(s) - 2**63
-
-
 FOUND = "array<struct<kind:int,start:int,end:int>>"
-NEAR = "array<struct<entity:string,context:long,terms:array<struct<term:string,start:int,end:int>>>>"
+NEAR = "array<struct<entity:string,terms:array<struct<term:string,start:int,end:int>>>>"
 
 
 def detect(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_key, found (base spans) and near (contexts) of every row of docs."""
+    """doc_id, row_key, text_key, found (base spans) and near (contexts) of every row of docs."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,11 +123,16 @@ def detect(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 text = text if isinstance(text, str) else ""
                 spans = base_spans(text)
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                near.append([{"entity": e, "context": c, "terms": [{"term": t, "start": a, "end": b} for t, a, b in ts]} for e, c, ts in contexts(text, spans, window)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_key": batch["row_key"], "found": found, "near": near})
+                near.append([{"entity": e, "terms": [{"term": t, "start": a, "end": b} for t, a, b in ts]} for e, ts in contexts(text, spans, window)])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_key": batch["row_key"], "text_key": batch["text_key"], "found": found, "near": near})
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_key().alias("text_key"), "text")
+    return slim.mapInPandas(scan, f"doc_id long, row_key long, text_key long, found {FOUND}, near {NEAR}")
+
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    return slim.mapInPandas(scan, f"doc_id long, row_key long, found {FOUND}, near {NEAR}")
+def text_key() -> Column:
+    """Copies share a key, so that they are one piece of evidence."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def row_key() -> Column:
@@ -134,39 +140,77 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def disclosures(docs: DataFrame, detected: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = GENERALISE) -> DataFrame:
-    """entity, term, df_pair, df_entity, df_term, ratio = PMI/IC for the pairs that reach the threshold."""
-    mentions = detected.select("row_key", F.explode("near").alias("m")).select("row_key", "m.entity", "m.context", "m.terms")
-    pairs = mentions.select("row_key", "entity", "context", F.explode("terms").alias("t")).select("row_key", "entity", "context", F.col("t.term").alias("term"))
-    # Distinct first, so that a hot pair is one row per document and per context before it is counted.
-    by_context = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    df_pair = pairs.select("entity", "term", "row_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair"))
-    df_entity = mentions.select("entity", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    df_near = pairs.select("term", "row_key").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
-    total = docs.count()
-    d = F.lit(float(max(total, 2)))
+def disclosures(docs: DataFrame, detected: DataFrame, threshold: float = GENERALISE) -> DataFrame:
+    """entity, term, df_pair, df_entity, df_term, ratio = smoothed PMI/IC for the pairs that reach the threshold."""
+    mentions = detected.select("text_key", F.explode("near").alias("m")).select("text_key", "m.entity", "m.terms")
+    pairs = mentions.select("text_key", "entity", F.explode("terms").alias("t")).select("text_key", "entity", F.col("t.term").alias("term"))
+    # Distinct first, so that a hot pair is one row per text before it is counted.
+    df_pair = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair"))
+    df_entity = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
+    df_near = pairs.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    copies = written(detected.groupBy("text_key").agg(F.count("*").alias("copies")), "pii-copies")
+    d = F.lit(float(max(copies.count(), 2)))
 
     def ratio(df_term: str):
-        pmi = F.log2(F.col("df_pair") * d / (F.greatest(F.col(df_term), F.col("df_pair")) * F.col("df_entity")))
+        pmi = F.log2(F.col("df_pair") * d / ((F.greatest(F.col(df_term), F.col("df_pair")) + SMOOTH) * F.col("df_entity")))
         ic = F.log2(d / F.col("df_entity"))
         return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
-    # A term is in at least as many documents as have it near a mention: that bounds the ratio from above, so the common
+    # A term is in at least as many texts as have it near a mention: that bounds the ratio from above, so the common
     # words are out before the words of the corpus are counted.
-    possible = by_context.join(df_pair, ["entity", "term"]).join(df_entity, "entity").join(df_near, "term").filter(ratio("df_near") >= threshold)
+    possible = df_pair.join(df_entity, "entity").join(df_near, "term").filter(ratio("df_near") >= threshold)
     possible = written(possible, "pii-pairs")
-    terms = possible.select("term").distinct()
-    said = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}\p{N}_'-]*"), 0)).alias("ws")).select(F.explode("ws").alias("term"))
-    # Counted before the join, with map-side combination: what is joined is a row per word, not one per occurrence. (A
-    # semi join would be moved below the count.)
-    df_term = said.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term")
+    df_term = count_terms(docs, copies.filter("copies > 1"), slots(possible))
     return possible.join(df_term, "term").withColumn("ratio", ratio("df_term")).filter(F.col("ratio") >= threshold)
 
 
-def find_spans(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = GENERALISE) -> DataFrame:
+def slots(terms: DataFrame) -> bytes:
+    """One byte per slot of a hash, 1 where a term falls: words outside are none of the terms, whatever their number.
+
+    The slots leave the tasks as bits, in at most SLOTS / 64 rows.
+    """
+    slot = terms.select((F.crc32(F.col("term").cast("binary")) % SLOTS).alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    cells = slot.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("cell")).agg(F.bit_or(bit).alias("bits")).collect()
+    out = np.zeros(SLOTS // 64, dtype="<i8")
+    for r in cells:
+        out[r["cell"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").tobytes()
+
+
+def words_in(text: str, held: bytes) -> list[str]:
+    """The different words of a text that fall into the slots."""
+    return [w for w in {w.lower() for w in set(_WORD.findall(text))} if held[crc32(w.encode()) % SLOTS]]
+
+
+def count_terms(docs: DataFrame, copied: DataFrame, held: bytes) -> DataFrame:
+    """term, df_term: the number of different texts with a word, for the words that fall into the slots."""
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame({"term": pd.Series(list(n.keys()), dtype=object), "n": pd.Series(list(n.values()), dtype=float)})
+
+        for batch in batches:
+            for text, copies in zip(batch["text"], batch["copies"]):
+                for w in words_in(text, shared.value) if isinstance(text, str) else ():
+                    n[w] += 1 / copies
+                if len(n) > 200_000:
+                    yield counted()
+                    n.clear()
+        yield counted()
+
+    # Each of k copies counts 1/k, so that no text is shuffled to be counted once.
+    weighed = join_bounded(docs.select("text", text_key().alias("text_key")), copied, "text_key").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return weighed.mapInPandas(count, "term string, n double").groupBy("term").agg(F.round(F.sum("n"), 6).alias("df_term"))
+
+
+def find_spans(docs: DataFrame, threshold: float = GENERALISE) -> DataFrame:
     """doc_id, row_key, spans: array<struct<kind, start, end, ratio>> of every row, by kind and start."""
     detected = written(detect(docs), "pii")
-    risky = written(disclosures(docs, detected, min_contexts, threshold).select("entity", "term", "ratio"), "pii-terms")
+    risky = written(disclosures(docs, detected, threshold).select("entity", "term", "ratio"), "pii-terms")
     mentions = detected.select("row_key", F.explode("near").alias("m")).select("row_key", "m.entity", F.explode("m.terms").alias("t"))
     hits = mentions.select("row_key", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).join(risky, ["entity", "term"])
     term = hits.groupBy("row_key", "start", "end").agg(F.max("ratio").alias("ratio")).groupBy("row_key").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", "ratio")).alias("terms"))
@@ -176,13 +220,13 @@ def find_spans(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: flo
     return joined.select("doc_id", "row_key", F.array_sort(spans).alias("spans"))
 
 
-def sanitise(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with their texts sanitised: base spans become labels, terms are generalised to their shape or removed.
 
     Spans are joined by row key, one row for identical rows; where few documents have any, no text is shuffled.
     """
     names = docs.columns
-    spans = find_spans(docs, min_contexts, threshold).filter(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("_spans"))
+    spans = find_spans(docs, threshold).filter(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("_spans"))
     spans = written(spans.withColumnRenamed("row_key", "_key"), "pii-spans")
     joined = join_bounded(docs.withColumn("_key", row_key()), spans, "_key", spread=1).select(*names, "_spans")
     at = names.index("text")

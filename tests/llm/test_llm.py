@@ -236,6 +236,20 @@ def test_terms_that_disclose(spark):
     assert "Zorbulon" not in clean[0] and "zed@" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == dict(rows)[100]
 
 
+def test_rare_values_are_judged(spark):
+    """A value that is mentioned in one text only, or in copies of it, has terms; copies are one piece of evidence."""
+    r = random.Random(3)
+    noise = lambda n: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    once, copied = f"{noise(20)} Zorbulon one@mail.example.org {noise(20)}", f"{noise(20)} Quixle two@mail.example.org {noise(20)}"
+    rows = [(0, once), *[(10 + i, copied) for i in range(5)], *[(100 + i, noise(80)) for i in range(200)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: [(dict(rows)[x["doc_id"]][s["start"] : s["end"]], s["ratio"]) for s in x["spans"] if s["kind"] == 4] for x in pii_sanitiser.find_spans(df).collect()}
+    want = 1 - 1 / math.log2(202)
+    assert [(w, round(q, 9)) for w, q in found[0]] == [("Zorbulon", round(want, 9))]
+    assert all([(w, round(q, 9)) for w, q in found[10 + i]] == [("Quixle", round(want, 9))] for i in range(5))
+    assert not any(found[100 + i] for i in range(200))
+
+
 def test_sanitise_odd_rows(spark, docs, empty):
     out = pii_sanitiser.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
