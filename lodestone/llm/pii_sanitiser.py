@@ -1,16 +1,16 @@
 """PII: personal data by pattern, and the terms that reveal it, by their co-occurrence in the corpus.
 
 1. Emails, IP addresses, card and phone numbers are found in every whole text, in time linear in its length.
-2. Each value found is a protected entity e. The words within ``WINDOW`` words around its mentions are terms t that may
+2. Each value found is a protected entity e. All words of the texts that have it are terms t that may
    reveal it. With frequencies over all D different texts, PMI(t, e) = log2(df(t, e) * D / ((df(t) + SMOOTH) * df(e))) and
    the information content is IC(e) = log2(D / df(e)). PMI/IC nears 1 where t occurs with e only and so discloses it.
    Copies of a text are one piece of evidence. A value in a single text is judged too: smoothing lowers what little
    evidence says, by 1 / log2(D) there, and there is no floor.
-3. A term is sensitive for e if PMI/IC reaches ``GENERALISE``. From ``REMOVE`` on the term is removed from around the
-   mentions of e, below that it is replaced by its shape.
+3. A term is sensitive for e if PMI/IC reaches ``GENERALISE``. From ``REMOVE`` on the term is removed, below that it is
+   replaced by its shape: wherever it stands, in texts without e too.
 
-Only sums leave the tasks: pairs are counted with map-side combination, and the document frequencies of the candidate
-terms are counted in a second pass over all words.
+Pairs are counted with map-side combination. The words of the corpus are read twice, to count the candidate terms and to
+find the sensitive ones; a table of hash slots keeps nearly all other words in the task.
 
 Defined cases: a null text is empty; a null doc_id is a document of its own; repeated rows are scanned one by one and
 count as one text; a match that fails its check is dropped without a second try; an empty table gives no rows; other
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import join_bounded, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, GENERALISE, REMOVE = 5, 0.8, 0.95
+GENERALISE, REMOVE = 0.8, 0.95
 #: Texts with a term and without the value that are assumed beside those seen: one text alone is weak evidence.
 SMOOTH = 1.0
 SLOTS = 1 << 22
@@ -89,19 +89,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """For each mention: its entity and the terms around it that lie in no span."""
-    out = []
+def entities_in(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The different values of a text, each with its kind."""
+    value = lambda k, v: v.lower() if k == 0 else "".join(c for c in v if c.isdigit() or (k == 1 and c == "."))
+    return sorted({f"{KINDS[k]}:{value(k, text[a:b])}" for k, a, b in spans})
+
+
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """Every word that lies in no span, with its place."""
     taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        value = text[a:b].lower() if kind == 0 else "".join(c for c in text[a:b] if c.isdigit() or (kind == 1 and c == "."))
-        near = []
-        for part, shift in ((text[max(0, a - 40 * window) : a], max(0, a - 40 * window)), (text[b : b + 40 * window], b)):
-            found = [(m[0].lower(), m.start() + shift, m.end() + shift) for m in _WORD.finditer(part)]
-            found = [w for w in found if not _hit(taken, w)]
-            near += found[-window:] if shift < a else found[:window]
-        out.append((f"{KINDS[kind]}:{value}", near))
-    return out
+    found = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    return [w for w in found if not _hit(taken, w)] if taken else found
 
 
 def _hit(taken: list[tuple[int, int]], w: tuple[str, int, int]) -> bool:
@@ -110,24 +108,24 @@ def _hit(taken: list[tuple[int, int]], w: tuple[str, int, int]) -> bool:
 
 
 FOUND = "array<struct<kind:int,start:int,end:int>>"
-NEAR = "array<struct<entity:string,terms:array<struct<term:string,start:int,end:int>>>>"
 
 
-def detect(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_key, text_key, found (base spans) and near (contexts) of every row of docs."""
+def detect(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, text_key, found (base spans), entities and, where there are any, the terms of every row of docs."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found, near = [], []
+            found, entities, terms = [], [], []
             for text in batch["text"]:
                 text = text if isinstance(text, str) else ""
                 spans = base_spans(text)
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                near.append([{"entity": e, "terms": [{"term": t, "start": a, "end": b} for t, a, b in ts]} for e, ts in contexts(text, spans, window)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_key": batch["row_key"], "text_key": batch["text_key"], "found": found, "near": near})
+                entities.append(entities_in(text, spans))
+                terms.append(sorted({w for w, _, _ in words_outside(text, spans)}) if spans else [])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_key": batch["row_key"], "text_key": batch["text_key"], "found": found, "entities": entities, "terms": terms})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_key().alias("text_key"), "text")
-    return slim.mapInPandas(scan, f"doc_id long, row_key long, text_key long, found {FOUND}, near {NEAR}")
+    return slim.mapInPandas(scan, f"doc_id long, row_key long, text_key long, found {FOUND}, entities array<string>, terms array<string>")
 
 
 def text_key() -> Column:
@@ -142,12 +140,13 @@ def row_key() -> Column:
 
 def disclosures(docs: DataFrame, detected: DataFrame, threshold: float = GENERALISE) -> DataFrame:
     """entity, term, df_pair, df_entity, df_term, ratio = smoothed PMI/IC for the pairs that reach the threshold."""
-    mentions = detected.select("text_key", F.explode("near").alias("m")).select("text_key", "m.entity", "m.terms")
-    pairs = mentions.select("text_key", "entity", F.explode("terms").alias("t")).select("text_key", "entity", F.col("t.term").alias("term"))
+    seen = detected.filter(F.size("entities") > 0)
     # Distinct first, so that a hot pair is one row per text before it is counted.
-    df_pair = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("df_pair"))
-    df_entity = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    df_near = pairs.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    held = seen.select("text_key", "entities", "terms").dropDuplicates(["text_key"])
+    pairs = held.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    df_pair = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_pair"))
+    df_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    df_near = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_near"))
     copies = written(detected.groupBy("text_key").agg(F.count("*").alias("copies")), "pii-copies")
     d = F.lit(float(max(copies.count(), 2)))
 
@@ -156,7 +155,7 @@ def disclosures(docs: DataFrame, detected: DataFrame, threshold: float = GENERAL
         ic = F.log2(d / F.col("df_entity"))
         return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
-    # A term is in at least as many texts as have it near a mention: that bounds the ratio from above, so the common
+    # A term is in at least as many texts as have it beside a value: that bounds the ratio from above, so the common
     # words are out before the words of the corpus are counted.
     possible = df_pair.join(df_entity, "entity").join(df_near, "term").filter(ratio("df_near") >= threshold)
     possible = written(possible, "pii-pairs")
@@ -207,14 +206,34 @@ def count_terms(docs: DataFrame, copied: DataFrame, held: bytes) -> DataFrame:
     return weighed.mapInPandas(count, "term string, n double").groupBy("term").agg(F.round(F.sum("n"), 6).alias("df_term"))
 
 
+def occurrences(docs: DataFrame, risky: DataFrame) -> DataFrame:
+    """row_key, start, end, ratio of every place in docs where a risky term stands outside the base spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(slots(risky))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["row_key"], batch["text"]):
+                held = set(words_in(text, shared.value)) if isinstance(text, str) else None
+                if held:
+                    rows += [(key, *w) for w in words_outside(text, base_spans(text)) if w[0] in held]
+            columns = zip(*rows) if rows else ([], [], [], [])
+            names, kinds = ("row_key", "term", "start", "end"), ("int64", object, "int32", "int32")
+            yield pd.DataFrame({n: pd.Series(list(c), dtype=k) for n, c, k in zip(names, columns, kinds)})
+
+    # The slots drop nearly every other word before the join, which decides.
+    words = docs.select(row_key().alias("row_key"), "text").mapInPandas(scan, "row_key long, term string, start int, end int")
+    return join_bounded(words, risky, "term", "inner").select("row_key", "start", "end", "ratio")
+
+
 def find_spans(docs: DataFrame, threshold: float = GENERALISE) -> DataFrame:
     """doc_id, row_key, spans: array<struct<kind, start, end, ratio>> of every row, by kind and start."""
     detected = written(detect(docs), "pii")
-    risky = written(disclosures(docs, detected, threshold).select("entity", "term", "ratio"), "pii-terms")
-    mentions = detected.select("row_key", F.explode("near").alias("m")).select("row_key", "m.entity", F.explode("m.terms").alias("t"))
-    hits = mentions.select("row_key", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).join(risky, ["entity", "term"])
-    term = hits.groupBy("row_key", "start", "end").agg(F.max("ratio").alias("ratio")).groupBy("row_key").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", "ratio")).alias("terms"))
-    joined = detected.join(term, "row_key", "left")
+    risky = written(disclosures(docs, detected, threshold).groupBy("term").agg(F.max("ratio").alias("ratio")), "pii-terms")
+    hits = occurrences(docs, risky)
+    # A set, as identical rows share a key.
+    term = hits.groupBy("row_key").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end", "ratio")).alias("terms"))
+    joined = detected.select("doc_id", "row_key", "found").join(term, "row_key", "left")
     base = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("ratio")))
     spans = F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, "terms"))
     return joined.select("doc_id", "row_key", F.array_sort(spans).alias("spans"))

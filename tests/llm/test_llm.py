@@ -250,6 +250,19 @@ def test_rare_values_are_judged(spark):
     assert not any(found[100 + i] for i in range(200))
 
 
+def test_terms_are_found_everywhere(spark):
+    """A disclosing name far from its value, in a text without the value, or after a token of 300 characters is a span."""
+    r = random.Random(4)
+    noise = lambda n: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, f"Zorbulon {noise(60)} {'1' * 300} zed@mail.example.org {noise(20)} zorbulon") for i in range(8)] + [(50, f"{noise(40)} zorbulon {noise(3)}")]
+    rows += [(100 + i, noise(80)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: [dict(rows)[x["doc_id"]][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == 4] for x in pii_sanitiser.find_spans(df).collect()}
+    assert all(found[i] == ["Zorbulon", "zorbulon"] for i in range(8)) and found[50] == ["zorbulon"]
+    assert not any(found[100 + i] for i in range(400))
+    assert "orbulon" not in " ".join(x["text"] for x in pii_sanitiser.sanitise(df).collect())
+
+
 def test_sanitise_odd_rows(spark, docs, empty):
     out = pii_sanitiser.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
