@@ -1,7 +1,8 @@
 """License scans with ordered signature rules, with Spark expressions only.
 
 A text is lower-cased (A-Z) and reduced to its words, joined by single spaces. Rules are regexes over that form. A rule is
-tried only where its keyword is among the text's words, and no rule is tried in a text without any keyword. Detections
+tried only where a word of the text starts with its keyword, as one does in all that the rule matches (``gpl2`` has gpl), and no
+rule is tried in a text without any keyword. Detections
 are sorted; one that lies within the interval of another of the same or a higher priority is suppressed. The base phrases have
 the highest priority and are never suppressed.
 
@@ -30,12 +31,12 @@ BASE = [
 FAMILIES = [
     ("mit", "mit", "(?:mit|mit x11)"), ("mit", "expat", "expat"), ("x11", "x11", "x11"), ("isc", "isc", "isc"),
     ("apache-1.1", "apache", "apache(?: software)? 1 1"), ("apache-2", "apache", "apache(?: software)?(?: 2(?: 0)?)?"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|freebsd)"), ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|bsd 3 clause)"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause)"), ("bsd-2-clause", "freebsd", "freebsd"), ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|bsd 3 clause)"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause)"), ("bsd", "bsd", "(?:bsd|bsd style)"), ("0bsd", "0bsd", "0bsd"),
-    ("gpl-1", "gpl", "(?:gnu )?gpl ?v?1"), ("gpl-2", "gpl", "(?:gnu )?gpl(?: v| version)? ?2(?: 0)?"), ("gpl-2", "gplv2", "gplv2"),
-    ("gpl-3", "gpl", "(?:gnu )?gpl(?: v| version)? ?3(?: 0)?"), ("gpl-3", "gplv3", "gplv3"), ("gpl", "gpl", "(?:gnu )?gpl"), ("gpl", "gnu", "gnu general public"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: v| version)? ?2 1"), ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: v| version)? ?3(?: 0)?"), ("lgpl", "lgpl", "(?:gnu )?lgpl"),
-    ("lgpl", "lesser", "gnu (?:lesser|library) general public"), ("agpl-3", "agpl", "(?:gnu )?agpl(?: v| version)? ?3(?: 0)?"), ("agpl-3", "affero", "gnu affero general public"),
+    ("gpl-1", "gpl", "(?:gnu )?gpl ?v?1"), ("gpl-2", "gpl", "(?:gnu )?gpl(?: v| version)? ?2(?: 0)?"), ("gpl-2", "gplv2", "(?:gnu )?gplv2(?: 0)?"),
+    ("gpl-3", "gpl", "(?:gnu )?gpl(?: v| version)? ?3(?: 0)?"), ("gpl-3", "gplv3", "(?:gnu )?gplv3(?: 0)?"), ("gpl", "gpl", "(?:gnu )?gpl"), ("gpl", "gnu", "gnu general public"),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: v| version)? ?2 1"), ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: v| version)? ?3(?: 0)?"), ("lgpl-2.1", "lgplv2", "(?:gnu )?lgplv2 1"), ("lgpl-2", "lgpl", "(?:gnu )?lgpl(?: v| version)? ?2(?: 0)?"), ("lgpl-2", "lgplv2", "(?:gnu )?lgplv2(?: 0)?"), ("lgpl-3", "lgplv3", "(?:gnu )?lgplv3(?: 0)?"), ("lgpl", "lgpl", "(?:gnu )?lgpl"),
+    ("lgpl", "lesser", "gnu lesser general public"), ("lgpl", "library", "gnu library general public"), ("agpl-3", "agpl", "(?:gnu )?agpl(?: v| version)? ?3(?: 0)?"), ("agpl-3", "agplv3", "(?:gnu )?agplv3(?: 0)?"), ("agpl-3", "affero", "gnu affero general public"),
     ("mpl-1.1", "mpl", "mpl 1 1"), ("mpl-2", "mpl", "mpl(?: 2(?: 0)?)?"), ("mpl-2", "mozilla", "mozilla public"), ("epl-1", "epl", "epl 1 0"), ("epl-2", "epl", "epl 2 0"),
     ("epl", "eclipse", "eclipse public"), ("cddl-1", "cddl", "cddl(?: 1(?: 0)?)?"), ("cpl-1", "cpl", "cpl(?: 1 0)?"), ("eupl", "eupl", "eupl(?: 1 [0-9])?"),
     ("artistic-2", "artistic", "artistic(?: 2 0)?"), ("zlib", "zlib", "zlib(?: libpng)?"), ("libpng", "libpng", "libpng"), ("unlicense", "unlicense", "unlicense"),
@@ -94,7 +95,7 @@ def scan(docs: DataFrame) -> DataFrame:
     gate = F.regexp_like(text, F.lit(r"(?i)(?:" + "|".join(k for k in keys if not any(o != k and o in k for o in keys)) + ")"))
     lower = F.array_remove(F.split(ascii_lower(text), NO_WORD), "")
     gated = docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_words", F.when(gate, lower))
-    normal = gated.withColumn("_keys", F.array_intersect("_words", F.array(*[F.lit(k) for k in keys]))).withColumn("_norm", F.when(F.size("_keys") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))).drop("_words")
+    normal = gated.withColumn("_all", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))).withColumn("_keys", F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains("_all", F.concat(F.lit(" "), k)))).withColumn("_norm", F.when(F.size("_keys") > 0, F.col("_all"))).drop("_words", "_all")
     ruled = normal.withColumn("_rules", F.when(F.col("_norm").isNotNull(), F.filter(_rule_literals(), lambda r: F.array_contains("_keys", r["key"]) & F.regexp_like("_norm", r["rx"]))))
 
     def spans(r: Column) -> Column:

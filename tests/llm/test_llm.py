@@ -378,6 +378,45 @@ def test_license_base_equals_brute_force(spark, docs):
             assert d["p"] == 0 or not any(o["rule"] != d["rule"] and o["p"] <= d["p"] and o["start"] <= d["start"] and d["end"] <= o["end"] and (o["start"], o["end"]) != (d["start"], d["end"]) for o in row["detections"])
 
 
+def samples(rx):
+    """Texts that a rule matches: every optional part in and out, every choice, digits as 2."""
+    from re import _parser as parser
+
+    def grow(items):
+        out = [""]
+        for op, arg in items:
+            if op is parser.LITERAL:
+                new = [chr(arg)]
+            elif op is parser.IN:
+                new = [chr(arg[0][1])] if arg[0][0] is parser.LITERAL else ["2"]
+            elif op is parser.BRANCH:
+                new = [x for b in arg[1] for x in grow(b)]
+            elif op is parser.SUBPATTERN:
+                new = grow(arg[3])
+            else:
+                new = ["", *grow(arg[2])] if arg[0] == 0 else grow(arg[2])
+            out = [a + b for a in out for b in new]
+        return out
+
+    return grow(parser.parse(rx))
+
+
+def test_license_gate_hides_no_match(spark):
+    """A scan with the gate finds what each rule matches by itself, also where a name is glued to its version."""
+    rules = license_scan.signature_rules()
+    texts = sorted({x for _, _, rx, _, _ in rules for k, x in enumerate(sorted(samples(rx))) if k % 7 == 0} | {f"licensed under {x}" for x in ("GPL2", "GNU GPL3", "LGPL3", "AGPL3", "GPLv1", "LGPLv2", "LGPLv2.1", "LGPLv3", "AGPLv3")})
+    words = lambda t: " " + " ".join(re.findall(r"[a-z0-9]+", t.lower())) + " "
+    for label, key, rx, _, _ in rules:
+        assert all(any(w.startswith(key) for w in x.split()) for x in samples(rx)), (label, key, rx)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in license_scan.scan(df).collect():
+        best = min(p for _, _, rx, p, _ in rules if re.search(f"(?<= )(?:{rx})(?= )", words(r["text"])))
+        assert r["detections"] and min(d["p"] for d in r["detections"]) == best, r["text"]
+    found = {r["text"]: {d["label"] for d in r["detections"]} for r in license_scan.scan(df.filter("text like 'licensed under %'")).collect()}
+    for name, label in {"GPL2": "gpl-2", "GNU GPL3": "gpl-3", "LGPL3": "lgpl-3", "AGPL3": "agpl-3", "GPLv1": "gpl-1", "LGPLv2": "lgpl-2", "LGPLv2.1": "lgpl-2.1", "LGPLv3": "lgpl-3", "AGPLv3": "agpl-3"}.items():
+        assert label in found[f"licensed under {name}"], (name, found[f"licensed under {name}"])
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 
