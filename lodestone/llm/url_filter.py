@@ -1,8 +1,8 @@
 """URL filter by association rules: FP-growth over URL tokens and labels, matched by an inverted index.
 
 Every labelled url is a transaction of its tokens (host, its parent domains, subdomain prefix, scheme, first path segment,
-file ending, query keys, fragment mark) and the item ``label=bad`` or ``label=good``. Spark's FP-growth mines the frequent
-itemsets; rules that conclude ``label=bad`` are pruned by support and confidence, and a rule is dropped if a more general
+file ending, query keys, fragment mark). Spark's FP-growth mines the itemsets of at least ``MIN_ROWS`` bad urls, and a join counts
+the good urls that have them too. These rules are pruned by confidence, and a rule is dropped if a more general
 one is at least as confident. A rule is indexed under its rarest token, so that a url meets only the rules of its rare
 tokens; it matches if all tokens of the rule are in the url. The best matching rule blocks the url.
 
@@ -24,9 +24,8 @@ from .common import BROADCAST_ROWS, LOWER, UPPER, join_bounded, table, written
 
 #: host, path, verdict.
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Least share and number of labelled urls that a rule holds in, and its least confidence.
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.002, 5, 0.8
-BAD, GOOD = "label=bad", "label=good"
+#: Least number of bad urls that a rule holds in, however many are labelled, and its least confidence.
+MIN_ROWS, MIN_CONFIDENCE = 5, 0.8
 
 
 def host_of(url: Column) -> Column:
@@ -68,19 +67,26 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.expr("cast(array() as array<string>)")).otherwise(F.coalesce(both, F.expr("cast(array() as array<string>)")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(tokens, bad) rows -> rule_id, tokens, anchor, confidence, support."""
-    items = labelled.filter((F.size("tokens") > 0) & F.col("bad").isNotNull()).select(F.concat("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
-    items = written(items, "transactions")
+def mine_rules(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(tokens, bad) rows -> rule_id, tokens, anchor, confidence, support.
+
+    min_support asks for a share of all labelled urls besides; by default the count alone decides.
+    """
+    rows = written(labelled.filter((F.size("tokens") > 0) & F.col("bad").isNotNull()).select("tokens", "bad"), "transactions")
     spark = labelled.sparkSession
-    empty = "tokens array<string>, confidence double, support double"
-    n = items.count()
-    if n == 0:
-        mined, frequency = spark.createDataFrame([], empty), spark.createDataFrame([], "token string, freq long")
+    n, n_bad = rows.count(), rows.filter("bad").count()
+    least = max(min_rows, min_support * n)
+    if n_bad < least:
+        mined, frequency = spark.createDataFrame([], "tokens array<string>, confidence double, support double"), spark.createDataFrame([], "token string, freq long")
     else:
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(items)
-        mined = model.associationRules.filter(F.array_contains("consequent", BAD) & (F.size("antecedent") > 0)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-        frequency = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
+        # Half a row less, so that rounding never costs the last row.
+        model = FPGrowth(itemsCol="tokens", minSupport=max(0.0, least - 0.5) / n_bad, minConfidence=1.0).fit(rows.filter("bad"))
+        found = written(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")), "itemsets").filter(F.col("n_bad") >= least)
+        frequency = found.filter(F.size("tokens") == 1).select(F.get("tokens", F.lit(0)).alias("token"), F.col("n_bad").alias("freq"))
+        goods = written(_good_counts(rows.filter(~F.col("bad")), found, frequency), "goods")
+        good = F.coalesce("n_good", F.lit(0))
+        counted = found.withColumn("set_id", F.md5(F.array_join("tokens", "\x01"))).join(goods, "set_id", "left")
+        mined = counted.select("tokens", (F.col("n_bad") / (F.col("n_bad") + good)).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support")).filter(F.col("confidence") >= min_confidence)
     rules = written(mined.withColumn("rule_id", F.md5(F.array_join("tokens", "\x01"))), "rules")
     # A rule falls to a proper part of it that is as confident: parts are found by looking each rule's subsets up.
     subsets = rules.filter(F.size("tokens") > 1).select("rule_id", "confidence", F.explode(_subsets(F.col("tokens"))).alias("part")).select("rule_id", "confidence", F.md5(F.array_join("part", "\x01")).alias("part_id"))
@@ -91,6 +97,15 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return strong.join(rarest, "rule_id")
 
 
+def _good_counts(good: DataFrame, itemsets: DataFrame, frequency: DataFrame) -> DataFrame:
+    """set_id, n_good: how many good rows have all tokens of an itemset. Equal rows are matched once, by an itemset's rarest token."""
+    ids = itemsets.select(F.md5(F.array_join("tokens", "\x01")).alias("set_id"), F.col("tokens").alias("wanted"))
+    anchors = ids.select("set_id", "wanted", F.explode("wanted").alias("token")).join(frequency, "token").groupBy("set_id").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"), F.first("wanted").alias("wanted"))
+    sets = good.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("rows"))
+    met = sets.select("tokens", "rows", F.explode("tokens").alias("anchor")).join(anchors, "anchor")
+    return met.filter(F.size(F.array_except("wanted", "tokens")) == 0).groupBy("set_id").agg(F.sum("rows").alias("n_good"))
+
+
 def _subsets(tokens: Column) -> Column:
     """All non-empty proper subsets; an itemset has a url's few tokens, so there are few."""
     count = F.pow(F.lit(2), F.size(tokens)).cast("int") - 2

@@ -565,3 +565,12 @@ def test_rules_are_mined_and_pruned(spark):
     kept = [(r["tokens"], r["anchor"], r["confidence"]) for r in rules.collect()]
     assert kept == [(["dir=win"], "dir=win", 1.0)]  # every longer rule is no better
     assert all((r["verdict"] == "block") == r["bad"] for r in url_filter.judge_urls(df, rules).collect())
+
+
+def test_support_does_not_grow_with_the_table(spark):
+    """Six bad urls of a host make a rule among 40 labelled urls and among 8,040; good urls lower its confidence."""
+    own = [(["host=bad.com", "scheme=http"], True)] * 6 + [(["host=half.com", "scheme=http"], k < 6) for k in range(12)] + [(["host=few.com", "scheme=http"], True)] * 4
+    for others in (20, 8000):
+        rows = own + [([f"host=h{k}.com", "scheme=http"], False) for k in range(others)]
+        rules = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+        assert [(r["tokens"], r["confidence"]) for r in rules] == [(["host=bad.com"], 1.0)]
