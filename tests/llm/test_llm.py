@@ -574,3 +574,17 @@ def test_support_does_not_grow_with_the_table(spark):
         rows = own + [([f"host=h{k}.com", "scheme=http"], False) for k in range(others)]
         rules = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
         assert [(r["tokens"], r["confidence"]) for r in rules] == [(["host=bad.com"], 1.0)]
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_join_equals_brute_force(spark):
+    """After the join, each brute-force class of the kept documents has exactly its first document."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    docs = p.written(stages["quality_rules"](spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ""), "test-kept")
+    want = {c for _, c, _ in brute_links([(r["doc_id"], r["text"]) for r in docs.collect()])}
+    got = [r["doc_id"] for r in stages["jaccard_join"](spark, docs, "").collect()]
+    assert len(want) < docs.count() and sorted(got) == sorted(want)
