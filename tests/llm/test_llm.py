@@ -278,15 +278,14 @@ def lm_tokens(text):
     return [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), None]
 
 
-def test_katz_equals_brute_force(spark):
-    rows = [(i, prose(40, i, 30) if i % 9 else None) for i in range(60)] + [(7, prose(40, 7, 30)), (None, "Null ID")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    got = katz_lm.score_documents(df.select("doc_id", "text")).collect()
+def brute_katz(rows, order):
+    """(doc_id, tokens, known, base score, score) of every row, and P(word after a list of words) of the model."""
     texts = [(i, lm_tokens(t)) for i, t in rows]
     train = [t for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    before = lambda t, k, n: tuple((["^"] * n + t)[k : k + n])
+    counts = [Counter((before(t, k, n), w) for t in train for k, w in enumerate(t)) for n in range(order)]
     uni = Counter(w for t in train for w in t)
-    bi = Counter(p for t in train for p in zip(["^", *t], t))
-    n, v = sum(uni.values()), len(uni)
+    total, v = sum(uni.values()), len(uni)
 
     def discounts(counts):
         c = Counter(counts.values())
@@ -296,28 +295,45 @@ def test_katz_equals_brute_force(spark):
                 return d
         return [(k - 0.5) / k for k in range(1, 6)]
 
-    d1, d2 = discounts(uni), discounts(bi)
+    ds = [discounts(c) for c in counts]
     mass = lambda c, d: d[c - 1] * c if c <= 5 else c
-    p1 = {w: mass(c, d1) / n for w, c in uni.items()}
+    by = [defaultdict(dict) for _ in counts]
+    for n, c in enumerate(counts):
+        for (h, w), x in c.items():
+            by[n][h][w] = x
+    p1 = {w: mass(c, ds[0]) / total for w, c in uni.items()}
     unknown = 1 - sum(p1.values())
-    by = defaultdict(dict)
-    for (h, w), c in bi.items():
-        by[h][w] = c
-    left = {}
-    for h, ws in by.items():
-        total, m = sum(ws.values()), sum(mass(c, d2) for c in ws.values())
-        scale = total / (total + 1) if m >= total else 1
-        left[h] = (total, scale, (1 - m * scale / total) / max(1 - sum(p1[w] for w in ws), 1e-300))
 
     def p(h, w):
-        if w in by.get(h, {}):
-            return mass(by[h][w], d2) * left[h][1] / left[h][0]
-        return (left[h][2] if h in left else 1) * p1.get(w, unknown)
-
-    for h in list(by)[:15]:
-        assert abs(sum(p(h, w) for w in uni) + p(h, "never") - 1) < 1e-9
-    want = sorted((str(i), len(t), sum(w in uni for w in t), round(sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6), round(sum(math.log10(p(h, w)) for h, w in zip(["^", *t], t)), 6)) for i, t in texts)
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
+        if not h:
+            return p1.get(w, unknown)
+        seen = by[len(h)].get(h)
+        if not seen:
+            return p(h[1:], w)
+        d, n = ds[len(h)], sum(seen.values())
+        m = sum(mass(c, d) for c in seen.values())
+        scale = n / (n + 1) if all(c > 5 for c in seen.values()) else 1
+        if w in seen:
+            return mass(seen[w], d) * scale / n
+        return (1 - m * scale / n) / max(1 - sum(p(h[1:], x) for x in seen), 1e-300) * p(h[1:], w)
+
+    want = [(str(i), len(t), sum(w in uni for w in t), round(sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (v + 1))) for w in t), 6), round(sum(math.log10(p(before(t, k, order - 1), w)) for k, w in enumerate(t)), 6)) for i, t in texts]
+    return sorted(want), p, uni, by, total
+
+
+@pytest.mark.parametrize("order,salt", [(2, 1 << 20), (2, 20), (3, 15), (1, 1 << 20)])
+def test_katz_equals_brute_force(spark, order, salt):
+    """Also with several chunks, and with frequent histories spread over buckets."""
+    rows = [(i, prose(40, i, 30) if i % 9 else None) for i in range(60)] + [(7, prose(40, 7, 30)), (None, "Null ID"), (2**60 + 1, "W1x1 w1x1 Never \u00c9 \u00e9")] + [(900 + i, "a b " * 9) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = katz_lm.score_documents(df, order, 150, salt).collect()
+    want, p, uni, by, n = brute_katz(rows, order)
+    for h in list(by[-1])[:15]:
+        assert abs(sum(p(h, w) for w in uni) + p(h, "not seen") - 1) < 1e-9
+    mine = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got)
+    assert [r[:3] for r in mine] == [r[:3] for r in want]
+    for a, b in zip(mine, want):
+        assert abs(a[3] - b[3]) < 2e-6 and abs(a[4] - b[4]) < 2e-6, (a, b)
     assert {r["train_tokens"] for r in got} == {n}
 
 
