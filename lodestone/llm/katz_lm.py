@@ -63,7 +63,7 @@ def pack(*arrays: np.ndarray) -> bytes:
             top = int(a.max(initial=0))
             a = a.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if top < 1 << 8 * n))
         raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
-        body = zlib.compress(raw, 1)
+        body = zlib.compress(raw)
         parts += [struct.pack("<cBQQ", a.dtype.kind.encode(), a.itemsize, len(a), len(body)), body]
     return b"".join(parts)
 
