@@ -20,7 +20,7 @@ import os
 import re
 import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,35 +32,59 @@ from .common import bucketed_totals, table, written
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Words kept per worker with their ids, until they are forgotten and learnt again.
+#: Pieces and parts kept per worker with their ids.
 CACHE_WORDS = 400_000
 _WHITE = "\t-\r \x85\xa0  -     　"
 _LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Cuts only where the byte-level pre-tokeniser cuts (before and after white space, and between a Latin word and ASCII
 #: characters after it), so that each part is encoded as it is in its text.
+_RUNS = re.compile(f" [{_WHITE}]|[{_WHITE}] ")
 _PARTS = re.compile(f" ?[{_LATIN}]++(?![^\\x00-\\x7F])| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
+class _Known(dict):
+    """What was learnt about strings: missing ones are learnt together; beyond ``most`` only those of the last call stay."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable[bytes]], most: int) -> None:
+        self.learn, self.most = learn, most
+
+    def look_up(self, lists: list[list[str]]) -> list[bytes]:
+        """For each list the bytes of its strings, joined."""
+        need = set().union(*lists)
+        new = list(need.difference(self))
+        self.update(zip(new, self.learn(new)))
+        out = [b"".join(map(self.__getitem__, x)) for x in lists]
+        if len(self) > self.most:
+            kept = {k: self[k] for k in need}
+            self.clear()
+            self.update(kept)
+        return out
+
+
 class _Encoder:
-    """Texts -> their ids as little-endian 32-bit bytes, through the tokenizers library; parts seen before are kept."""
+    """Texts -> their ids as little-endian 32-bit bytes, through the tokenizers library.
+
+    A text without runs of white space is cut at its spaces, each of which goes with what follows it; new pieces, and other
+    texts as a whole, are cut into parts. Pieces and parts seen before are kept.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
-        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.parts = _Known(self._encode, CACHE_WORDS)
+        self.pieces = _Known(lambda new: self.parts.look_up([_PARTS.findall(p) for p in new]), CACHE_WORDS)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [_PARTS.findall(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*parts).difference(self.known))
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+    def _encode(self, parts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
             ids = e.ids
-            self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [[t] if _RUNS.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
+        return self.pieces.look_up(cut)
 
 
 @lru_cache(maxsize=2)
@@ -68,7 +92,7 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def _parts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about ``most`` characters."""
     lo = held = 0
     for i, t in enumerate(texts, 1):
@@ -110,7 +134,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
         out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
         return out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, PIECES)  # pandas makes doubles of longs with nulls
 
 
 def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -183,7 +207,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     plan = pieces.sparkSession.sparkContext.broadcast(rows)
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(256)).cast("int")
-    ranked = bucketed_totals(pieces.withColumn("_bucket", bucket), ["length"], "_bucket", [F.col("doc_id"), F.col("piece")], F.lit(1), "_rank").drop("_bucket")
+    ranked = bucketed_totals(pieces.withColumn("_bucket", bucket), ["length"], "_bucket", [F.col(c) for c in sorted(pieces.columns)], F.lit(1), "_rank").drop("_bucket")
     names = pieces.columns
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
