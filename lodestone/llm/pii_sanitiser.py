@@ -3,11 +3,13 @@
 1. Emails, IP addresses, card and phone numbers are found in every whole text, in time linear in its length.
 2. Each value found is a protected entity e. All words of the texts that have it are terms t that may
    reveal it. With frequencies over all D different texts, PMI(t, e) = log2(df(t, e) * D / ((df(t) + SMOOTH) * df(e))) and
-   the information content is IC(e) = log2(D / df(e)). PMI/IC nears 1 where t occurs with e only and so discloses it.
-   Copies of a text are one piece of evidence. A value in a single text is judged too: smoothing lowers what little
-   evidence says, by 1 / log2(D) there, and there is no floor.
-3. A term is sensitive for e if PMI/IC reaches ``GENERALISE``. From ``REMOVE`` on the term is removed, below that it is
-   replaced by its shape: wherever it stands, in texts without e too.
+   the information content is IC(e) = log2(D / df(e)). What a term leaves unknown of a value is IC - PMI bits, which is 0
+   where t occurs with e only. Copies of a text are one piece of evidence. A value in a single text is judged too:
+   smoothing lowers what little evidence says, to 1 bit for a word of that one text alone, and there is no floor.
+3. A term is sensitive for e if it leaves at most ``GENERALISE`` bits, that is, if e goes with at least half of the
+   occurrences of t. Up to ``REMOVE`` bits the term is removed, else it is replaced by its shape: wherever it stands, in
+   texts without e too. Bits and not the share PMI/IC are compared, as IC grows with the corpus: a fixed share would call
+   any word sensitive that a large corpus has in a few dozen texts.
 
 Pairs are counted with map-side combination. The words of the corpus are read twice, to count the candidate terms and to
 find the sensitive ones; a table of hash slots keeps nearly all other words in the task.
@@ -33,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import join_bounded, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-GENERALISE, REMOVE = 0.8, 0.95
+#: Bits of a value that a term leaves unknown, at most.
+GENERALISE, REMOVE = 1.0, 0.2
 #: Texts with a term and without the value that are assumed beside those seen: one text alone is weak evidence.
 SMOOTH = 1.0
-SLOTS = 1 << 22
+SLOTS = 1 << 26
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -124,22 +127,23 @@ def detect(docs: DataFrame) -> DataFrame:
                 terms.append(sorted({w for w, _, _ in words_outside(text, spans)}) if spans else [])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "row_key": batch["row_key"], "text_key": batch["text_key"], "found": found, "entities": entities, "terms": terms})
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_key().alias("text_key"), "text")
-    return slim.mapInPandas(scan, f"doc_id long, row_key long, text_key long, found {FOUND}, entities array<string>, terms array<string>")
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key().alias("row_key"), text_key().alias("text_key"), "text")
+    found = slim.mapInPandas(scan, f"doc_id string, row_key string, text_key string, found {FOUND}, entities array<string>, terms array<string>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # pandas makes doubles of longs with nulls
 
 
 def text_key() -> Column:
     """Copies share a key, so that they are one piece of evidence."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def row_key() -> Column:
     """Identical rows share a key; they have identical spans too."""
-    return F.xxhash64("doc_id", "text")
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
 
 
 def disclosures(docs: DataFrame, detected: DataFrame, threshold: float = GENERALISE) -> DataFrame:
-    """entity, term, df_pair, df_entity, df_term, ratio = smoothed PMI/IC for the pairs that reach the threshold."""
+    """entity, term, df_pair, df_entity, df_term, pmi, ic and bits = ic - pmi of the pairs that leave at most ``threshold`` bits."""
     seen = detected.filter(F.size("entities") > 0)
     # Distinct first, so that a hot pair is one row per text before it is counted.
     held = seen.select("text_key", "entities", "terms").dropDuplicates(["text_key"])
@@ -150,36 +154,40 @@ def disclosures(docs: DataFrame, detected: DataFrame, threshold: float = GENERAL
     copies = written(detected.groupBy("text_key").agg(F.count("*").alias("copies")), "pii-copies")
     d = F.lit(float(max(copies.count(), 2)))
 
-    def ratio(df_term: str):
-        pmi = F.log2(F.col("df_pair") * d / ((F.greatest(F.col(df_term), F.col("df_pair")) + SMOOTH) * F.col("df_entity")))
-        ic = F.log2(d / F.col("df_entity"))
-        return F.when(ic > 0, pmi / ic).otherwise(0.0)
+    def bits(df_term: str) -> Column:
+        return F.log2((F.greatest(F.col(df_term), F.col("df_pair")) + SMOOTH) / F.col("df_pair"))
 
-    # A term is in at least as many texts as have it beside a value: that bounds the ratio from above, so the common
+    # A term is in at least as many texts as have it beside a value: that bounds the bits from below, so the common
     # words are out before the words of the corpus are counted.
-    possible = df_pair.join(df_entity, "entity").join(df_near, "term").filter(ratio("df_near") >= threshold)
+    possible = df_pair.join(df_near, "term").filter(bits("df_near") <= threshold).join(df_entity, "entity")
     possible = written(possible, "pii-pairs")
     df_term = count_terms(docs, copies.filter("copies > 1"), slots(possible))
-    return possible.join(df_term, "term").withColumn("ratio", ratio("df_term")).filter(F.col("ratio") >= threshold)
+    ic = F.log2(d / F.col("df_entity"))
+    judged = possible.join(df_term, "term").withColumn("bits", bits("df_term")).filter(F.col("bits") <= threshold)
+    return judged.withColumn("ic", ic).withColumn("pmi", F.col("ic") - F.col("bits"))
 
 
 def slots(terms: DataFrame) -> bytes:
-    """One byte per slot of a hash, 1 where a term falls: words outside are none of the terms, whatever their number.
+    """One bit per slot of a hash, 1 where a term falls: words outside are none of the terms, whatever their number.
 
-    The slots leave the tasks as bits, in at most SLOTS / 64 rows.
+    The slots leave the tasks as words of 64 bits, in at most SLOTS / 64 rows, and are 8 MB.
     """
     slot = terms.select((F.crc32(F.col("term").cast("binary")) % SLOTS).alias("slot"))
     bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    cells = slot.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("cell")).agg(F.bit_or(bit).alias("bits")).collect()
+    cells = slot.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("cell")).agg(F.bit_or(bit).alias("bits")).toPandas()
     out = np.zeros(SLOTS // 64, dtype="<i8")
-    for r in cells:
-        out[r["cell"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").tobytes()
+    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return out.tobytes()
 
 
 def words_in(text: str, held: bytes) -> list[str]:
     """The different words of a text that fall into the slots."""
-    return [w for w in {w.lower() for w in set(_WORD.findall(text))} if held[crc32(w.encode()) % SLOTS]]
+    found = []
+    for w in {w.lower() for w in set(_WORD.findall(text))}:
+        slot = crc32(w.encode()) % SLOTS
+        if held[slot >> 3] >> (slot & 7) & 1:
+            found.append(w)
+    return found
 
 
 def count_terms(docs: DataFrame, copied: DataFrame, held: bytes) -> DataFrame:
@@ -207,7 +215,7 @@ def count_terms(docs: DataFrame, copied: DataFrame, held: bytes) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, risky: DataFrame) -> DataFrame:
-    """row_key, start, end, ratio of every place in docs where a risky term stands outside the base spans."""
+    """row_key, start, end, bits of every place in docs where a risky term stands outside the base spans."""
     shared = docs.sparkSession.sparkContext.broadcast(slots(risky))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,23 +226,23 @@ def occurrences(docs: DataFrame, risky: DataFrame) -> DataFrame:
                 if held:
                     rows += [(key, *w) for w in words_outside(text, base_spans(text)) if w[0] in held]
             columns = zip(*rows) if rows else ([], [], [], [])
-            names, kinds = ("row_key", "term", "start", "end"), ("int64", object, "int32", "int32")
+            names, kinds = ("row_key", "term", "start", "end"), (object, object, "int32", "int32")
             yield pd.DataFrame({n: pd.Series(list(c), dtype=k) for n, c, k in zip(names, columns, kinds)})
 
     # The slots drop nearly every other word before the join, which decides.
-    words = docs.select(row_key().alias("row_key"), "text").mapInPandas(scan, "row_key long, term string, start int, end int")
-    return join_bounded(words, risky, "term", "inner").select("row_key", "start", "end", "ratio")
+    words = docs.select(row_key().alias("row_key"), "text").mapInPandas(scan, "row_key string, term string, start int, end int")
+    return join_bounded(words, risky, "term", "inner").select("row_key", "start", "end", "bits")
 
 
 def find_spans(docs: DataFrame, threshold: float = GENERALISE) -> DataFrame:
-    """doc_id, row_key, spans: array<struct<kind, start, end, ratio>> of every row, by kind and start."""
+    """doc_id, row_key, spans: array<struct<kind, start, end, bits>> of every row, by kind and start."""
     detected = written(detect(docs), "pii")
-    risky = written(disclosures(docs, detected, threshold).groupBy("term").agg(F.max("ratio").alias("ratio")), "pii-terms")
+    risky = written(disclosures(docs, detected, threshold).groupBy("term").agg(F.min("bits").alias("bits")), "pii-terms")
     hits = occurrences(docs, risky)
     # A set, as identical rows share a key.
-    term = hits.groupBy("row_key").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end", "ratio")).alias("terms"))
+    term = hits.groupBy("row_key").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end", "bits")).alias("terms"))
     joined = detected.select("doc_id", "row_key", "found").join(term, "row_key", "left")
-    base = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("ratio")))
+    base = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("bits")))
     spans = F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, "terms"))
     return joined.select("doc_id", "row_key", F.array_sort(spans).alias("spans"))
 
@@ -244,11 +252,10 @@ def sanitise(docs: DataFrame, threshold: float = GENERALISE, remove: float = REM
 
     Spans are joined by row key, one row for identical rows; where few documents have any, no text is shuffled.
     """
-    names = docs.columns
-    spans = find_spans(docs, threshold).filter(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("_spans"))
-    spans = written(spans.withColumnRenamed("row_key", "_key"), "pii-spans")
-    joined = join_bounded(docs.withColumn("_key", row_key()), spans, "_key", spread=1).select(*names, "_spans")
-    at = names.index("text")
+    spans = find_spans(docs, threshold).filter(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("spans"))
+    spans = written(spans, "pii-spans")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key().alias("row_key"))  # no name can clash
+    joined = join_bounded(whole, spans, "row_key", spread=1)
 
     def rewrite(text: str | None, spans) -> str | None:
         if text is None or spans is None:
@@ -262,18 +269,17 @@ def sanitise(docs: DataFrame, threshold: float = GENERALISE, remove: float = REM
             if s["kind"] < 4:
                 new = LABELS[KINDS[s["kind"]]]
             else:
-                new = "" if s["ratio"] >= remove else "[NAME]" if word[:1].isupper() else "[WORD]"
+                new = "" if s["bits"] <= remove else "[NAME]" if word[:1].isupper() else "[WORD]"
             out += [text[end:start], new]
             end = s["end"]
         return "".join([*out, text[end:]])
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.rename(columns=dict(zip(batch.columns, [*names, "_spans"])))
-            batch["_t"] = [rewrite(t if isinstance(t, str) else None, s) for t, s in zip(batch.iloc[:, at], batch["_spans"])]
-            yield batch.assign(text=batch["_t"])[names]
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([rewrite(t if isinstance(t, str) else None, s) for t, s in zip(texts, spans)], dtype=object)
 
-    return joined.mapInPandas(apply, docs.schema)
+    new = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(apply("row.text", "spans"))
+    return joined.select(*[(new if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
