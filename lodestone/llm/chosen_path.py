@@ -336,15 +336,15 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     Only the rows that stand for others are shuffled with their texts, to take one of repeated rows.
     """
-    names = docs.columns
-    row = lambda: F.concat_ws(":", F.col("doc_id").cast("string"), "_text_key").alias("_row")
-    found = similar_texts(docs).filter(F.col("n_links") > 0).withColumn("_text_key", F.col("key"))
-    found = found.select(row(), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("_first"), F.col("class_key").alias("_class")).distinct()
-    keyed = docs.withColumn("_text_key", text_key(F.col("text")))
-    met = join_bounded(keyed.withColumn("_row", row()), written(found, "linked"), "_row", spread=1, limit=SLIM_ROWS)
-    single = met.filter(F.col("_first").isNull())
-    first = met.filter("_first").dropDuplicates(["_class"])
-    return single.select(*names).unionByName(first.select(*names))
+    key_of = lambda doc_id, key: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), key).alias("key")
+    found = similar_texts(docs).filter(F.col("n_links") > 0)
+    found = found.select(key_of(F.col("doc_id"), F.col("key")), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("first"), F.col("class_key").alias("class")).distinct()
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # no name of a column can clash
+    keyed = docs.select(whole, key_of(docs["doc_id"], text_key(docs["text"])))
+    met = join_bounded(keyed, written(found, "linked"), "key", spread=1, limit=SLIM_ROWS)
+    single = met.filter(F.col("first").isNull())
+    first = met.filter("first").dropDuplicates(["class"])
+    return single.select("row.*").unionByName(first.select("row.*"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

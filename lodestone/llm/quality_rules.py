@@ -83,8 +83,12 @@ def host_verdicts(measured: DataFrame, max_rate: float = 0.02) -> DataFrame:
     The prior of a rule has the mean m of all documents and the variance v of the sources' rates:
     a = m*s, b = (1-m)*s with s = m*(1-m)/v - 1, kept within 1 and 10,000.
     """
-    fails = {f"fail_{k}": F.sum(rule(F.col).cast("long")) for k, rule in HOST_RULES.items()}
-    hosts = measured.groupBy("source").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in fails.items()])
+    return _host_verdicts(measured, lambda k: HOST_RULES[k](F.col), max_rate)
+
+
+def _host_verdicts(rows: DataFrame, failed, max_rate: float) -> DataFrame:
+    fails = {f"fail_{k}": F.sum(failed(k).cast("long")) for k in HOST_RULES}
+    hosts = rows.groupBy("source").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in fails.items()])
     stats = []
     for k in HOST_RULES:
         rate = F.col(f"fail_{k}") / F.col("n")
@@ -117,21 +121,21 @@ def quality(docs: DataFrame, max_rate: float = 0.02) -> DataFrame:
 def filter_quality(docs: DataFrame, max_rate: float = 0.02) -> DataFrame:
     """The rows of docs that are kept, with their columns.
 
-    The host verdicts need the measures of all documents first; the second pass measures a document again beside its
-    text, so that no text is shuffled.
+    Texts are measured once: the rows that pass the base rule are written with the host rules that they fail, and a second
+    pass reads those marks against the verdicts of the hosts. The failures of rejected rows count for their hosts too.
     """
-    verdicts = host_verdicts(measure(docs.select("text", "source")), max_rate)
-    verdicts = written(verdicts.drop("n", *[f"rate_{k}" for k in HOST_RULES]), "hosts")
-    judged = join_bounded(docs, verdicts, "source")
-
-    def keep(m: Column) -> Column:
-        get = lambda c: m[c]
-        rejected = base_rule(get)
-        for k, rule in HOST_RULES.items():
-            rejected = rejected | (rule(get) & F.col(f"enforce_{k}"))
-        return ~rejected
-
-    return judged.filter(_let(metrics(F.col("text")), keep)).select(*docs.columns)
+    whole = F.struct(*[docs[c] for c in docs.columns])  # no name of a column can clash
+    get = lambda c: F.col("m")[c]
+    fails = [rule(get).alias(k) for k, rule in HOST_RULES.items()]
+    base = base_rule(get)
+    measured = docs.select(whole.alias("row"), docs["source"].alias("source"), metrics(docs["text"]).alias("m"))
+    marked = written(measured.select(F.when(~base, F.col("row")).alias("row"), "source", F.struct(*fails).alias("fails")), "quality")
+    verdicts = written(_host_verdicts(marked, lambda k: F.col("fails")[k], max_rate).drop("n", *[f"rate_{k}" for k in HOST_RULES]), "hosts")
+    judged = join_bounded(marked.filter(F.col("row").isNotNull()), verdicts, "source")
+    rejected = F.lit(False)
+    for k in HOST_RULES:
+        rejected = rejected | (F.col("fails")[k] & F.col(f"enforce_{k}"))
+    return judged.filter(~rejected).select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
