@@ -9,7 +9,7 @@ visits widen until ``RECALL`` of them lie in visited leaves. A query that has fe
 Queries meet the rows of their leaves in blocks of bounded size on either side; each block keeps its k nearest, and these are merged.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without a vec_id
-or of another dimension than most; rows with the query's vec_id are its own; other repeated rows are separate candidates;
+or of another dimension than most (for queries: than the index's); rows with the query's vec_id are its own; other repeated rows are separate candidates;
 a query id that occurs twice is asked once; equal distances go to the smaller vec_id; an empty table gives no rows.
 """
 
@@ -113,13 +113,15 @@ def fit_tree(x: np.ndarray, leaves: int, branches: int = BRANCHES) -> Tree:
     return Tree(np.array(centroids), children, leaf)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (double) of the rows that take part."""
+def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
+    """vec_id and embedding (double) of the rows that take part: those of the dimension, by default of the commonest."""
     v = F.col("embedding")
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull() & whole & F.exists(v, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding"))
-    sizes = ok.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return ok.filter(F.size("embedding") == (sizes["n"] if sizes else 0))
+    if dimension is None:
+        sizes = ok.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dimension = sizes["n"] if sizes else 0
+    return ok.filter(F.size("embedding") == dimension)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -147,8 +149,11 @@ class Index:
         if not self.rows:
             return
         share = min(1.0, sample / self.rows)
-        chosen = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * sample)
-        self.tree = fit_tree(_matrix(chosen.select("embedding").toPandas()["embedding"]) if not chosen.isEmpty() else _matrix(rows.limit(100).toPandas()["embedding"]), max(1, min(self.rows // leaf_rows, sample // 16)))
+        chosen = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+        # Ordered, so that the sample is the same in every run, however often an id repeats.
+        ordered = lambda df, n: df.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(n).toPandas()["embedding"]
+        fitted = ordered(chosen, 2 * sample)
+        self.tree = fit_tree(_matrix(fitted if len(fitted) else ordered(rows, 100)), max(1, min(self.rows // leaf_rows, sample // 16)))
         self.shared = spark.sparkContext.broadcast(self.tree)  # at most sample / 16 leaves
         shared = self.shared
 
@@ -157,6 +162,7 @@ class Index:
                 if len(b):
                     yield b.assign(leaf=shared.value.file(_matrix(b["embedding"])))
 
+        self.dimension = len(self.tree.centroids[0])
         self.filed = written(rows.mapInPandas(file, "vec_id long, embedding array<double>, leaf long"), "ann")
         self.sizes = {r["leaf"]: r["count"] for r in self.filed.groupBy("leaf").count().collect()}  # one row per leaf
         self.visits = self.calibrate(recall)
@@ -217,7 +223,7 @@ class Index:
                 part = b.iloc[at]
                 yield pd.DataFrame({"query_id": part["vec_id"].to_numpy(), "q": part["embedding"].to_numpy(), "leaf": np.array(found, dtype=np.int64)})
 
-        asked = written(usable(queries).dropDuplicates(["vec_id"]).mapInPandas(leaves, "query_id long, q array<double>, leaf long"), "ann-asked")
+        asked = written(usable(queries, self.dimension).dropDuplicates(["vec_id"]).mapInPandas(leaves, "query_id long, q array<double>, leaf long"), "ann-asked")
         # Both sides of a leaf are cut into blocks, and each block of rows meets each block of queries once.
         cuts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qs"))
         here = {r["leaf"]: r["qs"] for r in cuts.collect()}  # one row per leaf

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import running, table
 
 END = "</turn>\n"
 
@@ -62,14 +62,11 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     # What stands before each text, its length, and whether it counts for the loss.
     pieces = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t, i: F.struct(F.when(i == 0, F.length(b["header"])).otherwise(0).alias("skip"), F.length(t).alias("keep"), b["role"].isin(*loss_roles).alias("loss")))))
     laid = blocks.select("conv_id", joined.alias("formatted"), pieces.alias("pieces"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["skip"]
-        span = F.array(F.struct(start.alias("start"), p["keep"].alias("length")))
-        return F.struct((start + p["keep"] + len(END)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return laid.select("conv_id", "formatted", F.aggregate("pieces", zero, step, lambda a: a["spans"]).alias("loss_spans"))
+    size = lambda p: p["skip"] + p["keep"] + len(END)
+    starts = running(F.col("pieces"), F.lit(0), lambda at, p: at + size(p), lambda at, n: at + n)
+    spans = F.zip_with("pieces", starts, lambda p, at: F.struct((at + p["skip"]).alias("start"), p["keep"].alias("length"), p["loss"].alias("loss")))
+    spoken = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    return laid.select("conv_id", "formatted", spoken.alias("loss_spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:

@@ -58,6 +58,23 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def running(xs: Column, zero: Column, step, join, block: int = 256) -> Column:
+    """For each element of an array, the fold of the elements before it.
+
+    The array is folded in blocks, and the folds of the blocks are folded by ``join``: a growing array is copied for each
+    element within a block only, so that the time is linear in all but very long arrays.
+    """
+
+    def scan(values: Column, start: Column, f) -> Column:
+        first = F.struct(start.alias("at"), F.slice(F.array(start), F.lit(1), F.lit(0)).alias("out"))
+        return F.aggregate(values, first, lambda a, x: F.struct(f(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    cuts = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block))
+    blocks = F.transform(cuts, lambda c: F.slice(xs, c + 1, F.lit(block)))
+    before = scan(F.transform(blocks, lambda b: F.aggregate(b, zero, step)), zero, join)
+    return F.flatten(F.zip_with(blocks, before, lambda b, start: scan(b, start, step)))
+
+
 def join_bounded(left: DataFrame, right: DataFrame, key: str, how: str = "left", spread: int = 32, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a large side with one row per key of a side whose size is checked.
 

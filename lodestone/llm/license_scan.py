@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, running, table
 
 #: One word, before and after lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -106,16 +106,13 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.zip_with(at(lambda w: F.startswith(w, F.lit("\x01"))), at(lambda w: F.endswith(w, F.lit("\x02"))), span)
 
     found = ruled.withColumn("_found", F.array_sort(F.flatten(F.transform("_rules", spans))))
-    kind = "array<struct<start:int,neg_end:int,p:int,rule:int,label:string,c:double>>"
-    zero = F.struct(F.expr(f"cast(array() as {kind})").alias("kept"), F.array_repeat(F.lit(-1), PRIORITIES).alias("upto"))
-
-    def step(acc: Column, d: Column) -> Column:
-        # upto[p]: how far the detections of priority p and better that came before reach
-        inside = (F.get(acc["upto"], d["p"]) >= -d["neg_end"]) & (d["p"] > 0)
-        upto = F.transform(acc["upto"], lambda u, i: F.when(i >= d["p"], F.greatest(u, -d["neg_end"])).otherwise(u))
-        return F.struct(F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"), upto.alias("upto"))
-
-    kept = F.aggregate("_found", zero, step, lambda a: a["kept"])
+    # upto[p]: how far the detections of priority p and better that came before reach.
+    zero = F.array_repeat(F.lit(-1), PRIORITIES)
+    reach = lambda upto, d: F.transform(upto, lambda u, i: F.when(i >= d["p"], F.greatest(u, -d["neg_end"])).otherwise(u))
+    upto = running(F.col("_found"), zero, reach, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    found = found.withColumn("_upto", upto)
+    inside = lambda d, i: (F.get(F.get("_upto", i), d["p"]) >= -d["neg_end"]) & (d["p"] > 0)
+    kept = F.filter("_found", lambda d, i: ~inside(d, i))
     tidy = F.transform(kept, lambda d: F.struct(d["start"].alias("start"), (-d["neg_end"]).alias("end"), d["p"].alias("p"), d["rule"].alias("rule"), d["label"].alias("label"), d["c"].alias("c")))
     return found.withColumn("detections", F.coalesce(tidy, F.expr("cast(array() as array<struct<start:int,end:int,p:int,rule:int,label:string,c:double>>)"))).select(*names)
 

@@ -2,8 +2,10 @@
 
 Every labelled url is a transaction of its tokens (host, its parent domains, subdomain prefix, scheme, first path segment,
 file ending, query keys, fragment mark). Spark's FP-growth mines the itemsets of at least ``MIN_ROWS`` bad urls, and a join counts
-the good urls that have them too. These rules are pruned by confidence, and a rule is dropped if a more general
-one is at least as confident. A rule is indexed under its rarest token, so that a url meets only the rules of its rare
+the good urls that have them too. Only rules for bad urls are made. Before mining, tokens that cannot make a longer rule
+better are set aside: one that no good url has is a rule by itself, and of tokens that are in the same labelled urls the first
+stands for all. So a site whose urls share many query keys has few itemsets. The rules are pruned by confidence, and a rule
+is dropped if a more general one is at least as confident. A rule is indexed under its rarest token, so that a url meets only the rules of its rare
 tokens; it matches if all tokens of the rule are in the url. The best matching rule blocks the url.
 
 Host rules come first: a (host, path) rule fits its host and all subdomains if the url's path starts with the rule's; the
@@ -11,7 +13,7 @@ longest rule wins. Where none fits, the mined rules decide, and a url without ei
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no tokens and the verdict allow; rows without
 a label or with a null one don't train; without labels no rule is mined; repeated rows are judged one by one; an empty
-table gives no rows; other columns are carried by ``judge_urls``.
+table gives no rows; other columns are carried by ``judge_urls``, but for those with the names that it adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -67,56 +69,89 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.expr("cast(array() as array<string>)")).otherwise(F.coalesce(both, F.expr("cast(array() as array<string>)")))
 
 
+RULES = "tokens array<string>, n_bad long, n_good long"
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """(tokens, bad) rows -> rule_id, tokens, anchor, confidence, support.
 
     min_support asks for a share of all labelled urls besides; by default the count alone decides.
     """
-    rows = written(labelled.filter((F.size("tokens") > 0) & F.col("bad").isNotNull()).select("tokens", "bad"), "transactions")
     spark = labelled.sparkSession
-    n, n_bad = rows.count(), rows.filter("bad").count()
+    usable = labelled.filter((F.size("tokens") > 0) & F.col("bad").isNotNull())
+    sets = usable.groupBy(F.array_sort(F.array_distinct("tokens")).alias("tokens")).agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
+    sets = written(sets.withColumn("set_key", _set_id(F.col("tokens"))), "transactions")
+    n = int(sets.agg(F.sum(F.col("n_bad") + F.col("n_good"))).first()[0] or 0)
     least = max(min_rows, min_support * n)
-    if n_bad < least:
-        mined, frequency = spark.createDataFrame([], "tokens array<string>, confidence double, support double"), spark.createDataFrame([], "token string, freq long")
+    token = sets.select(F.explode("tokens").alias("token"), "set_key", "n_bad", "n_good").groupBy("token").agg(
+        F.sum("n_bad").alias("n_bad"), F.sum("n_good").alias("n_good"), F.count("*").alias("sets"),
+        # Two sums of hashes of its sets tell tokens with the same urls.
+        F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("sum_a"), F.bit_xor(F.xxhash64(F.lit("b"), F.col("set_key"))).alias("sum_b"),
+    )
+    token = written(token.filter(F.col("n_bad") >= least), "tokens")
+    one = F.array("token").alias("tokens")
+    pure = token.filter("n_good = 0").groupBy("sets", "sum_a", "sum_b").agg(F.min("token").alias("token"), F.first("n_bad").alias("n_bad")).select(one, "n_bad", F.lit(0).cast("long").alias("n_good"))
+    mixed = token.filter("n_good > 0").groupBy("sets", "sum_a", "sum_b").agg(F.min("token").alias("token"))
+    mixed = written(mixed.select("token"), "tokens-mixed")
+    if mixed.isEmpty():
+        found = spark.createDataFrame([], RULES)
     else:
+        kept = join_bounded(sets.select("set_key", "n_bad", "n_good", F.explode("tokens").alias("token")), mixed, "token", "inner")
+        slim = written(kept.groupBy("set_key", "n_bad", "n_good").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "transactions")
+        bad = slim.filter("n_bad > 0").select("tokens", F.explode(F.array_repeat(F.lit(1), F.col("n_bad").cast("int"))).alias("one"))
+        total = slim.agg(F.sum("n_bad")).first()[0]
         # Half a row less, so that rounding never costs the last row.
-        model = FPGrowth(itemsCol="tokens", minSupport=max(0.0, least - 0.5) / n_bad, minConfidence=1.0).fit(rows.filter("bad"))
-        found = written(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")), "itemsets").filter(F.col("n_bad") >= least)
-        frequency = found.filter(F.size("tokens") == 1).select(F.get("tokens", F.lit(0)).alias("token"), F.col("n_bad").alias("freq"))
-        goods = written(_good_counts(rows.filter(~F.col("bad")), found, frequency), "goods")
-        good = F.coalesce("n_good", F.lit(0))
-        counted = found.withColumn("set_id", F.md5(F.array_join("tokens", "\x01"))).join(goods, "set_id", "left")
-        mined = counted.select("tokens", (F.col("n_bad") / (F.col("n_bad") + good)).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support")).filter(F.col("confidence") >= min_confidence)
-    rules = written(mined.withColumn("rule_id", F.md5(F.array_join("tokens", "\x01"))), "rules")
-    # A rule falls to a proper part of it that is as confident: parts are found by looking each rule's subsets up.
-    subsets = rules.filter(F.size("tokens") > 1).select("rule_id", "confidence", F.explode(_subsets(F.col("tokens"))).alias("part")).select("rule_id", "confidence", F.md5(F.array_join("part", "\x01")).alias("part_id"))
-    general = rules.select(F.col("rule_id").alias("part_id"), F.col("confidence").alias("part_confidence"))
-    weak = subsets.join(general, "part_id").filter(F.col("part_confidence") >= F.col("confidence")).select("rule_id").distinct()
-    strong = rules.join(weak, "rule_id", "left_anti")
-    rarest = strong.select("rule_id", F.explode("tokens").alias("token")).join(frequency, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    return strong.join(rarest, "rule_id")
+        model = FPGrowth(itemsCol="tokens", minSupport=max(0.0, least - 0.5) / total, minConfidence=1.0).fit(bad)
+        items = written(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")), "itemsets").filter(F.col("n_bad") >= least)
+        goods = written(_good_counts(slim.filter("n_good > 0").select("tokens", "n_good"), items, token.select("token", F.col("n_bad").alias("freq"))), "goods")
+        found = items.withColumn("set_id", _set_id(F.col("tokens"))).join(goods, "set_id", "left").select("tokens", "n_bad", F.coalesce("n_good", F.lit(0)).cast("long").alias("n_good"))
+    counted = pure.unionByName(found).withColumn("rule_id", _set_id(F.col("tokens"))).withColumn("confidence", F.col("n_bad") / (F.col("n_bad") + F.col("n_good"))).withColumn("support", F.col("n_bad") / F.lit(max(n, 1)))
+    strong = _most_general(written(counted, "rules")).filter(F.col("confidence") >= min_confidence)
+    rarest = strong.select("rule_id", F.explode("tokens").alias("token")).join(token.select("token", "n_bad"), "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n_bad", "token")).alias("anchor"))
+    return strong.select("rule_id", "tokens", "confidence", "support").join(rarest, "rule_id")
+
+
+def _set_id(tokens: Column) -> Column:
+    return F.md5(F.array_join(tokens, "\x01"))
+
+
+def _most_general(rules: DataFrame) -> DataFrame:
+    """The itemsets that are more confident than every proper part of theirs.
+
+    All parts of a frequent itemset are frequent, so the best of an itemset's parts follows from its immediate parts: one
+    level of sizes after another, n look-ups an itemset instead of 2**n.
+    """
+    longest = int(rules.agg(F.max(F.size("tokens"))).first()[0] or 0)
+    level, kept = None, None
+    for size in range(1, longest + 1):
+        here = rules.filter(F.size("tokens") == size)
+        if level is None:
+            judged = here.withColumn("of_parts", F.lit(-1.0))
+        else:
+            parts = here.select("rule_id", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")).select("rule_id", _set_id(F.col("part")).alias("part_id"))
+            best = parts.join(level, "part_id").groupBy("rule_id").agg(F.max("best").alias("of_parts"))
+            judged = here.join(best, "rule_id", "left").withColumn("of_parts", F.coalesce("of_parts", F.lit(-1.0)))
+        judged = written(judged, "rules-level")
+        level = judged.select(F.col("rule_id").alias("part_id"), F.greatest("confidence", "of_parts").alias("best"))
+        own = judged.filter(F.col("confidence") > F.col("of_parts")).drop("of_parts")
+        kept = own if kept is None else kept.unionByName(own)
+    return rules if kept is None else kept
 
 
 def _good_counts(good: DataFrame, itemsets: DataFrame, frequency: DataFrame) -> DataFrame:
     """set_id, n_good: how many good rows have all tokens of an itemset. Equal rows are matched once, by an itemset's rarest token."""
-    ids = itemsets.select(F.md5(F.array_join("tokens", "\x01")).alias("set_id"), F.col("tokens").alias("wanted"))
+    ids = itemsets.select(_set_id(F.col("tokens")).alias("set_id"), F.col("tokens").alias("wanted"))
     anchors = ids.select("set_id", "wanted", F.explode("wanted").alias("token")).join(frequency, "token").groupBy("set_id").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"), F.first("wanted").alias("wanted"))
-    sets = good.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("rows"))
-    met = sets.select("tokens", "rows", F.explode("tokens").alias("anchor")).join(anchors, "anchor")
-    return met.filter(F.size(F.array_except("wanted", "tokens")) == 0).groupBy("set_id").agg(F.sum("rows").alias("n_good"))
-
-
-def _subsets(tokens: Column) -> Column:
-    """All non-empty proper subsets; an itemset has a url's few tokens, so there are few."""
-    count = F.pow(F.lit(2), F.size(tokens)).cast("int") - 2
-    part = lambda m: F.filter(tokens, lambda _, i: F.expr("1") == F.getbit(m, i))
-    return F.transform(F.sequence(F.lit(1), count), part)
+    met = good.select("tokens", "n_good", F.explode("tokens").alias("anchor")).join(anchors, "anchor")
+    return met.filter(F.size(F.array_except("wanted", "tokens")) == 0).groupBy("set_id").agg(F.sum("n_good").alias("n_good"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, host_rules=HOST_RULES) -> DataFrame:
     """Adds host, path, rule, verdict and confidence (of the best mined rule that matches, else null)."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    parsed = pages.withColumn("host", host).withColumn("path", path).withColumn("_tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
+    added = ["host", "path", "rule", "verdict", "confidence"]
+    carried = [c for c in pages.columns if c not in added]
+    row = pages.select(F.struct(*[pages[c] for c in carried]).alias("row"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
+    parsed = row.withColumn("_tokens", url_tokens(F.col("row.url"), F.col("host"), F.col("path")))
     listed = rules.select("anchor", F.struct("tokens", "confidence").alias("r"))
     # Rules by anchor, as one array: an anchor has at most 2**tokens rules, and the index is broadcast only if counted small.
     index = listed.groupBy("anchor").agg(F.collect_list("r").alias("rs"))
@@ -131,7 +166,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, host_rules=HOST_RULES) -> Dat
     judged = join_bounded(keyed, written(best.filter(F.col("confidence").isNotNull()), "matches"), "_set")
     rule, verdict = host_rule(F.col("host"), F.col("path"), host_rules)
     mined = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, mined)).drop("_tokens", "_set")
+    return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, mined)).select("row.*", *added)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,10 +243,9 @@ def test_rare_values_are_judged(spark):
     once, copied = f"{noise(20)} Zorbulon one@mail.example.org {noise(20)}", f"{noise(20)} Quixle two@mail.example.org {noise(20)}"
     rows = [(0, once), *[(10 + i, copied) for i in range(5)], *[(100 + i, noise(80)) for i in range(200)]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {x["doc_id"]: [(dict(rows)[x["doc_id"]][s["start"] : s["end"]], s["ratio"]) for s in x["spans"] if s["kind"] == 4] for x in pii_sanitiser.find_spans(df).collect()}
-    want = 1 - 1 / math.log2(202)
-    assert [(w, round(q, 9)) for w, q in found[0]] == [("Zorbulon", round(want, 9))]
-    assert all([(w, round(q, 9)) for w, q in found[10 + i]] == [("Quixle", round(want, 9))] for i in range(5))
+    found = {x["doc_id"]: [(dict(rows)[x["doc_id"]][s["start"] : s["end"]], s["bits"]) for s in x["spans"] if s["kind"] == 4] for x in pii_sanitiser.find_spans(df).collect()}
+    assert [(w, round(q, 9)) for w, q in found[0]] == [("Zorbulon", 1.0)]
+    assert all([(w, round(q, 9)) for w, q in found[10 + i]] == [("Quixle", 1.0)] for i in range(5))
     assert not any(found[100 + i] for i in range(200))
 
 
@@ -263,9 +262,42 @@ def test_terms_are_found_everywhere(spark):
     assert "orbulon" not in " ".join(x["text"] for x in pii_sanitiser.sanitise(df).collect())
 
 
+def test_terms_equal_brute_force(spark):
+    """All disclosing pairs and all their places, against counts over whole texts; a term of 300 characters among them."""
+    r = random.Random(12)
+    vocab = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = r.choices(vocab, k=r.randrange(1, 25))
+        if i % 4 == 0:
+            w.insert(r.randrange(len(w) + 1), f"user{i % 20}@mail.example.org")
+        if i % 4 == 0 or i % 31 == 0:
+            w += [f"name-{chr(97 + i % 20)}", "z" * 300 if i == 8 else "qaa"]
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[0][1]), (None, rows[4][1]), (201, None), (202, "")]
+    texts = {t or "" for _, t in rows}
+    has = {t: (set(pii_sanitiser.entities_in(t, s := pii_sanitiser.base_spans(t))), {w for w, *_ in pii_sanitiser.words_outside(t, s)}) for t in texts}
+    df = Counter(w for _, ws in has.values() for w in ws)
+    pairs = Counter((e, w) for es, ws in has.values() for e in es for w in ws)
+    ents = Counter(e for es, _ in has.values() for e in es)
+    bits = {k: math.log2((df[k[1]] + 1) / n) for k, n in pairs.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii_sanitiser.disclosures(frame, pii_sanitiser.detect(frame)).collect()
+    want = {(e, w): (math.log2(len(texts) / ents[e]), b) for (e, w), b in bits.items() if b <= 1}
+    assert want and {(x["entity"], x["term"]) for x in got} == set(want)
+    for x in got:
+        ic, b = want[x["entity"], x["term"]]
+        assert abs(x["ic"] - ic) < 1e-6 and abs(x["pmi"] - (ic - b)) < 1e-5
+    risky = {w for _, w in want}
+    places = {i: sorted((a, z) for w, a, z in pii_sanitiser.words_outside(t or "", pii_sanitiser.base_spans(t or "")) if w in risky) for i, t in rows}
+    for x in pii_sanitiser.find_spans(frame).collect():
+        assert [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == 4] == places[x["doc_id"]]
+
+
 def test_sanitise_odd_rows(spark, docs, empty):
-    out = pii_sanitiser.sanitise(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    more = docs.unionByName(docs.filter("doc_id = 8").select(F.explode(F.array(*[F.lit(i) for i in (90, 91)])).cast("long").alias("doc_id"), F.lit("mail or and now").alias("text"), "lang", "source", "n_chars", "kept", "_w"))
+    out = pii_sanitiser.sanitise(more)
+    assert out.columns == docs.columns and out.count() == more.count()
     assert [r["text"] for r in out.filter("doc_id = 8").collect()] == ["mail [EMAIL] or [IP] or [PHONE] now"]
     assert out.filter("doc_id = 4").first()["text"] is None
     assert pii_sanitiser.sanitise(empty).count() == 0
@@ -592,6 +624,97 @@ def test_support_does_not_grow_with_the_table(spark):
         assert [(r["tokens"], r["confidence"]) for r in rules] == [(["host=bad.com"], 1.0)]
 
 
+def brute_rules(rows, least=5, confidence=0.8):
+    """Most general confident token sets, over all subsets of the bad rows' tokens."""
+    from itertools import combinations
+
+    sets = {c for t, bad in rows if bad for k in range(1, len(set(t)) + 1) for c in combinations(sorted(set(t)), k)}
+    count = {c: (sum(bad for t, bad in rows if set(c) <= set(t)), sum(not bad for t, bad in rows if set(c) <= set(t))) for c in sets}
+    conf = {c: b / (b + g) for c, (b, g) in count.items() if b >= least}
+    return {c: x for c, x in conf.items() if x >= confidence and not any(conf.get(p, 0) >= x for k in range(1, len(c)) for p in combinations(c, k))}, conf
+
+
+def test_rules_equal_brute_force(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = []
+        for _ in range(160):
+            t = [x for x in "abcdefg" if r.random() < 0.4]
+            rows.append((t, ("a" in t and "b" in t and r.random() < 0.95) or ("c" in t and "d" in t and r.random() < 0.8) or r.random() < 0.1))
+        got = {tuple(x["tokens"]): x["confidence"] for x in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+        want, conf = brute_rules(rows)
+        # Tokens of the same rows stand for each other, so a rule may be written with another of them.
+        assert len(got) == len(want) and all(abs(conf[k] - v) < 1e-9 for k, v in got.items())
+        assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_many_shared_keys_are_few_itemsets(spark):
+    """A site whose urls share 30 query keys: one rule, in seconds, whether good urls have the keys too or not."""
+    keys = [f"key=k{i:02d}" for i in range(30)]
+    rows = [(["host=bad.com", *keys], True)] * 12 + [(["host=fair.com", *keys], False)] * 9 + [(["host=x.com"], False)] * 20
+    got = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(x["tokens"], x["confidence"]) for x in got] == [(["host=bad.com"], 1.0)]
+    pages = spark.createDataFrame([(1, "http://bad.com/?" + "&".join(f"k{i:02d}=1" for i in range(30)), "clash", "clash"), (1, "http://bad.com/?" + "&".join(f"k{i:02d}=1" for i in range(30)), "clash", "clash"), (2, None, None, None)], "page_id long, url string, host string, row string")
+    rules = url_filter.mine_rules(spark.createDataFrame([(["host=bad.com", *keys], True)] * 12, "tokens array<string>, bad boolean"))
+    out = url_filter.judge_urls(pages, rules).collect()
+    assert sorted((x["page_id"], x["host"], x["verdict"], x["row"]) for x in out if x["page_id"] == 1) == [(1, "bad.com", "block", "clash")] * 2
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+# --- clashing names, long inputs -----------------------------------------------------------------------------------
+
+CLASHES = ["row", "key", "_key", "_t", "_spans", "spans", "_rk", "enforce_symbols", "fails", "m", "_position", "_n", "position", "flat", "n", "k", "size", "_size", "_class", "_first", "first", "class", "row_key", "text_key", "copies"]
+
+
+@pytest.mark.parametrize("name", ["quality", "mix", "pii", "join"])
+def test_columns_of_any_name_are_carried(spark, docs, name):
+    wide = docs.select("*", *[F.col("doc_id").cast("string").alias(c) for c in CLASHES])
+    f = {"quality": quality_rules.filter_quality, "mix": curriculum_mix.mix_documents, "pii": pii_sanitiser.sanitise, "join": chosen_path.keep_representatives}[name]
+    out = f(wide)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert rows and all(r[c] == (None if r["doc_id"] is None else str(r["doc_id"])) for r in rows for c in CLASHES)
+
+
+def test_running_equals_prefix_sums(spark):
+    from lodestone.llm.common import running
+
+    for n in (0, 1, 255, 256, 257, 1000):
+        df = spark.range(1).select(F.transform(F.slice(F.sequence(F.lit(1), F.lit(max(n, 1))), 1, n), lambda x: x % 7).alias("x"))
+        got = df.select(running(F.col("x"), F.lit(0), lambda a, x: (a + x).cast("int"), lambda a, b: (a + b).cast("int")).alias("r")).first()["r"]
+        assert got == [sum((i + 1) % 7 for i in range(k)) for k in range(n)]
+
+
+def test_long_conversations_are_linear(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    back = chat_format.parse_chats(chat_format.format_chats(df)).select(F.size("turns").alias("n"), F.length("loss_text").alias("c")).first()
+    assert back["n"] == 100_000 and back["c"] == sum(len(f"t{i}") for i in range(1, 100_000, 2))
+
+
+def test_license_suppression_equals_brute_force(spark):
+    """Every rule's own matches, less those within one that sorts before and is of the same or a higher priority."""
+    rules = license_scan.signature_rules()
+    parts = ["licensed under the gnu gpl v2", "mit license", "all rights reserved", "spdx license identifier mit only", "see the license file for details", "under the mit license", "apache license version 2 0", "cc by nc 4 0", "word", "the"]
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(parts) for _ in range(60 if i else 600))) for i in range(6)]
+    for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = f" {x['text']} "
+        found = []
+        for k, (label, _, rx, p, c) in enumerate(rules):
+            for m in re.finditer(f"(?<= )(?:{rx})(?= )", text):
+                a = text[: m.start()].count(" ") - 1
+                found.append((a, -(a + m[0].count(" ") + 1), p, k))
+        found.sort()
+        want = [(a, -e, p, k) for i, (a, e, p, k) in enumerate(found) if p == 0 or not any(q <= p and -f >= -e for b, f, q, _ in found[:i])]
+        assert [(d["start"], d["end"], d["p"], d["rule"]) for d in x["detections"]] == want
+
+
+def test_ann_queries_of_another_dimension(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    odd = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (5, [5.0, 1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+    assert {x["query_id"] for x in ann_tree.Index(df).search(odd).collect()} == {5}
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
