@@ -13,5 +13,23 @@ CHUNK_CHARS, CHUNK_OVERLAP_CHARS = 4096, 600
 MAX_QUERY_TERMS = 24
 PAGE_REPEAT_PENALTY = 0.07
 VERSION_PENALTY, VERSION_PENALTY_MAX = 0.15, 0.30
-#: Words that carry no query meaning.
-FILLER_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "do", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "with")
+MAX_INDEX_TOKENS = 400
+CATALOG_URL_THRESHOLD = 0.7
+EXPANSION_PAGES, EXPANSION_CHUNKS, EXPANSION_PULL, EXPANSION_KEEP = 2, 10, 200, 48
+#: Words that carry no query meaning.
+FILLER_WORDS = (
+    "a", "about", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from",
+    "get", "give", "has", "have", "how", "i", "if", "in", "into", "is", "it", "its", "just", "know", "like", "me", "my", "need", "no", "not", "of", "on",
+    "one", "only", "or", "our", "out", "over", "please", "should", "show", "so", "some", "tell", "than", "that", "the", "their", "them", "then", "there",
+    "these", "they", "this", "to", "up", "us", "use", "want", "was", "we", "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
+#: Words that don't select chunks of a page.
+EXPANSION_FILLER = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "have", "been", "with", "this", "that",
+    "from", "they", "what", "when", "your", "which", "their", "there", "would", "about", "into", "than", "them", "then", "these", "some", "such", "only",
+    "other", "also", "how", "any", "may", "type", "types", "pin", "pins", "page", "docs", "documentation", "schema", "schemas",
+)
+#: Domains under which sites are registered at the third label.
+TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.za")
+#: Path segments that name no topic.
+GENERIC_SEGMENTS = ("docs", "doc", "documentation", "en", "api", "www", "v1", "v2", "blob", "tree", "raw", "refs", "heads", "main", "master")

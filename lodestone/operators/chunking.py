@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from .. import constants as C
 from ..functions import text as X
 from ..sources.tables import table
+from .retrieval import every_term_sql
 
 
 def window_count(length: Column, size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP_CHARS) -> Column:
@@ -100,7 +101,7 @@ ORACLE_SQL = {
     "index_size_estimate": f"SELECT source, count(*) AS pages, sum({_N})::BIGINT AS chunks, sum(length(t))::BIGINT AS chars, round(avg(({_N})::DOUBLE), 6) AS chunks_per_page FROM (SELECT source, coalesce(text, '') AS t FROM documents) GROUP BY 1",
     "exact_dedupe": r"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(regexp_replace(text, '^\s+|\s+$', '', 'g'))",
     "near_duplicate_collapse": "SELECT min(doc_id) AS doc_id, count(*) AS collapsed FROM (SELECT doc_id, source, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g') AS p FROM documents) GROUP BY source, right(p, 240)",
-    "query_terms": f"""WITH i AS (SELECT item_id, lower(t) AS term, ord FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*') AS l FROM benchmark), unnest(l) WITH ORDINALITY AS u(t, ord)),
+    "query_terms": f"""WITH i AS (SELECT item_id, t AS term, ord FROM (SELECT item_id, {every_term_sql('text')} AS l FROM benchmark), unnest(l) WITH ORDINALITY AS u(t, ord)),
 f AS (SELECT item_id, term, min(ord) AS ord, row_number() OVER (PARTITION BY item_id ORDER BY min(ord)) AS n FROM i WHERE length(term) >= 2 AND term NOT IN ({_FILLER}) GROUP BY 1, 2)
 SELECT b.item_id, coalesce(string_agg(term, ' ' ORDER BY ord) FILTER (n <= 24), '') AS terms FROM benchmark b LEFT JOIN f USING (item_id) GROUP BY 1""",
     "repo_grep": "SELECT doc_id, line, substr(x, 1, 240) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(l) WITH ORDINALITY AS u(x, line) WHERE contains(lower(x), 'license')",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-GREETINGS, THANKS = ("hi", "hello", "hey", "howdy", "yo"), ("thanks", "thank", "thx", "ty", "cheers", "cool", "ok", "okay", "great", "nice", "perfect", "awesome")
+#: Words of greetings and of thanks, the first words of questions, and the scores of the rules in their order.
+GREETINGS = ("hi", "hello", "hey", "yo", "sup", "hallo", "hiya")
+THANKS = ("thanks", "thank", "thx", "ty", "appreciated", "cool", "nice", "ok", "okay")
 
 
 def intent_gate(text: Column) -> tuple[Column, Column]:

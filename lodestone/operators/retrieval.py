@@ -6,15 +6,19 @@ are never shuffled: ids go through ranking. Question sets are small and counted
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .. import constants as C
-from ..functions.text import index_terms, query_terms
+from ..functions.text import index_heading, index_terms, query_terms
 from ..sources.tables import questions, table
 
-QUESTION_LIMIT = 100_000
+QUESTION_LIMIT, QUESTION_BLOCK = 100_000, 10_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -26,35 +30,87 @@ def rank_within(df: DataFrame, order: list[Column], out: str = "rank", by: str =
     return df.withColumn(out, F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1)
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(F.col(a), F.col(b)), F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b))))
-
-
-def dense_top_k(qs: DataFrame, vectors: DataFrame, k: int = C.DENSE_TOP_K) -> DataFrame:
-    """qs: question_id, qvec; vectors: id, vec -> question_id, id, dense, rank. A stated query set against all rows."""
-    scored = vectors.join(_small(qs.select("question_id", "qvec")), F.lit(True)).select("question_id", "id", F.round(cosine("qvec", "vec"), 9).alias("dense"))
-    ranked = rank_within(scored.filter(F.col("dense").isNotNull()), [F.desc("dense"), F.asc("id")])
-    return ranked.filter(F.col("rank") < k)
-
+def dense_top_k(qs: DataFrame, vectors: DataFrame, k: int = C.DENSE_TOP_K, equal: tuple[str, ...] = ()) -> DataFrame:
+    """qs: question_id, qvec; vectors: id, vec -> question_id, id, dense, rank. A stated query set against all rows.
 
-def bm25_top_k(qs: DataFrame, chunks: DataFrame, k: int = C.LEXICAL_TOP_K) -> DataFrame:
-    """qs: question_id, question; chunks: id, text -> question_id, id, lexical, rank.
-
-    Corpus statistics are over all chunks. Only postings of terms that are asked for leave the scan.
+    ``equal`` names columns of both sides: a row answers a question only where it has the question's value, or the question
+    has none. The questions go to the tasks as one matrix, in blocks of QUESTION_BLOCK; each batch of rows is one matrix
+    product, and a task keeps the k best rows of each question, so that only these are ranked. Rows of another dimension,
+    and without or with a zero vector, have no similarity.
+    """
+    blocks = max(1, -(-qs.count() // QUESTION_BLOCK))
+    found = None
+    for part in range(blocks):
+        mine = qs if blocks == 1 else qs.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == part)
+        best = _best_of_tasks(mine, vectors, k, equal)
+        found = best if found is None else found.unionByName(best)
+    return rank_within(found, [F.desc("dense"), F.asc("id")]).filter(F.col("rank") < k)
+
+
+def _best_of_tasks(qs: DataFrame, vectors: DataFrame, k: int, equal: tuple[str, ...]) -> DataFrame:
+    asked = qs.select("question_id", "qvec", *equal).filter(F.col("qvec").isNotNull()).toPandas()  # at most about QUESTION_BLOCK rows
+    groups = [(n, g) for n, g in asked.groupby(asked["qvec"].map(len))] if len(asked) else []
+    packed = [(n, g["question_id"].to_numpy(), _unit(np.array(g["qvec"].tolist(), dtype=np.float64)), [g[c].to_numpy(dtype=object) for c in equal]) for n, g in groups if n]
+    shared = vectors.sparkSession.sparkContext.broadcast(packed)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(shared.value)
+        for batch in batches:
+            sizes = batch["vec"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for i, (n, questions, m, wanted) in enumerate(shared.value):
+                rows = batch[sizes == n]
+                if not len(rows):
+                    continue
+                scores = np.round(m @ _unit(np.array(rows["vec"].tolist(), dtype=np.float64)).T, 9)
+                for want, column in zip(wanted, equal):
+                    have = rows[column].to_numpy(dtype=object)
+                    none = np.array([w is None or w != w for w in want])
+                    scores[~(none[:, None] | (want[:, None] == have[None, :]))] = np.nan
+                ids = np.broadcast_to(rows["id"].to_numpy(), scores.shape)
+                if best[i] is not None:
+                    scores, ids = np.hstack([best[i][0], scores]), np.hstack([best[i][1], ids])
+                order = np.lexsort((ids, np.where(np.isnan(scores), np.inf, -scores)))[:, :k]
+                best[i] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        for (_, questions, _, _), held in zip(shared.value, best):
+            if held is not None:
+                scores, ids = held
+                at, col = np.nonzero(~np.isnan(scores))
+                yield pd.DataFrame({"question_id": questions[at], "id": ids[at, col], "dense": scores[at, col]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*qs.schema, *vectors.schema]}
+    return vectors.select("id", "vec", *equal).filter(F.col("id").isNotNull()).mapInPandas(scan, f"question_id {kinds['question_id']}, id {kinds['id']}, dense double")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m * m).sum(1))
+    return m / np.where(length > 0, length, np.nan)[:, None]
+
+
+def bm25_top_k(qs: DataFrame, chunks: DataFrame, k: int = C.LEXICAL_TOP_K, equal: tuple[str, ...] = ()) -> DataFrame:
+    """qs: question_id, question; chunks: id, text, and heading if there is one -> question_id, id, lexical, rank.
+
+    A term in the heading counts HEADING_WEIGHT times. Corpus statistics are over all chunks, also where ``equal`` (see
+    dense_top_k) leaves few to a question. Only postings of terms that are asked for leave the scan.
     """
-    asked = qs.select("question_id", F.explode(query_terms(F.col("question"))).alias("term"))
+    asked = qs.select("question_id", *[F.col(c).alias(f"_q_{c}") for c in equal], F.explode(query_terms(F.col("question"))).alias("term"))
     terms = asked.select("term").distinct()
-    tokens = chunks.select("id", index_terms(F.col("text")).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens").cast("double")).alias("avg_len"))
-    said = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    postings = said.join(_small(terms), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    none = F.expr("cast(array() as array<string>)")
+    heading = F.coalesce(index_terms(F.col("heading")), none) if "heading" in chunks.columns else none
+    tokens = chunks.select("id", *equal, F.coalesce(index_terms(F.col("text")), none).alias("body"), heading.alias("head"))
+    sized = tokens.withColumn("len", F.size("body") + F.size("head"))
+    stats = sized.agg(F.count("*").alias("n_docs"), F.avg(F.col("len").cast("double")).alias("avg_len"))
+    once = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    said = sized.select("id", *equal, "len", F.explode(F.concat(once("head", C.HEADING_WEIGHT), once("body", 1))).alias("t")).select("id", *equal, "len", "t.term", "t.w")
+    postings = said.join(_small(terms), "term").groupBy("id", *equal, "len", "term").agg(F.sum("w").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     n, k1, b = F.col("n_docs").cast("double"), C.BM25_K1, C.BM25_B
     idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = postings.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats)).groupBy("question_id", "id").agg(F.round(F.sum(part), 6).alias("lexical"))
+    met = postings.join(df, "term").join(asked, "term")
+    for c in equal:
+        met = met.filter(F.col(f"_q_{c}").isNull() | (F.col(f"_q_{c}") == F.col(c)))
+    scored = met.crossJoin(F.broadcast(stats)).groupBy("question_id", "id").agg(F.round(F.sum(part), 6).alias("lexical"))  # one row
     return rank_within(scored, [F.desc("lexical"), F.asc("id")]).filter(F.col("rank") < k)
 
 
@@ -154,7 +210,8 @@ def _vectors(spark, d):
 
 
 def _chunks(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    """Documents as chunks, with their source and language as headings."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", index_heading([F.col("source"), F.col("lang")]).alias("heading"), "source")
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +257,7 @@ def weighted_rerank_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_multi_pool(spark: SparkSession, d: str) -> DataFrame:
-    """Pools: the dense leg and the vectors nearest to the negated, rounded query as a second variant."""
+    """Pools: the dense leg, and the nearest to the query rounded to one digit as a second variant of it."""
     qs = questions(spark, d)
     other = qs.withColumn("qvec", F.transform("qvec", lambda x: F.round(x.cast("double"), 1)))
     pools = dense_top_k(qs, _vectors(spark, d), 20).withColumn("pool", F.lit(0)).unionByName(dense_top_k(other, _vectors(spark, d), 20).withColumn("pool", F.lit(1)))
@@ -267,15 +324,38 @@ _DENSE = """dots AS (
 dense_all AS (SELECT question_id, id, round(ab / (sqrt(aa) * sqrt(bb)), 9) AS dense FROM dots WHERE aa > 0 AND bb > 0),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, id) - 1 AS rank FROM dense_all) WHERE rank < 50)"""
 _FILLER = ", ".join(f"'{w}'" for w in C.FILLER_WORDS)
+def parts_sql(i: str) -> str:
+    """split_identifier in SQL."""
+    s = i
+    for a, b in (("([a-z0-9])([A-Z])", r"\1 \2"), ("([A-Z]+)([A-Z][a-z])", r"\1 \2"), ("([A-Za-z])([0-9])", r"\1 \2"), ("([0-9])([A-Za-z])", r"\1 \2")):
+        s = f"regexp_replace({s}, '{a}', '{b}', 'g')"
+    parts = f"list_filter(regexp_split_to_array(lower({s}), '[^a-z0-9]+'), lambda p: p <> '')"
+    return f"list_filter(string_split(array_to_string(list_transform({parts}, lambda p: CASE WHEN length(p) = 1 THEN p ELSE p || ' ' END), ''), ' '), lambda p: length(p) >= 2)"
+
+
+_IDS = "[A-Za-z_$][A-Za-z0-9_$]*"
+
+
+def every_term_sql(text: str) -> str:
+    """Identifiers and the parts of compound ones, in order."""
+    return f"flatten(list_transform(regexp_extract_all({text}, '{_IDS}'), lambda i: list_concat([lower(i)], CASE WHEN regexp_matches(i, '[A-Z_$0-9]') THEN {parts_sql('i')} ELSE [] END)))"
+
+
+def heading_parts_sql(heading: str) -> str:
+    """The distinct parts of compound identifiers, unordered."""
+    return f"list_distinct(flatten(list_filter(list_transform(list_filter(regexp_extract_all({heading}, '{_IDS}'), lambda i: regexp_matches(i, '[A-Z_$0-9]')), lambda i: {parts_sql('i')}), lambda p: len(p) >= 2)))"
+
+
 _BM25 = f"""ids AS (
-  SELECT question_id, lower(t) AS term, ord FROM (SELECT question_id, regexp_extract_all(question, '[A-Za-z_$][A-Za-z0-9_$]*') AS l FROM q), unnest(l) WITH ORDINALITY AS u(t, ord)),
+  SELECT question_id, t AS term, ord FROM (SELECT question_id, {every_term_sql('question')} AS l FROM q), unnest(l) WITH ORDINALITY AS u(t, ord)),
 asked AS (
   SELECT question_id, term FROM (
     SELECT question_id, term, row_number() OVER (PARTITION BY question_id ORDER BY min(ord)) AS n FROM ids
     WHERE length(term) >= 2 AND term NOT IN ({_FILLER}) GROUP BY question_id, term) WHERE n <= 24),
-toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS l FROM documents),
-stats AS (SELECT count(*)::DOUBLE AS n, avg(coalesce(len(l), 0)::DOUBLE) AS avg_len FROM toks),
-postings AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(l) AS len, unnest(l) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+heads AS (SELECT doc_id, CASE WHEN lang = source THEN source ELSE concat_ws(' ', nullif(trim(source), ''), nullif(trim(lang), '')) END AS h FROM documents),
+toks AS (SELECT doc_id AS id, coalesce(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), []) AS l, coalesce(list_concat(regexp_extract_all(lower(h), '[\\p{{L}}\\p{{N}}]+'), {heading_parts_sql('h')}), []) AS hl FROM documents JOIN heads USING (doc_id)),
+stats AS (SELECT count(*)::DOUBLE AS n, avg((len(l) + len(hl))::DOUBLE) AS avg_len FROM toks),
+postings AS (SELECT id, len, term, sum(w) AS tf FROM (SELECT id, len(l) + len(hl) AS len, unnest(l) AS term, 1 AS w FROM toks UNION ALL SELECT id, len(l) + len(hl), unnest(hl), 5 FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY id, len, term),
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 lex_all AS (
   SELECT question_id, id, round(sum(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END
