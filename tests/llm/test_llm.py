@@ -150,8 +150,19 @@ def test_parts_keep_tokens():
     enc = best_fit_packing._encoder(best_fit_packing.default_tokenizer())
     r = random.Random(5)
     texts = ["".join(r.choice(" \n\t\r\x1c\x85\xa0ab'1sét²́,.！​�😀") for _ in range(14)) for _ in range(4000)] + ["<|endoftext|> it's   x  ", "　 q \n\n z"]
-    for text, got in zip(texts, enc.encode(texts)):
-        assert got == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    texts += [" " * 5000 + "x", "\n " * 4000, "a" * 50_000, "漢" * 20_000]
+    for text in texts:
+        assert enc.encode(text) == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_every_character_keeps_its_tokens():
+    """All code points, alone and within words, against the tokenizers library."""
+    enc = best_fit_packing._encoder(best_fit_packing.default_tokenizer())
+    assert enc.ranked is not None
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f" {c}a{c} 1{c}{c}" for c in chars[i : i + 4000]) for i in range(0, len(chars), 4000)]
+    for text, e in zip(texts, enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert enc.encode(text) == np.asarray(e.ids, "<u4").tobytes()
 
 
 def test_packing_empty(spark, empty):
