@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .. import constants as C
-from ..functions.text import path_segments, split_identifier, url_path
+from ..functions.text import path_keywords, path_segments, split_identifier, url_path
 from ..sources.tables import table
 from .retrieval import _ALL, _fused, rank_within, vector_only_rerank
 
@@ -35,10 +35,12 @@ def name_overlap(terms: Column, tokens: Column) -> Column:
 
 
 def _tokens(name: Column) -> Column:
-    return split_identifier(F.regexp_replace(name, "[.][A-Za-z0-9]+$", ""))
+    words = F.split(F.regexp_replace(name, "[.][A-Za-z0-9]+$", ""), "[^A-Za-z0-9]+")
+    return F.flatten(F.transform(words, lambda w: split_identifier(w)))
 
 
 def path_score(path: Column, terms: Column) -> Column:
+    """The file's name, or 0.4 of its folders; give the title where there is no path."""
     segs = F.filter(F.split(path, r"[\\/]+"), lambda s: s != "")
     file = name_overlap(terms, _tokens(F.coalesce(F.get(segs, F.size(segs) - 1), F.lit(""))))
     dirs = name_overlap(terms, F.flatten(F.transform(F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0))), _tokens)))
@@ -50,6 +52,13 @@ def query_intent(q: Column) -> Column:
     return F.when(F.regexp_like(t, F.lit(r"\b(how does|how is|how are|where is|implemented|implementation|internally)\b")), "implementation").when(F.regexp_like(t, F.lit(r"\b(how do i|how to|example|snippet|usage|can i)\b")), "usage").otherwise("concept")
 
 
+def identifier_query(q: Column) -> Column:
+    """One or two words, one of which is a compound identifier."""
+    words = F.filter(F.split(F.trim(q), r"\s+"), lambda w: w != "")
+    compound = lambda w: F.regexp_like(w, F.lit(r"^[A-Za-z_$][A-Za-z0-9_$]*$")) & F.regexp_like(w, F.lit("[A-Z_$0-9]")) & (F.size(split_identifier(w)) >= 2)
+    return (F.size(words) >= 1) & (F.size(words) <= 2) & F.exists(words, compound)
+
+
 def kind_score(kind: Column, intent: Column) -> Column:
     value = (
         F.when(intent == "implementation", F.when(kind == "source", 1.0).when(kind == "docs", 0.4).otherwise(0.6))
@@ -80,7 +89,7 @@ def path_facets(path: Column) -> Column:
 
 def versioned(path: Column) -> tuple[Column, Column]:
     """The path with its version replaced, and the version; nulls where it has none."""
-    pattern = r"(?i)(^|/)(v|version-)([0-9]+([.][0-9]+)*)/"
+    pattern = r"(?i)(^|/)(v|version-)([0-9]+([.][0-9]+)*)/"  # a fixed value
     hit = F.regexp_like(path, F.lit(pattern))
     version = F.regexp_extract(F.regexp_extract(path, pattern, 3), r"^[0-9]+([.][0-9]+)?", 0).cast("double")
     return F.when(hit, F.regexp_replace(path, pattern, "$1{v}/")), F.when(hit, version)
@@ -90,8 +99,11 @@ def version_penalty(df: DataFrame) -> DataFrame:
     """question_id, path -> penalty: 0.15 for each step behind the newest copy of a page, 0.30 at most."""
     group, version = versioned(F.col("path"))
     v = df.withColumn("_g", group).withColumn("_v", version)
-    behind = F.max("_v").over(W.partitionBy("question_id", "_g")) - F.col("_v")
-    return v.withColumn("version_penalty", F.coalesce(F.least(F.lit(C.VERSION_PENALTY_MAX), behind * C.VERSION_PENALTY), F.lit(0.0))).drop("_g", "_v")
+    # Newest by aggregation: a group may hold most rows of a question.
+    newest = v.filter(F.col("_g").isNotNull()).groupBy(F.col("question_id").alias("_q"), F.col("_g").alias("_ng")).agg(F.max("_v").alias("_newest"))
+    v = v.join(newest, (F.col("question_id") == F.col("_q")) & (F.col("_g") == F.col("_ng")), "left").drop("_q", "_ng")
+    behind = F.col("_newest") - F.col("_v")
+    return v.withColumn("version_penalty", F.coalesce(F.least(F.lit(C.VERSION_PENALTY_MAX), behind * C.VERSION_PENALTY), F.lit(0.0))).drop("_g", "_v", "_newest")
 
 
 def last_mile(df: DataFrame) -> DataFrame:
@@ -172,11 +184,46 @@ def code_pool_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog_page_rank(spark: SparkSession, d: str) -> DataFrame:
     """The share of a passage's tokens that a page's path has, for pages with any: an equi-join on tokens."""
+    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+    return catalog_scores(q, _catalog(spark, d)).select("item_id", "page_id", F.round("score", 6).alias("score"))
+
+
+def _catalog(spark, d):
+    return table(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+def catalog_scores(qs: DataFrame, pages: DataFrame) -> DataFrame:
+    """item_id, question; page_id, url, title -> item_id, page_id, score > 0.
+
+    The share of the question's words (repeats count) that are in the page's title or path, and 0.25 if its first word is a
+    part of the title. An equi-join on words; the bonus of pages without a common word joins the title's parts of that length.
+    """
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    q = table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("ws"))
-    asked = q.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w")).groupBy("item_id", "n", "w").agg(F.count("*").alias("k"))
-    pages = table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(words(F.concat_ws(" ", F.regexp_extract("html", "<title>([^<]*)</title>", 1), url_path(F.col("url")))))).alias("w"))
-    return asked.join(pages, "w").groupBy("item_id", "page_id", "n").agg(F.sum("k").alias("hits")).select("item_id", "page_id", F.round(F.col("hits") / F.col("n"), 6).alias("score"))
+    q = qs.select("item_id", words(F.col("question")).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
+    asked = q.select("item_id", "n", F.explode("ws").alias("w")).groupBy("item_id", "n", "w").agg(F.count("*").alias("k"))
+    said = pages.select("page_id", F.explode(F.array_distinct(words(F.concat_ws(" ", "title", path_keywords(F.col("url")))))).alias("w"))
+    hits = asked.join(said, "w").select("item_id", "page_id", (F.col("k") / F.col("n")).alias("s"))
+    # Titles have few characters, so all parts of theirs that are as long as some first word are looked up.
+    first = q.select("item_id", F.get("ws", F.lit(0)).alias("w"))
+    sizes = sorted(r[0] for r in first.select(F.length("w")).distinct().collect())  # lengths of words, few
+    t = F.lower("title")
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(k)))
+    parts = [cut(k) for k in sizes]
+    inside = pages.select("page_id", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("w")) if parts else said.limit(0)
+    bonus = first.join(inside, "w").select("item_id", "page_id", F.lit(0.25).alias("s"))
+    return hits.unionByName(bonus).groupBy("item_id", "page_id").agg(F.sum("s").alias("score"))
+
+
+def catalog_url_filter(qs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The best page of each question, the first on a tie, if its score reaches 0.7: item_id, page_id, score."""
+    best = catalog_scores(qs, pages).groupBy("item_id").agg(F.max_by("page_id", F.struct(F.round("score", 9).alias("s"), (-F.col("page_id")).alias("n"))).alias("page_id"), F.max(F.round("score", 9)).alias("score"))
+    return best.filter(F.col("score") >= C.CATALOG_URL_THRESHOLD)
+
+
+def catalog_url_filter_q(spark: SparkSession, d: str) -> DataFrame:
+    """Questions made of the titles of the pages, every third with other words besides."""
+    q = _catalog(spark, d).select(F.col("page_id").alias("item_id"), F.when(F.col("page_id") % 3 == 0, F.concat_ws(" ", "title", F.lit("wholly unlike words stand here and there"))).otherwise(F.col("title")).alias("question"))
+    return catalog_url_filter(q, _catalog(spark, d)).select("item_id", "page_id", F.round("score", 6).alias("score"))
 
 
 def source_type_vote(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +243,7 @@ def source_type_vote(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "path_roles": path_roles, "version_penalty": version_penalties, "page_kind_counts": page_kind_counts, "query_intent": query_intents, "citations": citations,
-    "page_expansion": page_expansion, "code_pool_ratio": code_pool_ratio, "catalog_page_rank": catalog_page_rank, "source_type_vote": source_type_vote,
+    "page_expansion": page_expansion, "code_pool_ratio": code_pool_ratio, "catalog_page_rank": catalog_page_rank, "catalog_url_filter": catalog_url_filter_q, "source_type_vote": source_type_vote,
 }
 
 _list = lambda names: ", ".join(f"'{n}'" for n in names)
@@ -207,6 +254,14 @@ r AS (SELECT page_id, lower(segs[-1]) AS name, segs[1:len(segs) - 1] AS dirs FRO
 roles AS (SELECT page_id, dirs, CASE WHEN len(list_filter(dirs, lambda s: lower(s) IN (%s))) > 0 OR regexp_matches(name, '([._-](test|spec|bench|e2e)|^(test|tests|spec|specs))[.][cm]?[jt]sx?$') THEN 'test'
   WHEN len(list_filter(dirs, lambda s: lower(s) IN (%s))) > 0 THEN 'example' WHEN regexp_matches(name, '[.](md|mdx)$') OR len(list_filter(dirs, lambda s: lower(s) IN (%s))) > 0 THEN 'docs'
   WHEN regexp_matches(name, '(^|[.-])config[.][cm]?[jt]sx?$|^[.]?(eslintrc|prettierrc|babelrc)') THEN 'config' ELSE 'source' END AS role FROM r)""" % (_list(TEST_DIRS), _list(EXAMPLE_DIRS), _list(DOC_DIRS))
+_CATALOG = r"""qw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda w: length(w) > 2) AS ws FROM q),
+qn AS (SELECT * FROM qw WHERE len(ws) > 0),
+pg AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs FROM pages),
+pk AS (SELECT page_id, title, array_to_string(list_filter(list_transform(segs, lambda s: lower(trim(regexp_replace(regexp_replace(s, '(?i)[.][a-z0-9]+$', ''), '[-_]+', ' ', 'g')))), lambda w: length(w) >= 2 AND w NOT IN ('docs', 'doc', 'documentation', 'en', 'api', 'www', 'v1', 'v2', 'blob', 'tree', 'raw', 'refs', 'heads', 'main', 'master')), ' ') AS k FROM pg),
+pw AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title || ' ' || k), '[^a-z0-9]+'), lambda w: length(w) > 2))) AS w FROM pk),
+aw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w FROM qn),
+parts AS (SELECT item_id, page_id, count(*) / n::DOUBLE AS s FROM aw JOIN pw USING (w) GROUP BY item_id, page_id, n UNION ALL SELECT item_id, page_id, 0.25::DOUBLE FROM qn JOIN pk ON contains(lower(title), ws[1])),
+scores AS (SELECT item_id, page_id, sum(s) AS score FROM parts GROUP BY 1, 2)"""
 ORACLE_SQL = {
     "path_roles": f"WITH {_P} SELECT page_id, role, array_to_string(list_filter(dirs, lambda s: lower(s) NOT IN ({_list(GENERIC_DIRS)}))[1:2], ',') AS facets FROM roles",
     "version_penalty": f"""WITH {_P}, t AS (SELECT page_id, regexp_replace(path, '^[a-z]+/(v[0-9]/[a-z]+)/.*$', 'docs/\\1') AS path FROM p),
@@ -223,11 +278,9 @@ m AS (SELECT t.question_id, meta.id, t.page, round(anchor - 0.01::DOUBLE, 9) AS
   WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.question_id = t.question_id AND h.id = meta.id))
 SELECT question_id, id, page, round(score, 6) AS score FROM h UNION ALL SELECT question_id, id, page, round(score, 6) FROM m WHERE k <= 10""",
     "code_pool_ratio": f"{_ALL}, r AS (SELECT question_id, avg((id % 3 <> 0)::INT::DOUBLE) AS r FROM fused GROUP BY 1) SELECT question_id, round(r, 6) AS ratio, CASE WHEN r >= 0.6 THEN 'vector' ELSE 'semantic' END AS reranker FROM r",
-    "catalog_page_rank": r"""WITH q AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 2) AS ws FROM benchmark),
-a AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w FROM q),
-h AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ' ||
-  CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END), '[^a-z0-9]+'), lambda w: length(w) > 2))) AS w FROM pages)
-SELECT item_id, page_id, round(count(*) / n::DOUBLE, 6) AS score FROM a JOIN h USING (w) GROUP BY item_id, page_id, n""",
+    "catalog_page_rank": f"""WITH q AS (SELECT item_id, text AS question FROM benchmark), {_CATALOG} SELECT item_id, page_id, round(score, 6) AS score FROM scores WHERE score > 0""",
+    "catalog_url_filter": f"""WITH q AS (SELECT page_id AS item_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || CASE WHEN page_id % 3 = 0 THEN ' wholly unlike words stand here and there' ELSE '' END AS question FROM pages), {_CATALOG},
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, page_id) AS n FROM scores WHERE score > 0) SELECT item_id, page_id, round(score, 6) AS score FROM b WHERE n = 1 AND round(score, 9) >= 0.7""",
     "source_type_vote": """WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, url FROM pages),
 s AS (SELECT host, 'blog' AS t, 0.5::DOUBLE AS w FROM p WHERE starts_with(host, 'blog.') UNION ALL SELECT host, 'mobile', 0.3 FROM p WHERE starts_with(host, 'm.') UNION ALL
   SELECT host, 'static', 0.2 FROM p WHERE contains(url, '.html') UNION ALL SELECT host, 'app', 0.1 FROM p WHERE contains(url, '?')),

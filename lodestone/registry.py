@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import catalog, chunking, crawl, dialogue, ranking, refresh, retrieval, urls
+from .operators import answering, catalog, chunking, crawl, dialogue, ranking, refresh, retrieval, urls
 from .streaming import limits
 
-MODULES = [catalog, chunking, crawl, dialogue, limits, ranking, refresh, retrieval, urls]
+MODULES = [answering, catalog, chunking, crawl, dialogue, limits, ranking, refresh, retrieval, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
