@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import answering, catalog, chunking, crawl, dialogue, ranking, refresh, retrieval, sinks, urls
+from .operators import answering, catalog, chunking, crawl, dialogue, flows, ranking, refresh, retrieval, sinks, urls
 from .streaming import limits
 
-MODULES = [answering, catalog, chunking, crawl, dialogue, limits, ranking, refresh, retrieval, sinks, urls]
+MODULES = [answering, catalog, chunking, crawl, dialogue, flows, limits, ranking, refresh, retrieval, sinks, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
