@@ -148,3 +148,51 @@ def test_layers(spark):
     assert {r["node"]: r["depth"] for r in longest_path_layers(nodes, more).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     with pytest.raises(ValueError):
         longest_path_layers(nodes, more.unionByName(spark.createDataFrame([("d", "a")], "src string, dst string")))
+
+
+def test_stateful_limits_equal_batch(spark, tmp_path):
+    """A stream judges events as the batch does, over several micro-batches in order of time."""
+    from lodestone.streaming.limits import _timed, anchored_windows, stream_limits
+
+    e = _timed(spark, "/root/testdata/sf0.001").select("user_id", "event_id", "t")
+    cut = e.selectExpr("percentile(t, array(0.3, 0.7))").first()[0]
+    for i, (lo, hi) in enumerate(zip([-1e18, *cut], [*cut, 1e18])):
+        e.filter((F.col("t") > lo) & (F.col("t") <= hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_limits(stream, 400_000).writeStream.outputMode("append").format("memory").queryName("limits").start()
+    q.processAllAvailable()
+    q.stop()
+    batch = {(r["event_id"], r["allowed"]) for r in anchored_windows(e, 400_000).collect()}
+    assert {(r["event_id"], r["allowed"]) for r in spark.table("limits").collect()} == batch and len({a for _, a in batch}) == 2
+
+
+def test_many_events_of_a_key_are_linear(spark):
+    from lodestone.streaming.limits import anchored_windows
+
+    e = spark.range(300_000).select(F.lit(1).alias("user_id"), F.col("id").alias("event_id"), F.col("id").alias("t"))
+    assert anchored_windows(e, 100, 7).filter("allowed").count() == 3000 * 7
+
+
+def test_unique_ids_are_asked_for(spark):
+    from lodestone.operators.sinks import assert_unique
+
+    with pytest.raises(ValueError, match="id is not unique"):
+        assert_unique(spark.createDataFrame([(1,), (1,), (2,)], "id int"), "id")
+
+
+def test_json_keys(spark):
+    from lodestone.operators.flows import missing_keys
+
+    assert one(spark, missing_keys(F.lit('{"a":[{"b":{"c":1}}]}'), ["a", "b", "c", "d"])) == ["d"]
+    assert one(spark, missing_keys(F.lit('{"rows":[]}'), ["a"], "rows")) == [] and one(spark, missing_keys(F.lit("{}"), ["a"], "rows")) == ["rows"]
+
+
+def test_last_mile_deals_scores_anew(spark):
+    from lodestone.operators.ranking import last_mile
+
+    rows = [(1, i, 0.9 - i / 10, f"src/v{i + 1}/other.ts" if i < 3 else "src/limits/rate.ts", None, "source", f"p{i}", ["rate", "limits"], "implementation", False) for i in range(4)]
+    df = spark.createDataFrame(rows, "question_id int, rank int, score double, path string, symbol string, kind string, page string, terms array<string>, intent string, identifier boolean")
+    out = last_mile(df).orderBy("rank").collect()
+    assert sorted(r["score"] for r in out) == sorted(r[2] for r in rows) and [r["page"] for r in out] == ["p3", "p2", "p1", "p0"]
+    none = last_mile(df.withColumn("path", F.lit(None).cast("string"))).orderBy("rank").collect()
+    assert [r["page"] for r in none] == ["p0", "p1", "p2", "p3"]
