@@ -346,7 +346,7 @@ def _last_mile_sql(src: str, out: str) -> str:
 {out}2 AS (SELECT *, CASE WHEN path IS NULL THEN 0 ELSE least(1, greatest({_overlap('ft')}, 0.4::DOUBLE * {_overlap('dt')})) END AS ps, CASE WHEN symbol IS NULL THEN 0 ELSE {_overlap('st')} END AS ss,
   CASE WHEN kind IN ('test', 'config') THEN 0 WHEN intent = 'implementation' THEN CASE kind WHEN 'source' THEN 1 WHEN 'docs' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END WHEN intent = 'usage' THEN CASE kind WHEN 'example' THEN 1 WHEN 'source' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END
     ELSE CASE kind WHEN 'docs' THEN 1 WHEN 'source' THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END END AS ks,
-  coalesce(least(0.30::DOUBLE, (max(v) OVER (PARTITION BY question_id, g) - v) * 0.15::DOUBLE), 0) AS vp, row_number() OVER (PARTITION BY question_id, page ORDER BY rank) - 1 AS seen, count(*) OVER (PARTITION BY question_id) AS n, count(path) OVER (PARTITION BY question_id) AS np FROM {out}1),
+  CASE WHEN v IS NULL THEN 0 ELSE least(0.30::DOUBLE, (max(v) OVER (PARTITION BY question_id, g) - v) * 0.15::DOUBLE) END AS vp, row_number() OVER (PARTITION BY question_id, page ORDER BY rank) - 1 AS seen, count(*) OVER (PARTITION BY question_id) AS n, count(path) OVER (PARTITION BY question_id) AS np FROM {out}1),
 {out}3 AS (SELECT *, CASE WHEN n >= 2 AND np > 0 THEN round(0.6::DOUBLE / (1 + rank / 4.0::DOUBLE) + 0.4::DOUBLE * (ps * 0.55::DOUBLE + ss * 0.30::DOUBLE + ks * 0.15::DOUBLE) - CASE WHEN kind IN ('test', 'config') THEN 0.2::DOUBLE ELSE 0 END - vp - seen * 0.07::DOUBLE, 12) ELSE -rank END AS value,
   row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS sp FROM {out}2),
 {out}4 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY value DESC, rank) AS place FROM {out}3),

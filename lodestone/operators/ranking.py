@@ -103,7 +103,7 @@ def version_penalty(df: DataFrame) -> DataFrame:
     newest = v.filter(F.col("_g").isNotNull()).groupBy(F.col("question_id").alias("_q"), F.col("_g").alias("_ng")).agg(F.max("_v").alias("_newest"))
     v = v.join(newest, (F.col("question_id") == F.col("_q")) & (F.col("_g") == F.col("_ng")), "left").drop("_q", "_ng")
     behind = F.col("_newest") - F.col("_v")
-    return v.withColumn("version_penalty", F.coalesce(F.least(F.lit(C.VERSION_PENALTY_MAX), behind * C.VERSION_PENALTY), F.lit(0.0))).drop("_g", "_v", "_newest")
+    return v.withColumn("version_penalty", F.when(behind.isNull(), 0.0).otherwise(F.least(F.lit(C.VERSION_PENALTY_MAX), behind * C.VERSION_PENALTY))).drop("_g", "_v", "_newest")
 
 
 def last_mile(df: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ ORACLE_SQL = {
     "path_roles": f"WITH {_P} SELECT page_id, role, array_to_string(list_filter(dirs, lambda s: lower(s) NOT IN ({_list(GENERIC_DIRS)}))[1:2], ',') AS facets FROM roles",
     "version_penalty": f"""WITH {_P}, t AS (SELECT page_id, regexp_replace(path, '^[a-z]+/(v[0-9]/[a-z]+)/.*$', 'docs/\\1') AS path FROM p),
 v AS (SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)v[0-9]+/') THEN regexp_replace(path, '(^|/)v([0-9]+)/', '\\1{{v}}/') END AS g, try_cast(regexp_extract(path, '(^|/)v([0-9]+)/', 2) AS DOUBLE) AS v FROM t)
-SELECT page_id, round(coalesce(least(0.30::DOUBLE, (max(v) OVER (PARTITION BY g) - v) * 0.15::DOUBLE), 0), 6) AS penalty FROM v""",
+SELECT page_id, round(CASE WHEN v IS NULL THEN 0 ELSE least(0.30::DOUBLE, (max(v) OVER (PARTITION BY g) - v) * 0.15::DOUBLE) END, 6) AS penalty FROM v""",
     "page_kind_counts": f"WITH {_P} SELECT role, count(*) AS files FROM roles GROUP BY 1",
     "query_intent": r"""SELECT CASE WHEN regexp_matches(lower(coalesce(text, '')), '\b(how does|how is|how are|where is|implemented|implementation|internally)\b') THEN 'implementation'
 WHEN regexp_matches(lower(coalesce(text, '')), '\b(how do i|how to|example|snippet|usage|can i)\b') THEN 'usage' ELSE 'concept' END AS intent, role, count(*) AS turns FROM conversations GROUP BY 1, 2""",
