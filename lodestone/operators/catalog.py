@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.tables import table
+from .flows import expand_sets, with_precedence
 
 
 def _docs(spark, d):
@@ -38,12 +39,11 @@ def family_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_set_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Sets of source ids to sources in the order of the array; ids that are not there are dropped."""
-    sets = table(spark, d, "region").select(F.col("r_regionkey").alias("set_id"), F.array(F.col("r_regionkey") + 10, F.col("r_regionkey"), F.col("r_regionkey") + 1000, F.col("r_regionkey") + 5).alias("ids"))
-    sources = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    rows = sets.select("set_id", F.posexplode("ids").alias("pos", "id")).join(sources, "id")
-    named = rows.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("s"))
-    return named.select("set_id", F.array_join(F.transform("s", lambda x: x["name"]), ",").alias("names"))
+    """Sets of source ids, one of each customer, to suppliers in the order of the array; ids that are not there are dropped."""
+    k = F.col("c_custkey")
+    sets = table(spark, d, "customer").select(k.alias("set_id"), F.array(k + 3, k % 7, F.lit(-5).cast("long"), k).alias("ids"))
+    sources = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return expand_sets(sets, sources).select("set_id", F.array_join("names", ",").alias("names"))
 
 
 def page_rank_order(spark: SparkSession, d: str) -> DataFrame:
@@ -67,10 +67,9 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def local_over_cloud(spark: SparkSession, d: str) -> DataFrame:
-    """Two stores with one row per id each: the local row wins."""
-    local = table(spark, d, "nation").filter(F.col("n_nationkey") % 2 == 0).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(0).alias("store"))
-    cloud = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"), F.lit(1).alias("store"))
-    return local.unionByName(cloud).groupBy("id").agg(F.min_by("name", "store").alias("name"))
+    """Two stores of parts: the local row of an id wins."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"))
+    return with_precedence([p.filter("id % 2 = 0"), p.withColumn("name", F.lower("name"))], "id")
 
 
 def collapse_by_url(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +99,10 @@ def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups by size until a budget of characters is spent: stops at the first group that does not fit."""
+    """Groups by size until a budget of characters is spent: stops at the first group that does not fit.
+
+    One row for each source is ordered in one task, as a catalogue of sources is.
+    """
     g = _docs(spark, d).groupBy("source").agg(F.sum("n_chars").alias("chars"))
     spent = F.sum("chars").over(W.orderBy(F.desc("chars"), "source"))
     total = F.sum("chars").over(W.partitionBy())
@@ -126,11 +128,11 @@ ORACLE_SQL = {
     "category_section_rollup": f"WITH {_D} SELECT lang AS category, source AS section, count(*) AS chunks, count(DISTINCT page) AS pages, grouping(lang, source)::BIGINT AS level FROM d GROUP BY ROLLUP (lang, source)",
     "category_options": f"WITH {_D}, t AS (SELECT lang AS category FROM d UNION ALL SELECT CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END FROM d) SELECT category, count(*) AS documents FROM t GROUP BY 1",
     "family_versions": "SELECT c_nationkey AS family, count(*) AS versions, max(c_custkey) AS newest, max(c_custkey) + 1 AS next_version FROM customer GROUP BY 1",
-    "source_set_expand": """WITH s AS (SELECT r_regionkey AS set_id, [r_regionkey + 10, r_regionkey, r_regionkey + 1000, r_regionkey + 5] AS ids FROM region)
-SELECT set_id, string_agg(n_name, ',' ORDER BY pos) AS names FROM s, unnest(ids) WITH ORDINALITY AS u(id, pos) JOIN nation ON n_nationkey = id GROUP BY 1""",
+    "source_set_expand": """WITH s AS (SELECT c_custkey AS set_id, [c_custkey + 3, c_custkey % 7, -5, c_custkey] AS ids FROM customer)
+SELECT set_id, string_agg(s_name, ',' ORDER BY pos) AS names FROM s, unnest(ids) WITH ORDINALITY AS u(id, pos) JOIN supplier ON s_suppkey = id GROUP BY 1""",
     "page_rank_order": "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal::DOUBLE DESC NULLS LAST, s_suppkey) AS place FROM supplier",
     "latest_wins": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
-    "local_over_cloud": "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS name FROM nation",
+    "local_over_cloud": "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE lower(p_brand) END AS name FROM part",
     "collapse_by_key": "SELECT p_brand, first(p_partkey ORDER BY p_retailprice::DOUBLE DESC, p_partkey) AS p_partkey, count(*) AS members FROM part GROUP BY 1",
     "owner_join": "SELECT c_nationkey, count(*) AS orders, round(sum(o_totalprice::DOUBLE), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1",
     "pages_per_root": "SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name",
