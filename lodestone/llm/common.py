@@ -13,8 +13,8 @@ from pyspark.sql.window import Window as W
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast only if it was counted and has at most this many rows, and bytes as JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder in the warehouse, but on a cluster only if the warehouse is no folder of one machine.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if root:
+        return root
+    home = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = "://" not in home and home.startswith(("/", "file:")) or home.startswith("file:")
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; {home} may be one machine's")
+    return f"{home}/_shared"
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -75,15 +84,25 @@ def running(xs: Column, zero: Column, step, join, block: int = 256) -> Column:
     return F.flatten(F.zip_with(blocks, before, lambda b, start: scan(b, start, step)))
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether df may be broadcast: few rows, and few bytes where it has more than a thousand."""
+    rows = df.count()
+    if rows > limit:
+        return False
+    if rows <= 1000:
+        return True
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def join_bounded(left: DataFrame, right: DataFrame, key: str, how: str = "left", spread: int = 32, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a large side with one row per key of a side whose size is checked.
 
-    Up to ``limit`` rows the right side is broadcast. Beyond it the left side's keys are salted over ``spread`` parts, so
+    Up to ``limit`` rows and BROADCAST_BYTES the right side is broadcast. Beyond it the left side's keys are salted over ``spread`` parts, so
     that a key with a third of all rows does not meet in one task. Null keys match each other.
     """
     right = right.withColumnRenamed(key, "_rk")
     match = F.col(key).eqNullSafe(F.col("_rk"))
-    if right.count() <= limit:
+    if is_small(right, limit):
         return left.join(F.broadcast(right), match, how).drop("_rk")
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(spread)).cast("int"))
     copies = right.withColumn("_rsalt", F.explode(F.array(*[F.lit(i) for i in range(spread)])))
