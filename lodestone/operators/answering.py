@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .. import constants as C
+from ..functions import extract as E
 from ..functions import text as X
 from ..sources.tables import questions, table
 from .ranking import _list, identifier_query, last_mile, query_intent
-from .retrieval import _ALL, _BM25, _DENSE, _FUSED, _Q, _chunks, _vectors, bm25_top_k, dense_top_k, every_term_sql, first_per, fuse_hybrid, fuse_pools, parts_sql, rank_within, vector_only_rerank
+from .retrieval import _ALL, _BM25, _DENSE, _FUSED, _Q, _chunks, _pages, _vectors, ambiguous, bm25_top_k, coverage, dense_top_k, every_term_sql, first_per, fuse_hybrid, fuse_pools, golden_metrics, parts_sql, rank_within, vector_only_rerank
 
 SITE = "https://docs.example.org/"
 
@@ -105,6 +106,45 @@ def retrieve(qs: DataFrame, pool: DataFrame, chunks: DataFrame, threshold: float
     return direct.unionByName(prune(missed, qs, chunks, dedupe=False).withColumn("tier", F.lit("weak")))
 
 
+def escalate(ranked: DataFrame, strong: DataFrame, best: int = 10) -> DataFrame:
+    """Ranked hits, reordered by a stronger model's scores for the ten best of the questions whose ranking is ambiguous.
+
+    strong: question_id, id, strong. Questions that are clear, and hits without a strong score, keep their scores.
+    """
+    flags = ambiguous(ranked).select("question_id", "ambiguous")
+    met = ranked.join(flags, "question_id", "left").join(strong, ["question_id", "id"], "left")
+    score = F.when(F.coalesce("ambiguous", F.lit(True)) & (F.col("rank") < best), F.coalesce("strong", "score")).otherwise(F.col("score"))
+    return rank_within(met.withColumn("score", score).withColumnRenamed("rank", "_r").drop("strong", "ambiguous"), [F.desc("score"), F.asc("_r")]).drop("_r")
+
+
+def covered(qs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """coverage for all questions: none where nothing was found."""
+    return qs.select("question_id").join(coverage(ranked), "question_id", "left").withColumn("coverage", F.coalesce("coverage", F.lit("none")))
+
+
+def golden_cases(ranked: DataFrame, expected: DataFrame, rejected: DataFrame) -> DataFrame:
+    """golden_metrics, and whether a page of ``rejected`` (question_id, page) is among a question's hits."""
+    bad = ranked.join(rejected, ["question_id", "page"]).select("question_id", F.lit(True).alias("reject_hit")).distinct()
+    return golden_metrics(ranked, expected).join(bad, "question_id", "left").withColumn("reject_hit", F.coalesce("reject_hit", F.lit(False)))
+
+
+def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Cases of two runs by question: question_id, improved, regressed, where either holds."""
+    b = before.select("question_id", F.col("hit_at_1").alias("b1"), F.col("first_rank").alias("br"), F.col("reject_hit").alias("bx"))
+    met = after.join(b, "question_id")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    improved = (F.col("hit_at_1") & ~F.col("b1")) | no(F.col("first_rank") < F.col("br"))
+    regressed = (~F.col("hit_at_1") & F.col("b1")) | no(F.col("first_rank") > F.col("br")) | (F.col("reject_hit") & ~F.col("bx"))
+    return met.select("question_id", improved.alias("improved"), regressed.alias("regressed")).filter("improved or regressed")
+
+
+def wordings(question: Column, variants: Column) -> Column:
+    """What a question is asked as: cleaned, as it is, and its variants; each once, whatever its case."""
+    every = F.filter(F.transform(F.concat(F.array(E.clean_query(question), question), variants), lambda w: F.trim(w)), lambda w: w != "")
+    lower = F.transform(every, lambda w: F.lower(w))
+    return F.filter(every, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+
+
 # --- examples ------------------------------------------------------------------------------------------------------
 
 
@@ -307,7 +347,49 @@ def find_examples_q(spark: SparkSession, d: str) -> DataFrame:
     return find_examples(lists.join(meta.select("id", "url", "example_index"), "id")).select("question_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def escalated_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The strong score is the labels' quality."""
+    ranked = vector_only_rerank(_pool(spark, d)).select("question_id", "id", "rank", "score")
+    sem = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("strong"))
+    return escalate(ranked, ranked.select("question_id", "id").join(sem, "id")).select("question_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def question_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every third question has no hits."""
+    ranked = vector_only_rerank(_pool(spark, d)).filter("question_id % 3 <> 0")
+    return covered(questions(spark, d), ranked)
+
+
+def _golden(spark, d, ranked):
+    expected = _pages(questions(spark, d).select("question_id", F.col("question_id").alias("id")), spark, d).select("question_id", "page")
+    other = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.floor(F.col("doc_id") / 50).cast("string")).alias("page"))
+    rejected = questions(spark, d).select("question_id", (F.col("question_id") + 1).alias("id")).join(other, "id").select("question_id", "page")
+    return golden_cases(_pages(ranked, spark, d), expected, rejected)
+
+
+def golden_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return _golden(spark, d, _pool(spark, d))
+
+
+def run_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical leg alone against both legs."""
+    return compare_runs(_golden(spark, d, bm25_top_k(questions(spark, d), _chunks(spark, d))), _golden(spark, d, _pool(spark, d)))
+
+
+def question_wordings(spark: SparkSession, d: str) -> DataFrame:
+    q = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("```x = 1``` "), "text", F.lit("?!"))).otherwise(F.col("text"))
+    variants = F.array(F.upper("text"), F.concat(F.lit(" "), F.col("item_id").cast("string"), F.lit(" more ")), F.lit(""))
+    ascii_only = table(spark, d, "benchmark").filter(F.regexp_like("text", F.lit(r"^[\x20-\x7e]*$")))
+    return ascii_only.select("item_id", F.size(wordings(q, variants)).cast("long").alias("wordings"), F.sha2(F.array_join(wordings(q, variants), "\n"), 256).alias("hash"), F.array_join(E.keyword_terms(F.col("text")), " ").alias("keywords"))
+
+
+def clamped_scores(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value") / 100 - 0.5
+    return table(spark, d, "events").select("event_id", F.round(E.clamp_score(F.when(F.col("event_id") % 9 != 0, v)), 6).alias("clamped"), F.round(E.logistic(v), 6).alias("logistic"))
+
+
 QUERIES = {
+    "escalated_rerank": escalated_rerank, "question_coverage": question_coverage, "golden_rejects": golden_rejects, "run_comparison": run_comparison, "question_wordings": question_wordings, "clamped_scores": clamped_scores,
     "filtered_topk": filtered_topk, "crawl_root_fallback": crawl_root_fallback, "last_mile_rank": last_mile_rank, "retrieve_full": retrieve_full, "context_expansion": context_expansion,
     "retrieve_many": retrieve_many, "ranked_list_fusion": ranked_list_fusion, "cross_query_dedupe": cross_query_dedupe, "catalog_union": catalog_union, "citation_sources": citation_sources,
     "example_catalog": example_catalog_q, "page_examples": page_examples_q, "example_retrieval": example_retrieval, "find_examples": find_examples_q,
@@ -382,7 +464,30 @@ def _example_sql(q: str, out: str, kinds: str) -> str:
 {out} AS (SELECT question_id, id, score, rank, score < 0.65 AS relaxed FROM {out}s WHERE score >= 0.65 OR (score >= 0.5 AND question_id NOT IN (SELECT question_id FROM {out}s WHERE score >= 0.65)))"""
 
 
+def _gold_sql(src: str, n: str) -> str:
+    return f"""{n}r AS (SELECT question_id, page, rank FROM {src} JOIN meta USING (id)), {n}p AS (SELECT question_id, page, row_number() OVER (PARTITION BY question_id ORDER BY min(rank)) - 1 AS pr FROM {n}r GROUP BY 1, 2),
+{n}h AS (SELECT question_id, min(pr) AS pr FROM {n}p JOIN ex USING (question_id, page) GROUP BY 1), {n}c AS (SELECT question_id, min(rank) + 1 AS f FROM {n}r JOIN ex USING (question_id, page) GROUP BY 1),
+{n} AS (SELECT question_id, coalesce(pr < 1, false) AS hit_at_1, coalesce(pr < 3, false) AS hit_at_3, coalesce(pr < 5, false) AS hit_at_5, f AS first_rank, round(coalesce(1.0::DOUBLE / f, 0), 6) AS mrr, f IS NULL AS miss, EXISTS (SELECT 1 FROM {n}r JOIN rj USING (question_id, page) WHERE {n}r.question_id = e.question_id) AS reject_hit
+  FROM (SELECT DISTINCT question_id FROM ex) e LEFT JOIN {n}h USING (question_id) LEFT JOIN {n}c USING (question_id))"""
+
+
+_GOLD = "ex AS (SELECT question_id, page FROM q JOIN meta ON meta.id = question_id), rj AS (SELECT question_id, page FROM q JOIN meta ON meta.id = question_id + 1)"
 ORACLE_SQL = {
+    "escalated_rerank": f"""{_ALL}, t AS (SELECT question_id, max(score) FILTER (rank = 0) AS s0, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2 FROM vec GROUP BY 1),
+a AS (SELECT question_id, s0 < 0.70 OR coalesce(round(s0 - s1, 9) < 0.08, false) OR coalesce(round(s0 - s2, 9) < 0.12, false) AS amb FROM t),
+e AS (SELECT question_id, vec.id, rank AS r, CASE WHEN amb AND rank < 10 THEN coalesce(quality::DOUBLE, score) ELSE score END AS score FROM vec JOIN a USING (question_id) LEFT JOIN labels ON doc_id = vec.id)
+SELECT question_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, r) - 1 AS rank FROM e""",
+    "question_coverage": f"""{_ALL}, t AS (SELECT question_id, round(max(score), 6) AS best, round(avg(score) FILTER (rank < 3), 6) AS mean3 FROM vec WHERE question_id % 3 <> 0 GROUP BY 1)
+SELECT q.question_id, best, mean3, CASE WHEN best IS NULL THEN 'none' WHEN best >= 0.82 AND mean3 >= 0.75 THEN 'full' ELSE 'partial' END AS coverage FROM q LEFT JOIN t USING (question_id)""",
+    "golden_rejects": f"{_ALL}, {_GOLD}, {_gold_sql('fused', 'g')} SELECT * FROM g",
+    "run_comparison": f"""{_ALL}, {_GOLD}, {_gold_sql('lex', 'g')}, {_gold_sql('fused', 'k')}, c AS (SELECT question_id, (k.hit_at_1 AND NOT g.hit_at_1) OR coalesce(k.first_rank < g.first_rank, false) AS improved, (NOT k.hit_at_1 AND g.hit_at_1) OR coalesce(k.first_rank > g.first_rank, false) OR (k.reject_hit AND NOT g.reject_hit) AS regressed FROM k JOIN g USING (question_id))
+SELECT * FROM c WHERE improved OR regressed""",
+    "question_wordings": r"""WITH b AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN '```x = 1``` ' || text || '?!' ELSE text END AS q FROM benchmark WHERE regexp_matches(text, '^[\x20-\x7e]*$')),
+c AS (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(q, '(?s)```.*?```|`[^`]*`', ' ', 'g'), '[^\p{L}\p{N}\s''-]+', ' ', 'g'), '\s+', ' ', 'g')), 400) AS c FROM b),
+w AS (SELECT item_id, trim(w) AS w, i FROM c, unnest([c, q, upper(text), ' ' || item_id || ' more ', '']) WITH ORDINALITY AS u(w, i)), f AS (SELECT item_id, first(w ORDER BY i) AS w, min(i) AS i FROM w WHERE w <> '' GROUP BY item_id, lower(w)),
+k AS (SELECT item_id, w, min(i) AS i, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS l FROM b), unnest(l) WITH ORDINALITY AS u(w, i) WHERE length(w) >= 3 GROUP BY 1, 2)
+SELECT b.item_id, (SELECT count(*) FROM f WHERE f.item_id = b.item_id) AS wordings, (SELECT sha256(string_agg(w, chr(10) ORDER BY i)) FROM f WHERE f.item_id = b.item_id) AS hash, (SELECT coalesce(string_agg(w, ' ' ORDER BY i), '') FROM k WHERE k.item_id = b.item_id AND n <= 10) AS keywords FROM b""",
+    "clamped_scores": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE round(greatest(0, least(1, value / 100 - 0.5::DOUBLE)), 6) END AS clamped, round(1 / (1 + exp(-(value / 100 - 0.5::DOUBLE))), 6) AS logistic FROM events",
     "filtered_topk": "WITH " + _Q.replace("q AS (SELECT item_id", "q AS (SELECT CASE WHEN item_id % 2 = 0 THEN o.source END AS src, item_id").replace("ON e.vec_id = b.item_id", "ON e.vec_id = b.item_id JOIN documents o ON o.doc_id = b.item_id") + ", "
     + _DENSE.replace("FROM q, embeddings)", "FROM q, embeddings LEFT JOIN documents o ON o.doc_id = vec_id WHERE src IS NULL OR src = o.source)") + ", "
     + _BM25.replace("FROM postings JOIN dfs USING (term) JOIN asked USING (term), stats GROUP BY", "FROM postings JOIN dfs USING (term) JOIN asked USING (term) JOIN q USING (question_id) JOIN documents o ON o.doc_id = postings.id, stats WHERE src IS NULL OR src = o.source GROUP BY").replace("SELECT question_id, id, round(sum(CASE", "SELECT question_id, postings.id, round(sum(CASE").replace("GROUP BY question_id, id)", "GROUP BY question_id, postings.id)") + ", "

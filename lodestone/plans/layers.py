@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
 
 def longest_path_layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """nodes: node; edges: src, dst -> node, depth. Each round peels the nodes without a predecessor that is left.
@@ -29,3 +31,19 @@ def plan_graph(phases: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = phases.select("phase_no", F.explode("branches").alias("node"))
     before = nodes.select((F.col("phase_no") + 1).alias("phase_no"), F.col("node").alias("src"))
     return nodes.select("node", "phase_no"), before.join(nodes, "phase_no").select("src", F.col("node").alias("dst"))
+
+
+def layered_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps numbered as customers: each follows the one with half its number, and the one before that with a third."""
+    k = F.col("c_custkey")
+    nodes = table(spark, d, "customer").select(k.alias("node"))
+    half, third = nodes.filter("node >= 2").select(F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst")), nodes.filter("node >= 3").select(F.floor(F.col("node") / 3).alias("src"), F.col("node").alias("dst"))
+    edges = half.unionByName(third)
+    return longest_path_layers(nodes, edges.join(nodes.withColumnRenamed("node", "src"), "src")).withColumn("depth", F.col("depth").cast("long"))
+
+
+QUERIES = {"layered_steps": layered_steps}
+ORACLE_SQL = {
+    "layered_steps": """WITH RECURSIVE e AS (SELECT c_custkey // 2 AS s, c_custkey AS t FROM customer WHERE c_custkey >= 2 UNION SELECT c_custkey // 3, c_custkey FROM customer WHERE c_custkey >= 3), x AS (SELECT s, t FROM e JOIN customer ON c_custkey = s),
+w AS (SELECT c_custkey AS node, 0::BIGINT AS depth FROM customer UNION SELECT x.t, w.depth + 1 FROM w JOIN x ON x.s = w.node) SELECT node, max(depth) AS depth FROM w GROUP BY 1""",
+}

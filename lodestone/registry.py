@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import answering, catalog, chunking, crawl, dialogue, flows, ranking, refresh, retrieval, sinks, structure, urls
+from .plans import layers
 from .streaming import limits
 
-MODULES = [answering, catalog, chunking, crawl, dialogue, flows, limits, ranking, refresh, retrieval, sinks, structure, urls]
+MODULES = [answering, catalog, chunking, crawl, dialogue, flows, layers, limits, ranking, refresh, retrieval, sinks, structure, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,3 +27,9 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     prior = base.filter((F.col("doc_id") % 11 != 0) | (F.col("doc_id") % 2 == 0)).select("source_id", "url", "hash", (F.col("doc_id") % 11 == 0).alias("tombstoned"))
     incoming = base.filter(F.col("doc_id") % 10 != 0).select("source_id", "url", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")).alias("hash"))
     return prior, incoming
+
+
+def load_snapshot(spark: SparkSession, path: str, schema: str, defaults: dict[str, object]) -> DataFrame:
+    """A JSON snapshot file (one value, or an array of rows) with the defaults of fields that are missing or null."""
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return rows.select(*[F.coalesce(F.col(c), F.lit(defaults[c]).cast(rows.schema[c].dataType)).alias(c) if c in defaults else F.col(c) for c in rows.columns])

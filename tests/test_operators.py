@@ -196,3 +196,11 @@ def test_last_mile_deals_scores_anew(spark):
     assert sorted(r["score"] for r in out) == sorted(r[2] for r in rows) and [r["page"] for r in out] == ["p3", "p2", "p1", "p0"]
     none = last_mile(df.withColumn("path", F.lit(None).cast("string"))).orderBy("rank").collect()
     assert [r["page"] for r in none] == ["p0", "p1", "p2", "p3"]
+
+
+def test_snapshot_files(spark, tmp_path):
+    from lodestone.sources.tables import load_snapshot
+
+    (tmp_path / "s.json").write_text('[{"id": "a", "pages": 3},\n {"id": "b", "name": null}]')
+    got = load_snapshot(spark, str(tmp_path / "s.json"), "id string, name string, pages int", {"name": "unnamed", "pages": 0})
+    assert sorted(map(tuple, got.collect())) == [("a", "unnamed", 3), ("b", "unnamed", 0)]
