@@ -148,8 +148,8 @@ def _sets(batch: pd.DataFrame, seen: set[bytes], most: int = 400_000) -> Iterato
         yield keys, np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def _link_bucket(sk: np.ndarray, link: float) -> tuple[np.ndarray, list[int]]:
-    """For each member the first of those it is connected with, and the leaders."""
+def _link_bucket(sk: np.ndarray, link: float, absorb: float = ABSORB) -> tuple[np.ndarray, list[int]]:
+    """For each member the first of those it is connected with, and the leaders: members not within ``absorb`` of another."""
     label = np.arange(len(sk))
     free = np.ones(len(sk), dtype=bool)
     leaders = []
@@ -157,7 +157,7 @@ def _link_bucket(sk: np.ndarray, link: float) -> tuple[np.ndarray, list[int]]:
         if not free[i]:
             continue
         same = (sk == sk[i]).mean(1)
-        free &= same < ABSORB
+        free &= same < absorb
         free[i] = False
         leaders.append(i)
         joined = np.unique(label[same >= link])
@@ -197,7 +197,7 @@ def candidate_edges(docs: DataFrame, texts: int) -> DataFrame:
     # Small buckets go to a task many at a time; a large one is cut into chunks.
     cut = full.join(counts, "path").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int")).join(sketch, "id")
 
-    def buckets(link: float):
+    def buckets(link: float, absorb: float = ABSORB):
         def brute(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["path", "chunk", "id"], kind="stable")
             ids = pdf["id"].to_numpy()
@@ -206,7 +206,7 @@ def candidate_edges(docs: DataFrame, texts: int) -> DataFrame:
             lead: list[int] = []
             for lo, hi in zip(bounds, [*bounds[1:], len(pdf)]):
                 sk = np.frombuffer(b"".join(pdf["sketch"].iloc[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1)
-                label, leaders = _link_bucket(sk, link)
+                label, leaders = _link_bucket(sk, link, absorb)
                 for j in np.flatnonzero(label != np.arange(hi - lo)):
                     p, q = _find(root, int(ids[lo + j])), _find(root, int(ids[lo + label[j]]))
                     if p != q:
@@ -224,9 +224,13 @@ def candidate_edges(docs: DataFrame, texts: int) -> DataFrame:
     cells = cut.withColumn("cell", F.when(F.col("n") > CHUNK, F.xxhash64("path", "chunk")).otherwise(F.pmod(F.xxhash64("path"), F.lit(max(16, texts * runs // 20_000)))))
     found = written(cells.groupBy("cell").applyInPandas(buckets(LINK), out), "bucket-edges")
     edges = found.filter(F.col("b").isNotNull()).select("a", "b")
-    # Leaders of a bucket's chunks meet once more, at the distance that two leaders of linked texts may have.
-    leaders = found.filter(F.col("b").isNull()).select("path", F.col("a").alias("id"), "sketch").withColumn("chunk", F.lit(0)).withColumn("n", F.lit(0)).withColumn("cell", F.col("path"))
-    again = leaders.groupBy("cell").applyInPandas(buckets(LINK - 0.1), out).select("a", "b")
+    # Leaders of a bucket's chunks meet once more, at the distance that two leaders of linked texts may have; none is absorbed
+    # again. Where there are many, they meet in pairs of blocks, so that no task grows with the bucket.
+    leaders = found.filter(F.col("b").isNull()).select("path", F.col("a").alias("id"), "sketch")
+    many = leaders.join(leaders.groupBy("path").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks")), "path")
+    pairs = many.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = pairs.select("path", "id", "sketch", F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
+    again = met.groupBy("cell").applyInPandas(buckets(LINK - 0.1, 2.0), out).select("a", "b").filter(F.col("b").isNotNull())
     return edges.unionByName(again).distinct()
 
 

@@ -306,7 +306,7 @@ def test_terms_equal_brute_force(spark):
 
 
 def test_sanitise_odd_rows(spark, docs, empty):
-    more = docs.unionByName(docs.filter("doc_id = 8").select(F.explode(F.array(*[F.lit(i) for i in (90, 91)])).cast("long").alias("doc_id"), F.lit("mail or and now").alias("text"), "lang", "source", "n_chars", "kept", "_w"))
+    more = docs.unionByName(docs.filter("doc_id = 8").select(F.explode(F.array(*[F.lit(i).cast("long") for i in (90, 91)])).alias("doc_id"), F.lit("mail or and now").alias("text"), "lang", "source", "n_chars", "kept", "_w"))
     out = pii_sanitiser.sanitise(more)
     assert out.columns == docs.columns and out.count() == more.count()
     assert [r["text"] for r in out.filter("doc_id = 8").collect()] == ["mail [EMAIL] or [IP] or [PHONE] now"]
@@ -416,6 +416,13 @@ def test_ann_small(spark):
 # --- licences ------------------------------------------------------------------------------------------------------
 
 
+def test_license_odd_tables(spark, empty):
+    assert license_scan.scan(empty).count() == 0
+    long = "word " * 60_000 + "licensed under the mit license"
+    got = license_scan.scan(spark.createDataFrame([(1, long), (1, long), (None, None)], "doc_id long, text string")).collect()
+    assert sorted(len(r["detections"]) for r in got) == sorted([0, *[len(r["detections"]) for r in got if r["doc_id"] == 1]]) and all(r["detections"][0]["start"] == 60_000 for r in got if r["doc_id"] == 1)
+
+
 def test_license_rules_are_hundreds_and_valid():
     rules = license_scan.signature_rules()
     assert len(rules) > 200
@@ -563,9 +570,11 @@ def brute_links(rows):
     return Counter((rows[k][0], min((x for x in classes[find(k)] if x is not None), default=None), links[k]) for k in range(len(rows)))
 
 
-def test_join_equals_brute_force(spark, docs, monkeypatch):
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_join_equals_brute_force(spark, docs, monkeypatch, chunk):
     monkeypatch.setattr(chosen_path, "BLOCK", 8)  # so that a component spans several blocks
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None]
+    monkeypatch.setattr(chosen_path, "CHUNK", chunk)  # and a bucket several chunks, whose leaders meet in blocks
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(None, "alone without an id " * 9), (None, None)]
     r = random.Random(9)
     shared = prose(60, 77)
     for k in range(40):
@@ -645,6 +654,15 @@ def brute_rules(rows, least=5, confidence=0.8):
     return {c: x for c, x in conf.items() if x >= confidence and not any(conf.get(p, 0) >= x for k in range(1, len(c)) for p in combinations(c, k))}, conf
 
 
+def test_odd_urls(spark):
+    """Nulls in any column, very long urls, repeated rows and repeated labels."""
+    long = "http://bad.com/" + "a/" * 20_000 + "?" + "&".join(f"k{i}=1" for i in range(300))
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://bad.com/x"), (2, None), (3, ""), (4, "://"), (5, "http://")], "page_id long, url string")
+    rules = url_filter.mine_rules(spark.createDataFrame([(["host=bad.com"], True)] * 6 + [(["host=bad.com"], None), (None, True), ([], True)], "tokens array<string>, bad boolean"))
+    got = sorted((str(r["page_id"]), r["host"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect())
+    assert got == [("1", "bad.com", "block")] * 2 + [("2", "", "allow"), ("3", "", "allow"), ("4", "", "allow"), ("5", "", "allow"), ("None", "bad.com", "block")]
+
+
 def test_rules_equal_brute_force(spark):
     for seed in range(3):
         r = random.Random(seed)
