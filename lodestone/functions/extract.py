@@ -33,15 +33,43 @@ def markdown_links(text: Column) -> Column:
     return F.array_distinct(F.transform(raw, lambda u: F.regexp_replace(u, "#.*$", "")))
 
 
-def keyword_terms(text: Column, most: int = 10) -> Column:
-    """Distinct tokens of three characters or more, first seen first."""
-    return F.slice(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)), 1, most)
+def clean_query(text: Column) -> Column:
+    """Code and punctuation gone, white space collapsed, at most 400 characters; the text as it is where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), "`[^`]+`", " ")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(bare, "[?!.,;:]+", " "), r"\s+", " "))
+    return F.substring(F.when(plain == "", F.trim(text)).otherwise(plain), 1, 400)
 
 
-def clean_query(text: Column) -> Column:
-    """Code blocks and punctuation gone, white space collapsed, at most 400 characters."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```|`[^`]*`", " "), r"[^\p{L}\p{N}\s'-]+", " ")
-    return F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, 400)
+def keyword_terms(text: Column, most: int = 10) -> Column:
+    """Distinct words of a cleaned question with three letters, digits, dots, dashes or lines or more, first seen first."""
+    words = F.transform(F.split(F.lower(clean_query(text)), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9_.-]", ""))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)), 1, most)
+
+
+def error_snippet(text: Column) -> Column:
+    """The first line that names an error, else the first name that ends in Error; null if there is none."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
+    said = F.get(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"\b(Error|Exception|Traceback|SyntaxError|KeyError|TypeError|ValueError|AttributeError)\b"))), F.lit(0))
+    named = F.nullif(F.regexp_extract(text, r"\b[A-Z][a-zA-Z]*Error(?::\s*[^\n]{0,80})?", 0), F.lit(""))
+    return F.substring(F.coalesce(said, named), 1, 120)
+
+
+def code_snippet(text: Column) -> Column:
+    """Three lines of the first code block that say something, else the first code in a line; null if there is none."""
+    block = F.regexp_extract(text, r"```[A-Za-z0-9_-]*\n([\s\S]{8,500}?)\n```", 1)
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.regexp_like(x, F.lit(r"(?i)^\s*(import\s+|from\s+.+\s+import|#|//|/\*|\*\s|const\s+[A-Za-z0-9_]+\s*=\s*require\()")))
+    condensed = F.trim(F.regexp_replace(F.array_join(F.slice(lines, 1, 3), " "), r"\s+", " "))
+    inline = F.nullif(F.trim(F.regexp_extract(text, "`([^`\n]{8,80})`", 1)), F.lit(""))
+    return F.when(F.length(condensed) >= 8, F.substring(condensed, 1, 100)).otherwise(inline)
+
+
+def rerank_query(text: Column) -> Column:
+    """What candidates are reranked by: the cleaned question, and an error and code that it does not hold already."""
+    base = F.substring(clean_query(text), 1, 200)
+    new = lambda c, n: c.isNotNull() & ~F.contains(base, F.substring(c, 1, n))
+    error, code = error_snippet(text), code_snippet(text)
+    parts = F.array_compact(F.array(base, F.when(new(error, 24), F.concat(F.lit("Error: "), error)), F.when(new(code, 20), F.concat(F.lit("Snippet: "), code))))
+    return F.substring(F.trim(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ")), 1, 220)
 
 
 def route_matches(template: Column, path: Column) -> Column:

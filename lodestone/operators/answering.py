@@ -383,13 +383,20 @@ def question_wordings(spark: SparkSession, d: str) -> DataFrame:
     return ascii_only.select("item_id", F.size(wordings(q, variants)).cast("long").alias("wordings"), F.sha2(F.array_join(wordings(q, variants), "\n"), 256).alias("hash"), F.array_join(E.keyword_terms(F.col("text")), " ").alias("keywords"))
 
 
+def rerank_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with an error or code behind them."""
+    more = F.array(F.lit(""), F.lit("\n  KeyError: 'name' in line 3\nwhy"), F.lit("\n```py\nimport os\nx = load(1)\n# no\ny = x + 2\n```\n"), F.lit(" see `call(one, two)` and a ValueError: bad thing"))
+    short = F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 120)
+    return table(spark, d, "benchmark").select("item_id", E.rerank_query(F.concat(short, F.element_at(more, (F.col("item_id") % 4 + 1).cast("int")))).alias("query"))
+
+
 def clamped_scores(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value") / 100 - 0.5
     return table(spark, d, "events").select("event_id", F.round(E.clamp_score(F.when(F.col("event_id") % 9 != 0, v)), 6).alias("clamped"), F.round(E.logistic(v), 6).alias("logistic"))
 
 
 QUERIES = {
-    "escalated_rerank": escalated_rerank, "question_coverage": question_coverage, "golden_rejects": golden_rejects, "run_comparison": run_comparison, "question_wordings": question_wordings, "clamped_scores": clamped_scores,
+    "escalated_rerank": escalated_rerank, "question_coverage": question_coverage, "golden_rejects": golden_rejects, "run_comparison": run_comparison, "question_wordings": question_wordings, "clamped_scores": clamped_scores, "rerank_queries": rerank_queries,
     "filtered_topk": filtered_topk, "crawl_root_fallback": crawl_root_fallback, "last_mile_rank": last_mile_rank, "retrieve_full": retrieve_full, "context_expansion": context_expansion,
     "retrieve_many": retrieve_many, "ranked_list_fusion": ranked_list_fusion, "cross_query_dedupe": cross_query_dedupe, "catalog_union": catalog_union, "citation_sources": citation_sources,
     "example_catalog": example_catalog_q, "page_examples": page_examples_q, "example_retrieval": example_retrieval, "find_examples": find_examples_q,
@@ -483,10 +490,12 @@ SELECT q.question_id, best, mean3, CASE WHEN best IS NULL THEN 'none' WHEN best
     "run_comparison": f"""{_ALL}, {_GOLD}, {_gold_sql('lex', 'g')}, {_gold_sql('fused', 'k')}, c AS (SELECT question_id, (k.hit_at_1 AND NOT g.hit_at_1) OR coalesce(k.first_rank < g.first_rank, false) AS improved, (NOT k.hit_at_1 AND g.hit_at_1) OR coalesce(k.first_rank > g.first_rank, false) OR (k.reject_hit AND NOT g.reject_hit) AS regressed FROM k JOIN g USING (question_id))
 SELECT * FROM c WHERE improved OR regressed""",
     "question_wordings": r"""WITH b AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN '```x = 1``` ' || text || '?!' ELSE text END AS q FROM benchmark WHERE regexp_matches(text, '^[\x20-\x7e]*$')),
-c AS (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(q, '(?s)```.*?```|`[^`]*`', ' ', 'g'), '[^\p{L}\p{N}\s''-]+', ' ', 'g'), '\s+', ' ', 'g')), 400) AS c FROM b),
+c AS (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '[?!.,;:]+', ' ', 'g'), '\s+', ' ', 'g')), 400) AS c FROM b),
 w AS (SELECT item_id, trim(w) AS w, i FROM c, unnest([c, q, upper(text), ' ' || item_id || ' more ', '']) WITH ORDINALITY AS u(w, i)), f AS (SELECT item_id, first(w ORDER BY i) AS w, min(i) AS i FROM w WHERE w <> '' GROUP BY item_id, lower(w)),
-k AS (SELECT item_id, w, min(i) AS i, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS l FROM b), unnest(l) WITH ORDINALITY AS u(w, i) WHERE length(w) >= 3 GROUP BY 1, 2)
+k AS (SELECT item_id, w, min(i) AS i, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM (SELECT item_id, list_transform(regexp_split_to_array(lower(trim(regexp_replace(regexp_replace(text, '[?!.,;:]+', ' ', 'g'), '\s+', ' ', 'g'))), '\s+'), lambda x: regexp_replace(x, '[^a-z0-9_.-]', '', 'g')) AS l FROM b), unnest(l) WITH ORDINALITY AS u(w, i) WHERE length(w) >= 3 GROUP BY 1, 2)
 SELECT b.item_id, (SELECT count(*) FROM f WHERE f.item_id = b.item_id) AS wordings, (SELECT sha256(string_agg(w, chr(10) ORDER BY i)) FROM f WHERE f.item_id = b.item_id) AS hash, (SELECT coalesce(string_agg(w, ' ' ORDER BY i), '') FROM k WHERE k.item_id = b.item_id AND n <= 10) AS keywords FROM b""",
+    "rerank_queries": r"""WITH b AS (SELECT item_id, item_id % 4 AS k, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 120) AS s FROM benchmark), c AS (SELECT *, trim(regexp_replace(s, '\s+', ' ', 'g')) AS c, left(trim(s || ' see `call(one, two)` and a ValueError: bad thing'), 120) AS e FROM b)
+SELECT item_id, left(CASE k WHEN 0 THEN c WHEN 1 THEN c || ' KeyError ''name'' in line 3 why Error: KeyError: ''name'' in line 3' WHEN 2 THEN c || ' Snippet: x = load(1) y = x + 2' ELSE trim(regexp_replace(c || ' see and a ValueError bad thing' || CASE WHEN contains(c || ' see and a ValueError bad thing', left(e, 24)) THEN '' ELSE ' Error: ' || e END || ' Snippet: call(one, two)', '\s+', ' ', 'g')) END, 220) AS query FROM c""",
     "clamped_scores": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE round(greatest(0, least(1, value / 100 - 0.5::DOUBLE)), 6) END AS clamped, round(1 / (1 + exp(-(value / 100 - 0.5::DOUBLE))), 6) AS logistic FROM events",
     "filtered_topk": "WITH " + _Q.replace("q AS (SELECT item_id", "q AS (SELECT CASE WHEN item_id % 2 = 0 THEN o.source END AS src, item_id").replace("ON e.vec_id = b.item_id", "ON e.vec_id = b.item_id JOIN documents o ON o.doc_id = b.item_id") + ", "
     + _DENSE.replace("FROM q, embeddings)", "FROM q, embeddings LEFT JOIN documents o ON o.doc_id = vec_id WHERE src IS NULL OR src = o.source)") + ", "

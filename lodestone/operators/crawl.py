@@ -60,6 +60,33 @@ def expand_sitemaps(starts: DataFrame, files: DataFrame, rounds: int = 5) -> Dat
     return found.distinct().join(files.select("url"), "url", "left_anti").select("root", "url")
 
 
+def discover(seeds: DataFrame, links: DataFrame, rounds: int = 20, most: int = 1000, per_page: int = 500) -> DataFrame:
+    """seeds: url; links: src, order, dst -> url, depth: what a crawl finds, breadth first, at most ``most`` pages.
+
+    A frontier a round: the first links of each page of it that were not found before. The limits are those of a crawl; pages
+    that come too late are the deepest, then the last by url. Lineage is cut by checkpoint() in each round.
+    """
+    n = F.row_number().over(W.partitionBy("src").orderBy("order"))
+    few = links.withColumn("_n", n).filter(F.col("_n") <= per_page).select("src", F.col("dst").alias("url"))
+    found = frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    for depth in range(1, rounds + 1):
+        if frontier.isEmpty() or found.count() >= most:
+            break
+        fresh = few.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select("url").distinct().join(found, "url", "left_anti")
+        frontier = fresh.withColumn("depth", F.lit(depth)).checkpoint()
+        found = found.unionByName(frontier)
+    return found.orderBy("depth", "url").limit(most)
+
+
+def link_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """A site whose page n links to the pages 2n + 1, 2n + 2 and 0, crawled from the first."""
+    p = pages(spark, d).select("page_id")
+    u = lambda c: F.concat(F.lit("https://e.org/"), F.lpad(c.cast("string"), 9, "0"))
+    links = p.select(u(F.col("page_id")).alias("src"), F.posexplode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.lit(0).cast("long"))).alias("order", "to"))
+    links = links.join(p.withColumnRenamed("page_id", "to"), "to").select("src", "order", u(F.col("to")).alias("dst"))
+    return discover(p.filter("page_id = 0").select(u(F.col("page_id")).alias("url")), links, most=150).withColumn("depth", F.col("depth").cast("long"))
+
+
 def sitemap_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Sitemaps made of the pages: an index for each domain, a file for each of its hosts."""
     p = pages(spark, d).select("url", X.url_host(F.col("url")).alias("host")).withColumn("root", X.registrable_domain(F.col("host")))
@@ -417,7 +444,7 @@ def api_response_meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "sitemap_expansion": sitemap_expansion, "robots_files": robots_files, "status_probe": status_probe, "markdown_alternates": markdown_alternate_pages, "repo_walk": repo_walk, "llms_files": llms_files,
+    "sitemap_expansion": sitemap_expansion, "link_crawl": link_crawl, "robots_files": robots_files, "status_probe": status_probe, "markdown_alternates": markdown_alternate_pages, "repo_walk": repo_walk, "llms_files": llms_files,
     "repo_page_load": repo_page_load, "page_title_resolution": page_title_resolution, "page_site_links": page_site_links, "header_nav_paths": header_nav_pages, "best_icons": best_icons,
     "language_names": language_names, "url_words": url_words, "unique_page_slugs": unique_page_slugs, "docs_candidates": docs_candidates, "crawl_scope_regex": crawl_scope_regex,
     "start_scopes": start_scopes, "exclude_patterns": exclude_pattern_report, "pattern_merge": pattern_merge, "segment_urls": segment_urls, "enrich_gate": enrich_gate,
@@ -454,6 +481,7 @@ _alias = "CASE lower(trim(n)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 _ORIGIN = f"{scheme_sql('url')} || '://' || {host_sql('url')}"
 ORACLE_SQL = {
+    "link_crawl": "SELECT 'https://e.org/' || lpad(page_id::VARCHAR, 9, '0') AS url, floor(log2(page_id + 1))::BIGINT AS depth FROM pages ORDER BY 2, 1 LIMIT 150",
     "sitemap_expansion": f"SELECT DISTINCT {domain_sql('url')} AS root, url FROM pages",
     "robots_files": f"SELECT {host_sql('url')} AS host, 'https://' || {host_sql('url')} || '/sitemap.xml' AS sitemaps, count(DISTINCT coalesce({segs_sql('url')}[1], 'root')) AS disallowed FROM pages GROUP BY 1, 2",
     "status_probe": "SELECT CASE WHEN page_id % 7 = 1 THEN 'no_response' WHEN page_id % 7 = 0 THEN 'gone' WHEN page_id % 7 = 2 THEN 'status_503' END AS reason, count(*) AS pages FROM pages GROUP BY 1",

@@ -237,7 +237,8 @@ def source_type_vote(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = table(spark, d, "pages").select(host.alias("host"), F.explode_outer(F.array_compact(signals)).alias("s"))
     votes = rows.groupBy("host", "s.t").agg(F.round(F.sum("s.w"), 6).alias("w"), F.count("*").alias("n"))
-    best = votes.groupBy("host").agg(F.max_by("t", F.struct(F.coalesce("w", F.lit(0.0)), "t")).alias("t"), F.max(F.coalesce("w", F.lit(0.0))).alias("w"))
+    first = -F.array_position(F.array(*[F.lit(x) for x in ("blog", "mobile", "static", "app")]), F.coalesce("t", F.lit("")))  # the first of a tie
+    best = votes.groupBy("host").agg(F.max_by("t", F.struct(F.coalesce("w", F.lit(0.0)).alias("w"), first.alias("o"))).alias("t"), F.max(F.coalesce("w", F.lit(0.0))).alias("w"))
     return best.select("host", F.when(F.col("w") < 0.15, "unknown").otherwise(F.col("t")).alias("kind"), F.round(F.least(F.lit(0.98), F.col("w") + 0.35), 6).alias("confidence"))
 
 
@@ -284,6 +285,6 @@ b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9)
     "source_type_vote": """WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, url FROM pages),
 s AS (SELECT host, 'blog' AS t, 0.5::DOUBLE AS w FROM p WHERE starts_with(host, 'blog.') UNION ALL SELECT host, 'mobile', 0.3 FROM p WHERE starts_with(host, 'm.') UNION ALL
   SELECT host, 'static', 0.2 FROM p WHERE contains(url, '.html') UNION ALL SELECT host, 'app', 0.1 FROM p WHERE contains(url, '?')),
-v AS (SELECT host, t, round(sum(w), 6) AS w FROM s GROUP BY 1, 2), b AS (SELECT host, first(t ORDER BY w DESC, t DESC) AS t, max(w) AS w FROM v GROUP BY 1)
+v AS (SELECT host, t, round(sum(w), 6) AS w FROM s GROUP BY 1, 2), b AS (SELECT host, first(t ORDER BY w DESC, list_position(['blog', 'mobile', 'static', 'app'], t)) AS t, max(w) AS w FROM v GROUP BY 1)
 SELECT host, CASE WHEN coalesce(w, 0) < 0.15 THEN 'unknown' ELSE t END AS kind, round(least(0.98::DOUBLE, 0.35::DOUBLE + coalesce(w, 0)), 6) AS confidence FROM (SELECT DISTINCT host FROM p) LEFT JOIN b USING (host)""",
 }

@@ -140,14 +140,15 @@ def test_extract(spark):
 
 
 def test_layers(spark):
-    from lodestone.plans.layers import longest_path_layers, plan_graph
+    from lodestone.plans.layers import compile_plan, longest_path_layers
 
-    phases = spark.createDataFrame([(0, ["a"]), (1, ["b", "c"]), (2, ["d"])], "phase_no int, branches array<string>")
-    nodes, edges = plan_graph(phases)
-    more = edges.unionByName(spark.createDataFrame([("b", "c")], "src string, dst string"))
-    assert {r["node"]: r["depth"] for r in longest_path_layers(nodes, more).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    rows = [(1, 0, "trigger.manual", [("x", 1), ("y", 1)]), (1, 1, "control.if", [("yes", 2), ("no", 1)]), (1, 2, "tool.call", None), (1, 3, "agent.ask", [("t", 1)])]
+    nodes, edges = compile_plan(spark.createDataFrame(rows, "plan int, phase_no int, spec string, branches array<struct<id:string,steps:int>>"))
+    depth = {r["node"]: r["depth"] for r in longest_path_layers(nodes, edges).collect()}
+    assert depth == {"p0-x": 0, "p0-y": 0, "merge-0": 1, "p1": 2, "p1-yes-1": 3, "p1-no-1": 3, "p1-yes-2": 4, "p2": 5, "p3": 6, "p3-t": 7}
+    assert {(r["dst"], r["handle"]) for r in edges.collect() if r["handle"]} == {("p1-yes-1", "yes"), ("p1-no-1", "no")}
     with pytest.raises(ValueError):
-        longest_path_layers(nodes, more.unionByName(spark.createDataFrame([("d", "a")], "src string, dst string")))
+        longest_path_layers(nodes, edges.select("src", "dst").unionByName(spark.createDataFrame([("p2", "p1")], "src string, dst string")))
 
 
 def test_stateful_limits_equal_batch(spark, tmp_path):
