@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from .. import constants as C
 from ..functions import extract as E
 from ..functions import text as X
-from ..sources.tables import questions, table
+from ..sources.tables import checkpointed, questions, table
 from .ranking import _list, identifier_query, last_mile, query_intent
 from .retrieval import _ALL, _BM25, _DENSE, _FUSED, _Q, _chunks, _pages, _vectors, ambiguous, bm25_top_k, coverage, dense_top_k, every_term_sql, first_per, fuse_hybrid, fuse_pools, golden_metrics, parts_sql, rank_within, vector_only_rerank
 
@@ -259,6 +259,7 @@ def _siblings(spark, d, direct):
 def context_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Direct hits of questions, expanded and put in reading order; odd questions keep the hits of their best page alone."""
     direct = retrieve(_asked(spark, d), _pool(spark, d), _meta(spark, d)).filter((F.col("question_id") % 2 == 0) | (F.col("rank") == 0)).select("question_id", "id", "page", "rank", "score")
+    direct = checkpointed(direct)  # read by several steps: anchors, siblings, what is there already
     full = expand(direct, _siblings(spark, d, direct)).join(_meta(spark, d).select("id", "chunk_index"), "id")
     return context_order(full).select("question_id", "id", "page", "direct", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import extract as E
 from ..functions import text as X
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 from .ranking import path_role
 from .urls import pages
 
@@ -68,12 +68,12 @@ def discover(seeds: DataFrame, links: DataFrame, rounds: int = 20, most: int = 1
     """
     n = F.row_number().over(W.partitionBy("src").orderBy("order"))
     few = links.withColumn("_n", n).filter(F.col("_n") <= per_page).select("src", F.col("dst").alias("url"))
-    found = frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    found = frontier = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, rounds + 1):
         if frontier.isEmpty() or found.count() >= most:
             break
         fresh = few.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select("url").distinct().join(found, "url", "left_anti")
-        frontier = fresh.withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = checkpointed(fresh.withColumn("depth", F.lit(depth)))
         found = found.unionByName(frontier)
     return found.orderBy("depth", "url").limit(most)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 
 
 def longest_path_layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
@@ -17,11 +17,11 @@ def longest_path_layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) ->
     edges = edges.select("src", "dst").distinct()
     while not left.isEmpty():
         inside = edges.join(left.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        layer = left.join(inside, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        layer = checkpointed(left.join(inside, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if layer.isEmpty() or depth > most:
             raise ValueError("the graph has a cycle")
         out = layer if out is None else out.unionByName(layer)
-        left = left.join(layer, "node", "left_anti").checkpoint()
+        left = checkpointed(left.join(layer, "node", "left_anti"))
         depth += 1
     return out if out is not None else nodes.withColumn("depth", F.lit(0))
 

@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by checkpoint(), in spark.checkpoint.dir; where that is unset, in the warehouse."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        home = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        spark.sparkContext.setCheckpointDir(home)
+    return df.checkpoint()
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, question, qvec: the benchmark items that have a vector by id."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))

@@ -168,12 +168,12 @@ ORACLE_SQL = {
     "session_gaps": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS b FROM events),
 s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2)
 SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1""",
-    "anchored_rate_windows": """WITH RECURSIVE e AS (SELECT user_id, epoch(ts)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+    "anchored_rate_windows": """WITH RECURSIVE e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS k FROM events),
 f AS (SELECT user_id, k, t AS o, 1::BIGINT AS n, true AS ok FROM e WHERE k = 1
   UNION ALL SELECT e.user_id, e.k, CASE WHEN e.t - f.o >= 3600 THEN e.t ELSE f.o END, CASE WHEN e.t - f.o >= 3600 THEN 1 WHEN f.n < 3 THEN f.n + 1 ELSE f.n END, e.t - f.o >= 3600 OR f.n < 3
   FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
 SELECT user_id, count(*) FILTER (ok) AS allowed, count(*) FILTER (NOT ok) AS denied FROM f GROUP BY 1""",
-    "layered_limits": """WITH RECURSIVE r AS (SELECT event_id, user_id AS ip, epoch(ts)::BIGINT AS t, strftime(ts, '%Y-%m-%d') AS day, event_id % 3 AS site, event_type AS origin FROM events),
+    "layered_limits": """WITH RECURSIVE r AS (SELECT event_id, user_id AS ip, floor(epoch(ts))::BIGINT AS t, strftime(ts, '%Y-%m-%d') AS day, event_id % 3 AS site, event_type AS origin FROM events),
 ak AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t, event_id) AS k FROM r),
 af AS (SELECT ip, k, event_id, t AS o, 1::BIGINT AS n, true AS ok FROM ak WHERE k = 1
   UNION ALL SELECT e.ip, e.k, e.event_id, CASE WHEN e.t - f.o >= 86400 THEN e.t ELSE f.o END, CASE WHEN e.t - f.o >= 86400 THEN 1 WHEN f.n < 3 THEN f.n + 1 ELSE f.n END, e.t - f.o >= 86400 OR f.n < 3 FROM af f JOIN ak e ON e.ip = f.ip AND e.k = f.k + 1),
@@ -192,10 +192,10 @@ gf AS (SELECT site, origin, k, event_id, t AS o, 1::BIGINT AS n, true AS ok FROM
 g AS (SELECT p.* FROM c p JOIN gf USING (event_id) WHERE ok)
 SELECT CASE WHEN g.event_id IS NOT NULL THEN NULL WHEN c.event_id IS NOT NULL THEN 'site_origin' WHEN b.event_id IS NOT NULL THEN 'site_day' WHEN a.event_id IS NOT NULL THEN 'site' ELSE 'ip' END AS denied_by, count(*) AS requests, sum(r.event_id)::BIGINT AS id_sum
 FROM r LEFT JOIN a USING (event_id) LEFT JOIN b USING (event_id) LEFT JOIN c USING (event_id) LEFT JOIN g USING (event_id) GROUP BY 1""",
-    "route_resolution": """WITH r AS (SELECT event_id, user_id AS u, epoch(ts)::BIGINT AS t, CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS m, event_id % 5 AS p FROM events),
+    "route_resolution": """WITH r AS (SELECT event_id, user_id AS u, floor(epoch(ts))::BIGINT AS t, CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS m, event_id % 5 AS p FROM events),
 b AS (SELECT *, CASE WHEN p = 4 THEN NULL WHEN m = 'GET' THEN ['list', 'one', NULL, 'order'][p + 1] ELSE [NULL, 'write', 'ask', 'write'][p + 1] END AS k FROM r),
 q AS (SELECT *, coalesce(k, CASE m WHEN 'GET' THEN 'fallback_read' ELSE 'fallback_write' END) AS bucket, CASE coalesce(k, m) WHEN 'list' THEN 5 WHEN 'one' THEN 4 WHEN 'order' THEN 2 WHEN 'ask' THEN 1 WHEN 'write' THEN 3 WHEN 'GET' THEN 120 ELSE 60 END AS max_per_window FROM b) SELECT bucket, max_per_window, CASE WHEN k IS NULL THEN 'fallback' ELSE 'route' END AS matched_by, count(*) AS requests FROM q GROUP BY 1, 2, 3""",
-    "route_limits": """WITH r AS (SELECT event_id, user_id AS u, epoch(ts)::BIGINT AS t, CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS m, event_id % 5 AS p FROM events),
+    "route_limits": """WITH r AS (SELECT event_id, user_id AS u, floor(epoch(ts))::BIGINT AS t, CASE WHEN event_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS m, event_id % 5 AS p FROM events),
 b AS (SELECT *, CASE WHEN p = 4 THEN NULL WHEN m = 'GET' THEN ['list', 'one', NULL, 'order'][p + 1] ELSE [NULL, 'write', 'ask', 'write'][p + 1] END AS k FROM r),
 q AS (SELECT *, coalesce(k, CASE m WHEN 'GET' THEN 'fallback_read' ELSE 'fallback_write' END) AS bucket, CASE coalesce(k, m) WHEN 'list' THEN 5 WHEN 'one' THEN 4 WHEN 'order' THEN 2 WHEN 'ask' THEN 1 WHEN 'write' THEN 3 WHEN 'GET' THEN 120 ELSE 60 END AS max_per_window FROM b), n AS (SELECT u, bucket, max_per_window AS x, t // 3600 AS h, count(*) AS n FROM q GROUP BY 1, 2, 3, 4) SELECT bucket, sum(least(n, x))::BIGINT AS allowed, sum(greatest(n - x, 0))::BIGINT AS denied FROM n GROUP BY 1""",
 }
