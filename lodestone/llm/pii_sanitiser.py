@@ -287,7 +287,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda s: F.get(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] < 4)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
