@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, best_fit_packing, chat_format, chosen_path, curriculum_mix, fim_rotation, katz_lm, license_scan, pii_sanitiser, quality_rules, turn_repair, url_filter
+from . import ann_tree, best_fit_packing, chat_format, chosen_path, curriculum_mix, fim_rotation, katz_lm, license_scan, pii_sanitiser, quality_rules, secret_scan, turn_repair, url_filter
 
-MODULES = [chat_format, best_fit_packing, quality_rules, pii_sanitiser, katz_lm, ann_tree, license_scan, curriculum_mix, chosen_path, url_filter, fim_rotation, turn_repair]
+MODULES = [chat_format, best_fit_packing, quality_rules, pii_sanitiser, katz_lm, ann_tree, license_scan, curriculum_mix, chosen_path, url_filter, secret_scan, fim_rotation, turn_repair]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
