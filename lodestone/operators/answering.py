@@ -13,7 +13,7 @@ from ..functions import extract as E
 from ..functions import text as X
 from ..sources.tables import checkpointed, questions, table
 from .ranking import _list, identifier_query, last_mile, query_intent
-from .retrieval import _ALL, _BM25, _DENSE, _FUSED, _Q, _chunks, _pages, _vectors, ambiguous, bm25_top_k, coverage, dense_top_k, every_term_sql, first_per, fuse_hybrid, fuse_pools, golden_metrics, parts_sql, rank_within, vector_only_rerank
+from .retrieval import _ALL, _BM25, _DENSE, _FUSED, _Q, _lexical, _pages, _vectors, ambiguous, coverage, dense_top_k, every_term_sql, first_per, fuse_hybrid, fuse_pools, golden_metrics, parts_sql, rank_within, vector_only_rerank
 
 SITE = "https://docs.example.org/"
 
@@ -215,7 +215,7 @@ def _asked(spark, d):
 
 def _pool(spark, d, qs=None):
     qs = questions(spark, d) if qs is None else qs
-    return fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), bm25_top_k(qs, _chunks(spark, d)))
+    return fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), _lexical(qs, spark, d))
 
 
 def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,7 @@ def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
     qs = questions(spark, d).join(own.withColumnRenamed("id", "question_id"), "question_id").withColumn("source", F.when(F.col("question_id") % 2 == 0, F.col("source")))
     vectors = _vectors(spark, d).join(own, "id", "left")
-    pool = fuse_hybrid(dense_top_k(qs, vectors, equal=("source",)), bm25_top_k(qs, _chunks(spark, d), equal=("source",)))
+    pool = fuse_hybrid(dense_top_k(qs, vectors, equal=("source",)), _lexical(qs, spark, d, ("source",)))
     return pool.select("question_id", "id", F.round("rrf", 9).alias("rrf"), F.round("dense", 6).alias("dense"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -374,7 +374,7 @@ def golden_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 def run_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The lexical leg alone against both legs."""
-    return compare_runs(_golden(spark, d, bm25_top_k(questions(spark, d), _chunks(spark, d))), _golden(spark, d, _pool(spark, d)))
+    return compare_runs(_golden(spark, d, _lexical(questions(spark, d), spark, d)), _golden(spark, d, _pool(spark, d)))
 
 
 def question_wordings(spark: SparkSession, d: str) -> DataFrame:

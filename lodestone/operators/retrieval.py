@@ -86,22 +86,22 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length > 0, length, np.nan)[:, None]
 
 
-def bm25_top_k(qs: DataFrame, chunks: DataFrame, k: int = C.LEXICAL_TOP_K, equal: tuple[str, ...] = ()) -> DataFrame:
-    """qs: question_id, question; chunks: id, text, and heading if there is one -> question_id, id, lexical, rank.
+def asked_terms(qs: DataFrame, equal: tuple[str, ...] = ()) -> DataFrame:
+    """question_id, term, and the question's values of ``equal`` as _q_<name>."""
+    return qs.select("question_id", *[F.col(c).alias(f"_q_{c}") for c in equal], F.explode(query_terms(F.col("question"))).alias("term"))
 
-    A term in the heading counts HEADING_WEIGHT times. Corpus statistics are over all chunks, also where ``equal`` (see
-    dense_top_k) leaves few to a question. Only postings of terms that are asked for leave the scan.
-    """
-    asked = qs.select("question_id", *[F.col(c).alias(f"_q_{c}") for c in equal], F.explode(query_terms(F.col("question"))).alias("term"))
-    terms = asked.select("term").distinct()
+
+def term_weights(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, len, terms: array<struct<term, w>> of each chunk; a term in the heading counts HEADING_WEIGHT times."""
     none = F.expr("cast(array() as array<string>)")
     heading = F.coalesce(index_terms(F.col("heading")), none) if "heading" in chunks.columns else none
-    tokens = chunks.select("id", *equal, F.coalesce(index_terms(F.col("text")), none).alias("body"), heading.alias("head"))
-    sized = tokens.withColumn("len", F.size("body") + F.size("head"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.avg(F.col("len").cast("double")).alias("avg_len"))
+    tokens = chunks.select("id", *carry, F.coalesce(index_terms(F.col("text")), none).alias("body"), heading.alias("head"))
     once = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    said = sized.select("id", *equal, "len", F.explode(F.concat(once("head", C.HEADING_WEIGHT), once("body", 1))).alias("t")).select("id", *equal, "len", "t.term", "t.w")
-    postings = said.join(_small(terms), "term").groupBy("id", *equal, "len", "term").agg(F.sum("w").alias("tf"))
+    return tokens.select("id", *carry, (F.size("body") + F.size("head")).alias("len"), F.concat(once("head", C.HEADING_WEIGHT), once("body", 1)).alias("terms"))
+
+
+def bm25_ranked(postings: DataFrame, asked: DataFrame, stats: DataFrame, k: int, equal: tuple[str, ...] = ()) -> DataFrame:
+    """postings: id, len, term, tf of all asked terms; stats: n_docs, avg_len in one row -> question_id, id, lexical, rank."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     n, k1, b = F.col("n_docs").cast("double"), C.BM25_K1, C.BM25_B
     idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -114,6 +114,21 @@ def bm25_top_k(qs: DataFrame, chunks: DataFrame, k: int = C.LEXICAL_TOP_K, equal
     return rank_within(scored, [F.desc("lexical"), F.asc("id")]).filter(F.col("rank") < k)
 
 
+def bm25_top_k(qs: DataFrame, chunks: DataFrame, k: int = C.LEXICAL_TOP_K, equal: tuple[str, ...] = ()) -> DataFrame:
+    """qs: question_id, question; chunks: id, text, and heading if there is one -> question_id, id, lexical, rank.
+
+    A term in the heading counts HEADING_WEIGHT times. Corpus statistics are over all chunks, also where ``equal`` (see
+    dense_top_k) leaves few to a question. Only postings of terms that are asked for leave the scan. This reads every text for each set of
+    questions: ``lexical_index`` keeps the postings on disk and answers without the texts.
+    """
+    asked = asked_terms(qs, equal)
+    sized = term_weights(chunks, equal)
+    stats = sized.agg(F.count("*").alias("n_docs"), F.avg(F.col("len").cast("double")).alias("avg_len"))
+    said = sized.select("id", *equal, "len", F.explode("terms").alias("t")).select("id", *equal, "len", "t.term", "t.w")
+    postings = said.join(_small(asked.select("term").distinct()), "term").groupBy("id", *equal, "len", "term").agg(F.sum("w").alias("tf"))
+    return bm25_ranked(postings, asked, stats, k, equal)
+
+
 def fuse_hybrid(dense: DataFrame, lexical: DataFrame, k: int = C.DENSE_TOP_K) -> DataFrame:
     """Reciprocal rank fusion of both legs. Rows of the lexical leg alone take the lowest dense score of the question."""
     weight = lambda c: F.coalesce(1.0 / (C.RRF_K + F.col(c) + 1), F.lit(0.0))
@@ -219,14 +234,21 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("question_id", "id", F.round("dense", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _lexical(qs: DataFrame, spark: SparkSession, d: str, equal: tuple[str, ...] = ()) -> DataFrame:
+    """The lexical leg, from the corpus' stored index."""
+    from .lexical_index import corpus_index, search
+
+    return search(corpus_index(spark, d, _chunks(spark, d)), qs, equal=equal)
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    out = bm25_top_k(questions(spark, d), _chunks(spark, d))
+    out = _lexical(questions(spark, d), spark, d)
     return out.select("question_id", "id", F.round("lexical", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _fused(spark, d):
     qs = questions(spark, d)
-    return fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), bm25_top_k(qs, _chunks(spark, d)))
+    return fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), _lexical(qs, spark, d))
 
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:

@@ -10,12 +10,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder in the warehouse, but on a cluster only if the warehouse is no folder of one machine.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if root:
+        return root
+    home = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if (home.startswith("file:") or "://" not in home) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; {home} may be one machine's")
+    return f"{home}/_shared"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(), in spark.checkpoint.dir; where that is unset, in the warehouse."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        home = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-        spark.sparkContext.setCheckpointDir(home)
+    """df with its lineage cut by checkpoint(), in the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
