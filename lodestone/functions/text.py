@@ -189,6 +189,15 @@ def expansion_terms(c: Column) -> Column:
     return F.transform(F.slice(F.array_sort(placed), 1, 6), lambda x: x["w"])
 
 
+def number(c: Column) -> Column:
+    """A text as a finite number: blank is 0; signs, decimals, exponents and 0x, 0o, 0b numbers count; null for the rest."""
+    t = trim_all(c)
+    based = lambda mark, base, digits: F.when(F.regexp_like(t, F.lit(f"^0[{mark}][{digits}]+$")), F.conv(F.substring(t, 3, 1 << 20), base, 10).cast("double"))
+    plain = F.when(F.regexp_like(t, F.lit(r"^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?$")), t.try_cast("double"))
+    value = F.coalesce(F.when(t == "", 0.0), plain, based("xX", 16, "0-9a-fA-F"), based("oO", 8, "0-7"), based("bB", 2, "01"))
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def index_terms(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as X
 from ..sources.tables import table
 from .flows import expand_sets, with_precedence
 
@@ -111,7 +112,9 @@ def catalog_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def json_path_switch(spark: SparkSession, d: str) -> DataFrame:
     """A value by JSON path, compared as a number; what is no number counts as false."""
-    v = F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999999")).cast("double")
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id")
+    json = F.concat(F.lit('{"k":'), F.when(i % 3 == 0, F.concat(F.lit("-"), k)).when(i % 3 == 1, F.concat(k, F.lit(".5e-1"))).otherwise(k), F.lit("}"))
+    v = X.number(F.get_json_object(json, "$.k"))
     branch = F.when(F.coalesce(v >= 50, F.lit(False)), "high").when(F.coalesce(v < 10, F.lit(False)), "low").otherwise("default")
     return table(spark, d, "events").groupBy(branch.alias("branch")).agg(F.count("*").alias("events"))
 
@@ -138,5 +141,5 @@ SELECT set_id, string_agg(s_name, ',' ORDER BY pos) AS names FROM s, unnest(ids)
     "pages_per_root": "SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name",
     "conditional_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS orders FROM orders GROUP BY 1",
     "catalog_groups": f"WITH {_D}, g AS (SELECT source, sum(n_chars)::BIGINT AS chars FROM d GROUP BY 1), s AS (SELECT *, sum(chars) OVER (ORDER BY chars DESC, source)::BIGINT AS spent, sum(chars) OVER () AS total FROM g) SELECT source, chars, spent FROM s WHERE spent * 2 <= total",
-    "json_path_switch": "WITH v AS (SELECT try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events) SELECT CASE WHEN coalesce(v >= 50, false) THEN 'high' WHEN coalesce(v < 10, false) THEN 'low' ELSE 'default' END AS branch, count(*) AS events FROM v GROUP BY 1",
+    "json_path_switch": "WITH v AS (SELECT try_cast(CASE event_id % 3 WHEN 0 THEN '-' || k WHEN 1 THEN k || '.5e-1' ELSE k END AS DOUBLE) AS v FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)) SELECT CASE WHEN coalesce(v >= 50, false) THEN 'high' WHEN coalesce(v < 10, false) THEN 'low' ELSE 'default' END AS branch, count(*) AS events FROM v GROUP BY 1",
 }

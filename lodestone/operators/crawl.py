@@ -43,24 +43,24 @@ SKIP_DIRS = ("node_modules", ".git", "dist", "build", "out", "coverage", "vendor
 # --- crawl files ---------------------------------------------------------------------------------------------------
 
 
-def expand_sitemaps(starts: DataFrame, files: DataFrame, rounds: int = 5) -> DataFrame:
+def expand_sitemaps(starts: DataFrame, files: DataFrame) -> DataFrame:
     """starts: root, url of sitemaps; files: url, xml -> root, url of every page that a sitemap or a nested one lists.
 
-    A breadth-first walk, one join for each level of nesting: what is listed and is itself a file is opened in the next
-    round, once. At most ``rounds`` levels; the reference files nest one or two deep.
+    A breadth-first walk, one join for each level of nesting until no new file is found: what is listed and is itself a file is
+    opened in the next round, once. Lineage is cut by checkpoint() in each round.
     """
     listed = files.select(F.col("url").alias("file"), F.explode(E.sitemap_locations(F.col("xml"))).alias("url"))
-    level = starts.select("root", "url").distinct()
-    seen, found = level, None
-    for _ in range(rounds):
-        inside = level.select("root", F.col("url").alias("file")).join(listed, "file").select("root", "url").distinct()
-        found = inside if found is None else found.unionByName(inside)
-        level = inside.join(files.select("url"), "url", "left_semi").join(seen, ["root", "url"], "left_anti").select("root", "url")
+    level = seen = checkpointed(starts.select("root", "url").distinct())
+    found = starts.select("root", "url").limit(0)
+    while not level.isEmpty():
+        inside = checkpointed(level.select("root", F.col("url").alias("file")).join(listed, "file").select("root", "url").distinct())
+        found = found.unionByName(inside)
+        level = checkpointed(inside.join(files.select("url"), "url", "left_semi").join(seen, ["root", "url"], "left_anti").select("root", "url"))
         seen = seen.unionByName(level)
     return found.distinct().join(files.select("url"), "url", "left_anti").select("root", "url")
 
 
-def discover(seeds: DataFrame, links: DataFrame, rounds: int = 20, most: int = 1000, per_page: int = 500) -> DataFrame:
+def discover(seeds: DataFrame, links: DataFrame, most: int = 1000, per_page: int = 500) -> DataFrame:
     """seeds: url; links: src, order, dst -> url, depth: what a crawl finds, breadth first, at most ``most`` pages.
 
     A frontier a round: the first links of each page of it that were not found before. The limits are those of a crawl; pages
@@ -69,9 +69,9 @@ def discover(seeds: DataFrame, links: DataFrame, rounds: int = 20, most: int = 1
     n = F.row_number().over(W.partitionBy("src").orderBy("order"))
     few = links.withColumn("_n", n).filter(F.col("_n") <= per_page).select("src", F.col("dst").alias("url"))
     found = frontier = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, rounds + 1):
-        if frontier.isEmpty() or found.count() >= most:
-            break
+    depth = 0
+    while not frontier.isEmpty() and found.count() < most:
+        depth += 1
         fresh = few.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select("url").distinct().join(found, "url", "left_anti")
         frontier = checkpointed(fresh.withColumn("depth", F.lit(depth)))
         found = found.unionByName(frontier)

@@ -17,7 +17,7 @@ STRINGS = "cast(array() as array<string>)"
 
 
 def flow_if(value: Column, operator: str, compare: str = "") -> Column:
-    """truthy, falsy, contains (any case), equals, gt, gte, lt, lte of a JSON value as text; what is no number is not greater or less."""
+    """truthy, falsy, contains (any case), equals, gt, gte, lt, lte of a JSON value as text; what is no finite number (``number``) is not greater or less."""
     text = F.coalesce(value, F.lit(""))
     falsy = value.isNull() | value.isin("", "0", "false", "null")
     if operator in ("truthy", "falsy"):
@@ -26,8 +26,7 @@ def flow_if(value: Column, operator: str, compare: str = "") -> Column:
         return F.contains(F.lower(text), F.lit(compare.lower()))
     if operator == "equals":
         return text == compare
-    left = F.when(F.trim(text) == "", 0.0).otherwise(F.expr("try_cast(1 as double)") * F.try_to_number(F.when(F.regexp_like(F.trim(text), F.lit(r"^[0-9]{1,9}$")), F.trim(text)), F.lit("999999999")).cast("double"))
-    right = float(compare)
+    left, right = X.number(text), X.number(F.lit(compare))
     return F.coalesce({"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[operator], F.lit(False))
 
 
@@ -65,12 +64,12 @@ def schema_errors(json: Column, rules: list[dict]) -> Column:
     for r in rules:
         p, v = r["path"], F.get_json_object(json, f"$.{r['path']}")
         kind = r.get("type", "string")
-        pattern = {"number": r"^-?[0-9]+([.][0-9]+)?$", "boolean": "^(true|false)$", "array": r"^\s*\["}.get(kind, "(?s).*")
+        pattern = {"number": r"^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$", "array": r"^\s*\["}.get(kind, "(?s).*")
         typed = F.regexp_like(v, F.lit(pattern))
         if r.get("required"):
             checks.append(F.when(v.isNull(), f"{p}: required"))
         checks.append(F.when(~typed, f"{p}: not a {kind}"))
-        size = F.when(typed, F.expr("1D") * F.try_to_number(F.when(F.regexp_like(v, F.lit("^[0-9]{1,9}$")), v), F.lit("999999999")).cast("double")) if kind == "number" else F.json_array_length(v) if kind == "array" else F.length(v)
+        size = F.when(typed, X.number(v)) if kind == "number" else F.json_array_length(v) if kind == "array" else F.length(v)
         if "min" in r:
             checks.append(F.when(size < r["min"], f"{p}: below {r['min']}"))
         if "max" in r:
@@ -244,8 +243,9 @@ def usage_record(json: Column) -> dict[str, Column]:
 
 
 def flow_conditions(spark: SparkSession, d: str) -> DataFrame:
-    """How many events take each branch; every tenth value is no number, every eleventh is missing."""
-    k = F.get_json_object("props", "$.k")
+    """How many events take each branch; every tenth value is no number, every eleventh is missing, others have signs, decimals and exponents."""
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id")
+    k = F.when(i % 6 == 1, F.concat(F.lit("-"), k, F.lit(".5"))).when(i % 6 == 2, F.concat(F.lit(" "), k, F.lit("e1"))).when(i % 6 == 3, F.concat(k, F.lit("0000000000"))).otherwise(k)
     v = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), k)).when(F.col("event_id") % 11 != 0, k)
     asks = [("truthy", ""), ("falsy", ""), ("contains", "X1"), ("equals", "7"), ("gt", "50"), ("gte", "50"), ("lt", "10"), ("lte", "10")]
     counts = [F.count_if(flow_if(v, op, c)).alias(f"n_{op}") for op, c in asks]
@@ -263,6 +263,7 @@ def output_shapes(spark: SparkSession, d: str) -> DataFrame:
 def schema_checks(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     k = F.get_json_object("props", "$.k")
+    k = F.when(i % 5 == 1, F.concat(F.lit("-"), k)).when(i % 5 == 2, F.concat(k, F.lit(".5"))).when(i % 5 == 3, F.concat(k, F.lit("E2"))).otherwise(k)
     json = F.concat(F.lit('{"type":"'), "event_type", F.lit('"'), F.when(i % 3 != 0, F.concat(F.lit(',"k":'), F.when(i % 7 == 0, '"many"').otherwise(k))).otherwise(""), F.when(i % 4 == 0, ',"rows":[]').otherwise(',"rows":[1,2]'), F.lit("}"))
     rules = [{"path": "type", "required": True, "enum": ["click", "view", "error"]}, {"path": "k", "type": "number", "required": True, "min": 10, "max": 90}, {"path": "rows", "type": "array", "min": 1, "max": 100}]
     return table(spark, d, "events").groupBy("event_type", F.array_join(schema_errors(json, rules), "; ").alias("errors")).agg(F.count("*").alias("events"))
@@ -440,11 +441,12 @@ _KEPT = f"list_filter({_SEGS}, lambda s: NOT regexp_matches(lower(s), '^v?[0-9]+
 _KEY = f"lower(split_part(url, ':', 1)) || '://' || regexp_replace({_HOST}, '^www[.]', '') || CASE WHEN len({_KEPT}) > 0 THEN '/' || array_to_string({_KEPT}, '/') ELSE '' END"
 _W = "coalesce(regexp_extract_all(text, '[A-Za-z]+')[{}], 'x')"
 ORACLE_SQL = {
-    "flow_conditions": r"""WITH e AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'x' || json_extract_string(props, '$.k') WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k') END AS v FROM events), n AS (SELECT *, coalesce(v, '') AS t, CASE WHEN v IS NULL THEN 0 ELSE try_cast(v AS DOUBLE) END AS n FROM e)
+    "flow_conditions": r"""WITH e AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'x' || k WHEN event_id % 11 <> 0 THEN k END AS v
+  FROM (SELECT event_id, CASE event_id % 6 WHEN 1 THEN '-' || k || '.5' WHEN 2 THEN ' ' || k || 'e1' WHEN 3 THEN k || '0000000000' ELSE k END AS k FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events))), n AS (SELECT *, coalesce(v, '') AS t, CASE WHEN v IS NULL THEN 0 ELSE try_cast(trim(v) AS DOUBLE) END AS n FROM e)
 SELECT CASE t WHEN '1' THEN 'one' WHEN '2' THEN 'two' ELSE 'other' END AS branch, count(*) FILTER (v IS NOT NULL AND v NOT IN ('', '0', 'false', 'null')) AS n_truthy, count(*) FILTER (v IS NULL OR v IN ('', '0', 'false', 'null')) AS n_falsy, count(*) FILTER (contains(lower(t), 'x1')) AS n_contains,
 count(*) FILTER (t = '7') AS n_equals, count(*) FILTER (n > 50) AS n_gt, count(*) FILTER (n >= 50) AS n_gte, count(*) FILTER (n < 10) AS n_lt, count(*) FILTER (n <= 10) AS n_lte FROM n GROUP BY 1""",
     "output_shapes": "SELECT event_type, CASE event_id % 5 WHEN 2 THEN 'k' WHEN 3 THEN 'name' WHEN 4 THEN 'items' ELSE '' END AS missing, count(*) AS outputs FROM events GROUP BY 1, 2",
-    "schema_checks": """WITH e AS (SELECT event_id AS i, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events)
+    "schema_checks": """WITH e AS (SELECT i, event_type, CASE i % 5 WHEN 1 THEN -k WHEN 2 THEN k + 0.5 WHEN 3 THEN k * 100 ELSE k END AS k FROM (SELECT event_id AS i, event_type, json_extract_string(props, '$.k')::DOUBLE AS k FROM events))
 SELECT event_type, concat_ws('; ', CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN 'type: not allowed' END, CASE WHEN i % 3 = 0 THEN 'k: required' WHEN i % 7 = 0 THEN 'k: not a number' WHEN k < 10 THEN 'k: below 10' WHEN k > 90 THEN 'k: above 90' END, CASE WHEN i % 4 = 0 THEN 'rows: below 1' END) AS errors, count(*) AS events FROM e GROUP BY 1, 2""",
     "classifier_trust": """WITH s AS (SELECT event_id % 97 / 96.0::DOUBLE AS g, event_id % 89 / 88.0::DOUBLE AS t, event_id % 83 / 82.0::DOUBLE AS q FROM events), b AS (SELECT *, greatest(g, t, q) AS b FROM s), i AS (SELECT *, CASE WHEN g = b THEN 'greetings' WHEN t = b THEN 'thanks' ELSE 'question' END AS intent FROM b)
 SELECT intent, b >= 0.8::DOUBLE AND CASE WHEN intent = 'question' THEN b - greatest(g, t) >= 0.075::DOUBLE ELSE b - q >= 0.15::DOUBLE END AS trusted, count(*) AS events FROM i GROUP BY 1, 2""",

@@ -15,14 +15,34 @@ from .urls import _MARKDOWN, page_markdown_text
 SECTION_CHARS, JOIN_CHARS, EXAMPLE_CHARS = C.CHUNK_CHARS, 2000, 2000
 
 
+def headings_outside_fences(text: Column) -> Column:
+    """array<boolean>, for each line that looks like a heading: whether no code fence is open there.
+
+    A fence opens with three or more of ` or ~ and closes at a line of at least as many of the same and nothing else.
+    """
+    marks = F.regexp_extract_all(text, F.lit(r"\n(?: {0,3}(?:`{3,}|~{3,})[^\n]*|#{1,6}(?=\s))"), F.lit(0))
+    fence = lambda m: F.regexp_extract(m, r"^\n *(`{3,}|~{3,})", 1)
+    closes = lambda a, m: F.regexp_like(m, F.lit(r"^\n *(?:`+|~+)[ \t\r]*$")) & F.startswith(fence(m), a["open"])
+    zero = F.struct(F.lit("").alias("open"), F.expr("cast(array() as array<boolean>)").alias("out"))
+
+    def step(a: Column, m: Column) -> Column:
+        opened = F.when(fence(m) == "", a["open"]).when(a["open"] == "", fence(m)).when(closes(a, m), "").otherwise(a["open"])
+        return F.struct(opened.alias("open"), F.when(fence(m) == "", F.array_append(a["out"], a["open"] == "")).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(marks, zero, step, lambda a: a["out"])
+
+
 def markdown_sections(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, section_no, heading_path, text: a section starts at each heading line and carries its headings.
+    """doc_id, text -> doc_id, section_no, heading_path, text: a section starts at each heading line outside code fences and carries its headings.
 
     The headings that hold are found per level: the last heading of a level that no higher one has followed. A window over
     the sections of a document, whose size is that of the document.
     """
-    parts = F.split(F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))), r"\n(?=#{1,6}\s)")
-    rows = docs.select("doc_id", F.posexplode(parts).alias("section_no", "text")).withColumn("text", X.trim_all(F.col("text")))
+    rows = docs.select("doc_id", F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.select("doc_id", F.split("text", r"\n(?=#{1,6}\s)").alias("parts"), headings_outside_fences(F.col("text")).alias("opens"))
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: (i == 0) | F.get("opens", i - 1)))
+    whole = F.transform("starts", lambda s, k: F.array_join(F.slice("parts", s + 1, F.coalesce(F.get("starts", k + 1), F.size("parts")) - s), "\n"))
+    rows = rows.select("doc_id", F.posexplode(whole).alias("section_no", "text")).withColumn("text", X.trim_all(F.col("text")))
     level = F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1))
     title = F.trim(F.regexp_extract("text", r"^#{1,6}\s+([^\n]*)", 1))
     marked = rows.withColumns({"level": level, "title": title})

@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from ..sources.tables import checkpointed, table
 
 
-def longest_path_layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """nodes: node; edges: src, dst -> node, depth. Each round peels the nodes without a predecessor that is left.
-
-    Rounds are as many as the layers. A cycle raises ValueError. Lineage is cut by checkpoint() in each round.
+def longest_path_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes: node; edges: src, dst between them -> node, depth: the edges of the longest path that ends there.
+
+    Paths are doubled: round k has the pairs of nodes that a path of exactly 2**k edges joins. As each end of a path is a path, a
+    node has paths of all lengths up to its depth, so the depth's binary digits are found from the highest one: the starts
+    of its paths so far are moved back by 2**k edges where any can be. Both ways take as many rounds as the longest path has binary
+    digits, each cut by checkpoint(). Pairs a power of two apart still after as many edges as there are nodes are on a cycle, which raises
+    ValueError. A round holds such pairs only, a few for each node where graphs are long and narrow.
     """
-    left, depth, out = nodes.select("node").distinct(), 0, None
-    edges = edges.select("src", "dst").distinct()
-    while not left.isEmpty():
-        inside = edges.join(left.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        layer = checkpointed(left.join(inside, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if layer.isEmpty() or depth > most:
+    nodes = checkpointed(nodes.select("node").distinct())
+    n, powers = nodes.count(), []
+    pairs = checkpointed(edges.select("src", "dst").distinct())
+    while not pairs.isEmpty():
+        if 2 ** len(powers) >= n:
             raise ValueError("the graph has a cycle")
-        out = layer if out is None else out.unionByName(layer)
-        left = checkpointed(left.join(layer, "node", "left_anti"))
-        depth += 1
-    return out if out is not None else nodes.withColumn("depth", F.lit(0))
+        powers.append(pairs)
+        pairs = checkpointed(pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct())
+    starts = nodes.select("node", F.col("node").alias("start"), F.lit(0).alias("depth"))
+    for k in range(len(powers) - 1, -1, -1):
+        back = powers[k].select(F.col("dst").alias("start"), F.col("src").alias("before"))
+        moved = starts.join(back, "start").select("node", F.col("before").alias("start"), (F.col("depth") + 2**k).alias("depth")).distinct()
+        starts = checkpointed(starts.join(moved.select("node").distinct(), "node", "left_anti").select("node", "start", "depth").unionByName(moved))
+    return starts.select("node", "depth").distinct()
 
 
 EXCLUSIVE = "control."

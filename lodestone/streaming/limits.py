@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.extract import route_matches, route_specificity
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 
 
 def windowed_counts(events: DataFrame, minutes: int = 60, limit: int = 20) -> DataFrame:
@@ -40,7 +40,7 @@ def anchored_windows(events: DataFrame, seconds: int = 3600, limit: int = 3, key
 
     t is in seconds. Rows are sorted by key and time within their partition and read as a stream, so that the state is two
     numbers and the time linear, however many events a key has; the events of one key are read in order by one task.
-    Nothing of a denied event is counted. Null times are before all others; null keys are one key.
+    Nothing of a denied event is counted. Events without a time come first and are one window; null keys are one key.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
 
@@ -52,13 +52,13 @@ def anchored_windows(events: DataFrame, seconds: int = 3600, limit: int = 3, key
                 k = None if pd.isna(k) else k
                 if k != last:
                     last, opened, n = k, None, 0
-                if opened is None or t - opened >= seconds:
+                if not pd.isna(t) and (opened is None or t - opened >= seconds):
                     opened, n = t, 0
                 ok.append(n < limit)
                 n += n < limit
             yield batch.assign(allowed=ok)
 
-    ordered = events.filter(F.col("t").isNotNull()).repartition(key).sortWithinPartitions(key, "t", "event_id")
+    ordered = events.repartition(key).sortWithinPartitions(key, "t", "event_id")
     return ordered.mapInPandas(fold, f"{kinds}, allowed boolean")
 
 
@@ -74,12 +74,12 @@ def layered_limits(requests: DataFrame, layers=LAYERS) -> DataFrame:
     """event_id, t, day, ip, site, origin -> event_id, denied_by: the first limit that a request runs into, null if none.
 
     A request that is denied by one limit is not counted by those after it, so each limit sees what the ones before let
-    through: one fold by its key after another.
+    through: one fold by its key after another, each run once and cut by checkpoint().
     """
     left, out = requests, None
     for name, keys, seconds, limit in layers:
         keyed = left.withColumn("_limit_key", F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x02")) for k in keys]))
-        judged = anchored_windows(keyed, seconds, limit, "_limit_key").drop("_limit_key")
+        judged = checkpointed(anchored_windows(keyed, seconds, limit, "_limit_key").drop("_limit_key"))
         denied = judged.filter(~F.col("allowed")).select("event_id", F.lit(name).alias("denied_by"))
         out = denied if out is None else out.unionByName(denied)
         left = judged.filter("allowed").drop("allowed")
