@@ -10,7 +10,7 @@ from .. import constants as C
 from ..functions import text as X
 from ..sources.tables import table
 from .chunking import chunk_windows
-from .urls import _MARKDOWN, page_markdown_text
+from .html import MARKDOWN_SQL, html_markdown
 
 SECTION_CHARS, JOIN_CHARS, EXAMPLE_CHARS = C.CHUNK_CHARS, 2000, 2000
 
@@ -201,7 +201,7 @@ def catalog_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of the web pages, from their markdown."""
-    md = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), page_markdown_text(F.col("html")).alias("text"))
+    md = html_markdown(table(spark, d, "pages").select("page_id", "url", "html")).select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))
     return markdown_sections(md).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("sections"))
 
 
@@ -244,5 +244,5 @@ w AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY source_id) AS total, co
 e AS (SELECT source_id, 0 AS m, '' AS category, 1 AS n, url, line FROM w WHERE total <= 400 UNION ALL SELECT source_id, m, category, n, url, line FROM w WHERE total > 400 AND n <= 4 UNION ALL SELECT source_id, m, category, 0, '', '## ' || category FROM w WHERE total > 400 AND n = 1),
 l AS (SELECT *, row_number() OVER o AS place, sum(length(line) + 1) OVER (PARTITION BY source_id ORDER BY m DESC, category, n, url ROWS UNBOUNDED PRECEDING) AS spent FROM e WINDOW o AS (PARTITION BY source_id ORDER BY m DESC, category, n, url))
 SELECT source_id, place, line FROM l WHERE spent <= 400""",
-    "page_sections": f"WITH {_MARKDOWN} SELECT page_id, len(regexp_extract_all(c, '(?m)^#{{1,6}} ')) + (NOT regexp_matches(c, '^#{{1,6}} '))::INT AS sections FROM f WHERE c <> ''",
+    "page_sections": f"WITH {MARKDOWN_SQL} SELECT page_id, len(regexp_extract_all(c, '(?m)^#{{1,6}} ')) + (NOT regexp_matches(c, '^#{{1,6}} '))::INT AS sections FROM md WHERE c <> ''",
 }

@@ -113,34 +113,10 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.when(~weak(title), title).when(~weak(h1), h1).otherwise(F.regexp_extract("url", r"([^/?#]*)/?(?:[?#].*)?$", 1)).alias("title"))
 
 
-def page_markdown_text(html: Column) -> Column:
-    """Html to markdown: scripts, styles, comments, navigation and footers dropped; headings, code, links and lists marked.
-
-    Regular expressions, not a parser: nested lists are flat, and what is left of other tags is their text.
-    """
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "nav", "footer", "head"):
-        c = F.regexp_replace(c, rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>", "")
-    for n in range(1, 7):
-        c = F.regexp_replace(c, rf"<h{n}(?:\s[^>]*)?>", "\n" + "#" * n + " ")
-    c = F.regexp_replace(F.regexp_replace(c, r"<pre(?:\s[^>]*)?>(?:\s*<code[^>]*>)?", "\n```\n"), r"(?:</code>\s*)?</pre>", "\n```\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"</?code[^>]*>", "`"), r"<li(?:\s[^>]*)?>", "\n- ")
-    c = F.regexp_replace(c, r"<a\s[^>]*href=\"([^\"#][^\"]*)\"[^>]*>([^<]*)</a>", "[$2]($1)")
-    c = F.regexp_replace(F.regexp_replace(c, r"<br[^>]*>|</p>|</h[1-6]>|</div>|</li>", "\n"), r"<[^>]*>", "")
-    for e, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(e), F.lit(plain))
-    return X.trim_all(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "( ?\n ?)+", "\n"))
-
-
-def page_markdown(spark: SparkSession, d: str) -> DataFrame:
-    c = page_markdown_text(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.sha2(c, 256).alias("markdown_hash"), F.length(c).cast("long").alias("chars"))
-
-
 QUERIES = {
     "url_segments": url_segments, "url_ids": url_ids, "canonical_keys": canonical_keys, "canonical_dedupe": canonical_dedupe_q, "crawl_url_filter": crawl_url_filter,
     "page_path_breakdown": path_breakdown, "path_prefix_clusters": path_prefix_clusters, "url_prefix_match": prefix_match, "page_links": page_links,
-    "longest_crawl_root": longest_root, "version_hints": version_hints, "page_titles": page_titles, "page_markdown": page_markdown,
+    "longest_crawl_root": longest_root, "version_hints": version_hints, "page_titles": page_titles,
 }
 
 _U = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
@@ -150,10 +126,6 @@ s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs
 _CANON = _U + r""", c AS (SELECT *, list_filter(segs, lambda x: NOT regexp_full_match(lower(x), 'v?[0-9]+([.][0-9]+)*')) AS kept,
   CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host, ':443$', '') ELSE host END AS h FROM s),
 k AS (SELECT page_id, url, CASE WHEN scheme = '' THEN lower(trim(url)) ELSE scheme || '://' || h || CASE WHEN len(kept) > 0 THEN '/' || array_to_string(kept, '/') ELSE '' END END AS canonical FROM c)"""
-_MARKDOWN = r"""a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script(?:\s[^>]*)?>.*?</script>', '', 'g'), '(?s)<style(?:\s[^>]*)?>.*?</style>', '', 'g'), '(?s)<nav(?:\s[^>]*)?>.*?</nav>', '', 'g'), '(?s)<footer(?:\s[^>]*)?>.*?</footer>', '', 'g'), '(?s)<head(?:\s[^>]*)?>.*?</head>', '', 'g') AS c FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '<h1(?:\s[^>]*)?>', chr(10) || '# ', 'g'), '<h2(?:\s[^>]*)?>', chr(10) || '## ', 'g'), '<h3(?:\s[^>]*)?>', chr(10) || '### ', 'g'), '<h4(?:\s[^>]*)?>', chr(10) || '#### ', 'g'), '<h5(?:\s[^>]*)?>', chr(10) || '##### ', 'g'), '<h6(?:\s[^>]*)?>', chr(10) || '###### ', 'g') AS c FROM a), d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '<pre(?:\s[^>]*)?>(?:\s*<code[^>]*>)?', chr(10) || '```' || chr(10), 'g'), '(?:</code>\s*)?</pre>', chr(10) || '```' || chr(10), 'g'), '</?code[^>]*>', '`', 'g'), '<li(?:\s[^>]*)?>', chr(10) || '- ', 'g'), '<a\s[^>]*href="([^"#][^"]*)"[^>]*>([^<]*)</a>', '[\2](\1)', 'g'), '<br[^>]*>|</p>|</h[1-6]>|</div>|</li>', chr(10), 'g'), '<[^>]*>', '', 'g') AS c FROM b),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(c, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS c FROM d),
-f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(c, '[ \t]+', ' ', 'g'), '( ?\n ?)+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS c FROM e)"""
 ORACLE_SQL = {
     "url_segments": f"WITH {_U} SELECT page_id, host, path, coalesce(segs[1], 'root') AS category, coalesce(segs[2], 'general') AS section, array_to_string(string_split(regexp_replace(host, '^www[.]', ''), '.')[-2:], '.') AS domain FROM s",
     "url_ids": r"""WITH h AS (SELECT page_id, url, substr(translate(base64(unhex(sha256(url))), '+/', '-_'), 1, 32) AS x FROM pages)
@@ -179,6 +151,4 @@ SELECT segment, count(*) AS urls FROM g WHERE regexp_full_match(segment, '(v?[0-
     "page_titles": r"""WITH t AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '^\s+|\s+$', '', 'g') AS a, regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '^\s+|\s+$', '', 'g') AS b FROM pages)
 SELECT page_id, CASE WHEN length(a) >= 3 AND lower(a) NOT IN ('home', 'docs', 'documentation', 'index', 'untitled') THEN a WHEN length(b) >= 3 AND lower(b) NOT IN ('home', 'docs', 'documentation', 'index', 'untitled') THEN b
 ELSE regexp_extract(url, '([^/?#]*)/?(?:[?#].*)?$', 1) END AS title FROM t""",
-    "page_markdown": f"""WITH {_MARKDOWN}
-SELECT page_id, sha256(c) AS markdown_hash, length(c) AS chars FROM f""",
 }

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import answering, catalog, chunking, crawl, dialogue, flows, lexical_index, ranking, refresh, retrieval, sinks, stored_index, structure, urls
+from .operators import answering, catalog, chunking, crawl, dialogue, flows, html, lexical_index, ranking, refresh, retrieval, sinks, stored_index, structure, urls
 from .plans import layers
 from .streaming import limits
 
-MODULES = [answering, catalog, chunking, crawl, dialogue, flows, layers, lexical_index, limits, ranking, refresh, retrieval, sinks, stored_index, structure, urls]
+MODULES = [answering, catalog, chunking, crawl, dialogue, flows, html, layers, lexical_index, limits, ranking, refresh, retrieval, sinks, stored_index, structure, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
