@@ -85,16 +85,6 @@ def trusted_intent(intent: Column, score: Column, greetings: Column, thanks: Col
     return (score >= least) & lead
 
 
-def module_edges(files: DataFrame) -> DataFrame:
-    """file, text -> file, module: the distinct modules that a file imports, exports from or requires."""
-    found = F.concat(F.regexp_extract_all("text", F.lit(r"""(?m)^\s*(?:import|export)\b[^'"\n;]*['"]([^'"\n]+)['"]"""), 1), F.regexp_extract_all("text", F.lit(r"""\brequire\(\s*['"]([^'"\n]+)['"]\s*\)"""), 1))
-    return files.select("file", F.explode(F.array_distinct(found)).alias("module"))
-
-
-def exported_symbols(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][A-Za-z0-9_$]*)"), 1))
-
-
 # --- site lists ----------------------------------------------------------------------------------------------------
 
 
@@ -277,25 +267,6 @@ def classifier_trust(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(intent.alias("intent"), trusted_intent(intent, best, g, t, q).alias("trusted")).agg(F.count("*").alias("events"))
 
 
-def _code(spark, d):
-    """Source files made of the first words of the documents."""
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
-    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
-    text = F.concat(F.lit("import { a } from './"), word(0), F.lit("';\nimport \"side\";\nexport async function "), word(1), F.lit("() {}\nconst z = require('"), word(0), F.lit("');\nexport const "), word(2), F.lit(" = 1;\n  export * from \"./"), word(0), F.lit('"\n'))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("file"), text.alias("text"))
-
-
-def import_edges(spark: SparkSession, d: str) -> DataFrame:
-    return module_edges(_code(spark, d))
-
-
-def symbol_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Files, imports and exported symbols in all."""
-    code = _code(spark, d)
-    imports = module_edges(code).agg(F.count("*").alias("imports"))
-    return code.agg(F.count("*").alias("files"), F.sum(F.size(exported_symbols(F.col("text")))).cast("long").alias("symbols")).crossJoin(imports)  # one row each
-
-
 def section_sibling_choice(spark: SparkSession, d: str) -> DataFrame:
     u = F.when(F.col("page_id") % 4 == 0, F.concat(F.substring_index("url", "/", 3), F.lit("/v2/"), X.url_segment(F.col("url"), 0, "x"))).otherwise(F.col("url"))
     return section_siblings(pages(spark, d).select(X.registrable_domain(X.url_host(F.col("url"))).alias("site"), F.col("page_id").alias("order"), u.alias("url"), (F.col("page_id") % 9 == 0).alias("is_main"))).select("site", F.col("order").alias("page_id"))
@@ -425,8 +396,8 @@ def generation_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "flow_conditions": flow_conditions, "output_shapes": output_shapes, "schema_checks": schema_checks, "classifier_trust": classifier_trust, "import_edges": import_edges,
-    "symbol_totals": symbol_totals, "section_sibling_choice": section_sibling_choice, "path_lift": path_lift, "confident_urls": confident_urls, "pages_of_roots": pages_of_roots,
+    "flow_conditions": flow_conditions, "output_shapes": output_shapes, "schema_checks": schema_checks, "classifier_trust": classifier_trust,
+    "section_sibling_choice": section_sibling_choice, "path_lift": path_lift, "confident_urls": confident_urls, "pages_of_roots": pages_of_roots,
     "citation_pages": citation_pages, "package_catalog_sync": package_catalog_sync, "category_names": category_names, "curated_brands": curated_brands, "document_sets": document_sets,
     "store_precedence": store_precedence, "family_versions_attached": family_versions_attached, "distinct_families": distinct_families, "scoped_sources": scoped_sources,
     "allowed_sources": allowed_sources, "domain_scores": domain_scores, "text_filter": text_filter, "usage_totals": usage_totals, "phase_timings": phase_timings,
@@ -439,7 +410,6 @@ _HOST = f"lower(regexp_extract(url, '^{_S}://([^/?#]*)', 1))"
 _PATH = f"coalesce(nullif(regexp_extract(url, '^{_S}://[^/?#]*([^?#]*)', 1), ''), '/')"
 _KEPT = f"list_filter({_SEGS}, lambda s: NOT regexp_matches(lower(s), '^v?[0-9]+([.][0-9]+)*$'))"
 _KEY = f"lower(split_part(url, ':', 1)) || '://' || regexp_replace({_HOST}, '^www[.]', '') || CASE WHEN len({_KEPT}) > 0 THEN '/' || array_to_string({_KEPT}, '/') ELSE '' END"
-_W = "coalesce(regexp_extract_all(text, '[A-Za-z]+')[{}], 'x')"
 ORACLE_SQL = {
     "flow_conditions": r"""WITH e AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'x' || k WHEN event_id % 11 <> 0 THEN k END AS v
   FROM (SELECT event_id, CASE event_id % 6 WHEN 1 THEN '-' || k || '.5' WHEN 2 THEN ' ' || k || 'e1' WHEN 3 THEN k || '0000000000' ELSE k END AS k FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events))), n AS (SELECT *, coalesce(v, '') AS t, CASE WHEN v IS NULL THEN 0 ELSE try_cast(trim(v) AS DOUBLE) END AS n FROM e)
@@ -450,8 +420,6 @@ count(*) FILTER (t = '7') AS n_equals, count(*) FILTER (n > 50) AS n_gt, count(*
 SELECT event_type, concat_ws('; ', CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN 'type: not allowed' END, CASE WHEN i % 3 = 0 THEN 'k: required' WHEN i % 7 = 0 THEN 'k: not a number' WHEN k < 10 THEN 'k: below 10' WHEN k > 90 THEN 'k: above 90' END, CASE WHEN i % 4 = 0 THEN 'rows: below 1' END) AS errors, count(*) AS events FROM e GROUP BY 1, 2""",
     "classifier_trust": """WITH s AS (SELECT event_id % 97 / 96.0::DOUBLE AS g, event_id % 89 / 88.0::DOUBLE AS t, event_id % 83 / 82.0::DOUBLE AS q FROM events), b AS (SELECT *, greatest(g, t, q) AS b FROM s), i AS (SELECT *, CASE WHEN g = b THEN 'greetings' WHEN t = b THEN 'thanks' ELSE 'question' END AS intent FROM b)
 SELECT intent, b >= 0.8::DOUBLE AND CASE WHEN intent = 'question' THEN b - greatest(g, t) >= 0.075::DOUBLE ELSE b - q >= 0.15::DOUBLE END AS trusted, count(*) AS events FROM i GROUP BY 1, 2""",
-    "import_edges": f"SELECT DISTINCT doc_id AS file, unnest(['./' || {_W.format(1)}, 'side', {_W.format(1)}]) AS module FROM documents",
-    "symbol_totals": f"""WITH w AS (SELECT {_W.format(1)} AS a, {_W.format(2)} AS b, {_W.format(3)} AS c FROM documents) SELECT count(*) AS files, sum(CASE WHEN b = c THEN 1 ELSE 2 END)::BIGINT AS symbols, 3 * count(*) AS imports FROM w""",
     "section_sibling_choice": f"""WITH p AS (SELECT page_id, regexp_replace({_HOST}, '^www[.]', '') AS host, page_id % 9 = 0 AS m, CASE WHEN page_id % 4 = 0 THEN ['v2', lower(coalesce({_SEGS}[1], 'x'))] ELSE list_transform({_SEGS}, lambda s: lower(s)) END AS g FROM pages),
 s AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS site, len(g) AS n, CASE WHEN regexp_matches(coalesce(g[1], ''), '^v?[0-9]+([.][0-9]+)*$') AND len(g) >= 2 THEN g[1] || '/' || g[2] ELSE coalesce(g[1], '') END AS k, array_to_string(CASE WHEN len(g) <= 1 THEN g ELSE g[1:len(g) - 1] END, '/') AS parent FROM p),
 b AS (SELECT *, row_number() OVER (PARTITION BY site, k ORDER BY NOT m, n, page_id) AS r, min(page_id) OVER (PARTITION BY site, k) AS seen FROM s WHERE k <> ''),
