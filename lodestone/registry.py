@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import answering, catalog, chunking, code, crawl, dialogue, flows, html, lexical_index, ranking, refresh, retrieval, sinks, stored_index, structure, urls
-from .plans import layers
+from .plans import ingest, layers
 from .streaming import layered, limits
 
-MODULES = [answering, catalog, chunking, code, crawl, dialogue, flows, html, layered, layers, lexical_index, limits, ranking, refresh, retrieval, sinks, stored_index, structure, urls]
+MODULES = [answering, catalog, chunking, code, crawl, dialogue, flows, html, ingest, layered, layers, lexical_index, limits, ranking, refresh, retrieval, sinks, stored_index, structure, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
