@@ -316,7 +316,7 @@ def _examples(spark, d):
     """Documents as example chunks: six of seven are examples, up to three parts each."""
     i = F.col("doc_id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("code", "config", "api_response")]), (i % 3 + 1).cast("int"))
-    body = F.substring(F.coalesce("text", F.lit("")), 1, 2000)
+    body = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select(
         i.alias("id"), i.alias("order"), F.when(i % 7 != 0, "example").otherwise("text").alias("chunk_kind"), F.concat_ws("/", F.lit("https://e.org"), "source", F.floor(i / 30).cast("string")).alias("url"),
         F.floor(i % 30 / 3).cast("int").alias("example_index"), F.when(i % 4 != 0, F.concat(F.lit("Example "), i.cast("string"))).otherwise(" ").alias("title"), kind.alias("kind"),
@@ -379,16 +379,16 @@ def run_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 def question_wordings(spark: SparkSession, d: str) -> DataFrame:
     q = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("```x = 1``` "), "text", F.lit("?!"))).otherwise(F.col("text"))
-    variants = F.array(F.upper("text"), F.concat(F.lit(" "), F.col("item_id").cast("string"), F.lit(" more ")), F.lit(""))
-    ascii_only = table(spark, d, "benchmark").filter(F.regexp_like("text", F.lit(r"^[\x20-\x7e]*$")))
-    return ascii_only.select("item_id", F.size(wordings(q, variants)).cast("long").alias("wordings"), F.sha2(F.array_join(wordings(q, variants), "\n"), 256).alias("hash"), F.array_join(E.keyword_terms(F.col("text")), " ").alias("keywords"))
+    capitals = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    variants = F.array(capitals, F.concat(F.lit(" "), F.col("item_id").cast("string"), F.lit(" more ")), F.lit(""))
+    return table(spark, d, "benchmark").select("item_id", F.size(wordings(q, variants)).cast("long").alias("wordings"), F.sha2(F.array_join(wordings(q, variants), "\n"), 256).alias("hash"), F.array_join(E.keyword_terms(F.col("text")), " ").alias("keywords"))
 
 
 def rerank_queries(spark: SparkSession, d: str) -> DataFrame:
     """Passages with an error or code behind them."""
     more = F.array(F.lit(""), F.lit("\n  KeyError: 'name' in line 3\nwhy"), F.lit("\n```py\nimport os\nx = load(1)\n# no\ny = x + 2\n```\n"), F.lit(" see `call(one, two)` and a ValueError: bad thing"))
-    short = F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 120)
-    return table(spark, d, "benchmark").select("item_id", E.rerank_query(F.concat(short, F.element_at(more, (F.col("item_id") % 4 + 1).cast("int")))).alias("query"))
+    plain = F.regexp_replace("text", r"[^A-Za-z ]", "")
+    return table(spark, d, "benchmark").select("item_id", E.rerank_query(F.concat(plain, F.element_at(more, (F.col("item_id") % 4 + 1).cast("int")))).alias("query"))
 
 
 def clamped_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -462,7 +462,7 @@ _BM25_V = _BM25_V.replace("FROM q)", "FROM v)").replace("FROM q,", "FROM v,")
 _FUSED_V = _FUSED.split(",\nvec AS")[0].replace("both_legs", "both_legs1").replace("fused AS", "fused1 AS").replace("FROM dense d FULL JOIN lex x", "FROM dense1 d FULL JOIN lex1 x")
 _RETRIEVE = f"{_META}, {_asked_sql()}"
 _EX = """ex AS (SELECT doc_id AS id, doc_id % 7 <> 0 AS is_ex, 'https://e.org/' || source || '/' || (doc_id // 30) AS url, doc_id % 30 // 3 AS example_index, CASE WHEN doc_id % 4 <> 0 THEN 'Example ' || doc_id ELSE ' ' END AS title,
-  ['code', 'config', 'api_response'][doc_id % 3 + 1] AS kind, CASE WHEN doc_id % 5 <> 0 THEN lang END AS language, left(coalesce(text, ''), 2000) AS body, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 END AS part FROM documents)"""
+  ['code', 'config', 'api_response'][doc_id % 3 + 1] AS kind, CASE WHEN doc_id % 5 <> 0 THEN lang END AS language, coalesce(text, '') AS body, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 END AS part FROM documents)"""
 
 
 def _example_sql(q: str, out: str, kinds: str) -> str:
@@ -490,13 +490,14 @@ SELECT q.question_id, best, mean3, CASE WHEN best IS NULL THEN 'none' WHEN best
     "golden_rejects": f"{_ALL}, {_GOLD}, {_gold_sql('fused', 'g')} SELECT * FROM g",
     "run_comparison": f"""{_ALL}, {_GOLD}, {_gold_sql('lex', 'g')}, {_gold_sql('fused', 'k')}, c AS (SELECT question_id, (k.hit_at_1 AND NOT g.hit_at_1) OR coalesce(k.first_rank < g.first_rank, false) AS improved, (NOT k.hit_at_1 AND g.hit_at_1) OR coalesce(k.first_rank > g.first_rank, false) OR (k.reject_hit AND NOT g.reject_hit) AS regressed FROM k JOIN g USING (question_id))
 SELECT * FROM c WHERE improved OR regressed""",
-    "question_wordings": r"""WITH b AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN '```x = 1``` ' || text || '?!' ELSE text END AS q FROM benchmark WHERE regexp_matches(text, '^[\x20-\x7e]*$')),
+    "question_wordings": r"""WITH b AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN '```x = 1``` ' || text || '?!' ELSE text END AS q FROM benchmark),
 c AS (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '[?!.,;:]+', ' ', 'g'), '\s+', ' ', 'g')), 400) AS c FROM b),
-w AS (SELECT item_id, trim(w) AS w, i FROM c, unnest([c, q, upper(text), ' ' || item_id || ' more ', '']) WITH ORDINALITY AS u(w, i)), f AS (SELECT item_id, first(w ORDER BY i) AS w, min(i) AS i FROM w WHERE w <> '' GROUP BY item_id, lower(w)),
+w AS (SELECT item_id, trim(w) AS w, i FROM c, unnest([c, q, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ' || item_id || ' more ', '']) WITH ORDINALITY AS u(w, i)), f AS (SELECT item_id, first(w ORDER BY i) AS w, min(i) AS i FROM w WHERE w <> '' GROUP BY item_id, lower(w)),
 k AS (SELECT item_id, w, min(i) AS i, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM (SELECT item_id, list_transform(regexp_split_to_array(lower(trim(regexp_replace(regexp_replace(text, '[?!.,;:]+', ' ', 'g'), '\s+', ' ', 'g'))), '\s+'), lambda x: regexp_replace(x, '[^a-z0-9_.-]', '', 'g')) AS l FROM b), unnest(l) WITH ORDINALITY AS u(w, i) WHERE length(w) >= 3 GROUP BY 1, 2)
 SELECT b.item_id, (SELECT count(*) FROM f WHERE f.item_id = b.item_id) AS wordings, (SELECT sha256(string_agg(w, chr(10) ORDER BY i)) FROM f WHERE f.item_id = b.item_id) AS hash, (SELECT coalesce(string_agg(w, ' ' ORDER BY i), '') FROM k WHERE k.item_id = b.item_id AND n <= 10) AS keywords FROM b""",
-    "rerank_queries": r"""WITH b AS (SELECT item_id, item_id % 4 AS k, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 120) AS s FROM benchmark), c AS (SELECT *, trim(regexp_replace(s, '\s+', ' ', 'g')) AS c, left(trim(s || ' see `call(one, two)` and a ValueError: bad thing'), 120) AS e FROM b)
-SELECT item_id, left(CASE k WHEN 0 THEN c WHEN 1 THEN c || ' KeyError ''name'' in line 3 why Error: KeyError: ''name'' in line 3' WHEN 2 THEN c || ' Snippet: x = load(1) y = x + 2' ELSE trim(regexp_replace(c || ' see and a ValueError bad thing' || CASE WHEN contains(c || ' see and a ValueError bad thing', left(e, 24)) THEN '' ELSE ' Error: ' || e END || ' Snippet: call(one, two)', '\s+', ' ', 'g')) END, 220) AS query FROM c""",
+    "rerank_queries": r"""WITH b AS (SELECT item_id, item_id % 4 AS k, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS s FROM benchmark), c AS (SELECT *, trim(regexp_replace(s, '\s+', ' ', 'g')) AS c, left(trim(s || ' see `call(one, two)` and a ValueError: bad thing'), 120) AS e FROM b)
+SELECT item_id, left(trim(regexp_replace(CASE k WHEN 0 THEN left(c, 200) WHEN 1 THEN left(c || ' KeyError ''name'' in line 3 why', 200) || ' Error: KeyError: ''name'' in line 3' WHEN 2 THEN left(c, 200) || ' Snippet: x = load(1) y = x + 2'
+  ELSE left(c || ' see and a ValueError bad thing', 200) || CASE WHEN contains(left(c || ' see and a ValueError bad thing', 200), left(e, 24)) THEN '' ELSE ' Error: ' || e END || ' Snippet: call(one, two)' END, '\s+', ' ', 'g')), 220) AS query FROM c""",
     "clamped_scores": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE round(greatest(0, least(1, value / 100 - 0.5::DOUBLE)), 6) END AS clamped, round(1 / (1 + exp(-(value / 100 - 0.5::DOUBLE))), 6) AS logistic FROM events",
     "filtered_topk": "WITH " + _Q.replace("q AS (SELECT item_id", "q AS (SELECT CASE WHEN item_id % 2 = 0 THEN o.source END AS src, item_id").replace("ON e.vec_id = b.item_id", "ON e.vec_id = b.item_id JOIN documents o ON o.doc_id = b.item_id") + ", "
     + _DENSE.replace("FROM q, embeddings)", "FROM q, embeddings LEFT JOIN documents o ON o.doc_id = vec_id WHERE src IS NULL OR src = o.source)") + ", "

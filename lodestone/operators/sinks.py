@@ -131,7 +131,7 @@ def replace_all(spark: SparkSession, d: str) -> DataFrame:
 def lexical_upsert_q(spark: SparkSession, d: str) -> DataFrame:
     """The frequencies of terms after every seventh document was changed."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    changed = docs.filter("id % 7 = 0").select("id", F.concat(F.lit("changed changed "), F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("text"))
+    changed = docs.filter("id % 7 = 0").select("id", F.concat(F.lit("changed changed "), F.coalesce("text", F.lit(""))).alias("text"))
     return lexical_upsert(postings(docs), changed).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
 
 
@@ -158,8 +158,8 @@ def _chunks(docs):
 
 
 def mark_indexed_q(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("source").alias("source_id"), _url(F.col("doc_id")).alias("url"), "text", "lang")
-    return mark_indexed(docs.select("source_id").distinct(), _chunks(docs.filter("lang <> 'en'").drop("lang")))
+    docs = table(spark, d, "documents").select(F.col("source").alias("source_id"), _url(F.col("doc_id")).alias("url"), "text")
+    return mark_indexed(docs.select("source_id").distinct(), _chunks(docs))
 
 
 def catalog_save(spark: SparkSession, d: str) -> DataFrame:
@@ -224,12 +224,12 @@ i AS (SELECT doc_id, source_id, url, CASE WHEN doc_id % 7 = 0 THEN sha256(hash |
 ORACLE_SQL = {
     "unique_upsert": f"SELECT source || ':' || left(translate(base64(unhex(sha256({_U}))), '+/', '-_'), 32) || ':0' AS id, doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS version FROM documents",
     "replace_all": "SELECT source AS source_id, doc_id FROM documents d WHERE doc_id % 2 = 1 OR NOT EXISTS (SELECT 1 FROM documents e WHERE e.source = d.source AND regexp_matches(e.source, '[02468]$') AND e.doc_id % 2 = 1)",
-    "lexical_upsert": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'changed changed ' || left(coalesce(text, ''), 200) ELSE coalesce(text, '') END AS t FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS term FROM d)
+    "lexical_upsert": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'changed changed ' || coalesce(text, '') ELSE coalesce(text, '') END AS t FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS term FROM d)
 SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS tf FROM w GROUP BY 1""",
     "hash_only_sync": f"WITH {_S} SELECT source_id, url, coalesce(i.hash, p.hash) AS hash, CASE WHEN i.hash IS NULL THEN tombstoned ELSE false END AS tombstoned FROM p FULL JOIN i USING (source_id, url)",
     "source_delete": """WITH s AS (SELECT * FROM documents WHERE NOT regexp_matches(source, '[0369]$'))
 SELECT 'sources' AS name, source AS source_id, 1::BIGINT AS rows FROM s GROUP BY 2 UNION ALL SELECT 'chunks', source, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'runs', source, count(*) FROM s JOIN labels USING (doc_id) GROUP BY 2 UNION ALL SELECT 'vectors', source, count(*) FROM s JOIN embeddings ON vec_id = doc_id GROUP BY 2""",
-    "mark_indexed": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents WHERE lang <> 'en'), c AS (SELECT doc_id, source FROM d, unnest(range(0, {_N})) AS r(i) WHERE regexp_replace(substr(t, i * 3496 + 1, 4096), '^\s+|\s+$', '', 'g') <> '')
+    "mark_indexed": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, source FROM d, unnest(range(0, {_N})) AS r(i) WHERE regexp_replace(substr(t, i * 3496 + 1, 4096), '^\s+|\s+$', '', 'g') <> '')
 SELECT s.source AS source_id, count(DISTINCT c.doc_id) AS page_count, count(c.doc_id) AS chunk_count FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN c ON c.source = s.source GROUP BY 1""",
     "catalog_save": f"SELECT source AS source_id, count(*) AS pages, sha256(string_agg({_U}, ',' ORDER BY {_U})) AS urls_hash, sha256(string_agg(lang, ',' ORDER BY {_U})) AS titles_hash FROM documents GROUP BY 1",
     "probe_refresh": f"""WITH d AS (SELECT doc_id AS i, source AS source_id, {_U} AS url FROM documents),

@@ -189,8 +189,8 @@ def example_chunk_drafts(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_example_bodies(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
-    body = F.when(i % 4 == 0, F.concat(F.lit("  "), F.upper(F.substring("text", 1, 40)))).otherwise(F.lower(F.substring("text", 1, 40)))
-    rows = table(spark, d, "documents").filter(F.regexp_like(F.substring("text", 1, 40), F.lit(r"^[\x20-\x7e]*$"))).select(F.col("source").alias("page"), F.floor(i / 10).alias("section_no"), i.alias("order"), body.alias("body"))
+    body = F.when(i % 4 == 0, F.concat(F.lit("  "), F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).otherwise(F.col("text"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("page"), F.floor(i / 10).alias("section_no"), i.alias("order"), body.alias("body"))
     return merged_examples(rows).select("page", F.col("example_index").cast("long").alias("example_index"), F.sha2("body", 256).alias("body_hash"))
 
 
@@ -236,7 +236,7 @@ SELECT doc_id, 'docs' AS category, coalesce(nullif(split_part(path, ' > ', 1), '
 n AS (SELECT e.*, CASE WHEN length(body) <= 2000 THEN 1 ELSE (SELECT count(*) FROM c WHERE c.doc_id = e.doc_id AND p <> '') END AS parts, source || ':' || left(translate(base64(unhex(sha256(url))), '+/', '-_'), 32) || ':ex:' || x AS id FROM e),
 r AS (SELECT *, 'Page: ' || CASE WHEN doc_id % 5 <> 0 THEN 'Page' ELSE 'Untitled' END || ' | Section: ' || lang || ' | Kind: code' || CASE WHEN doc_id % 2 = 0 THEN ' | Language: js' ELSE '' END || ' | Topic: T' || doc_id || ' | Example:' || chr(10) || body AS t FROM n)
 SELECT url, parts, sum(parts)::BIGINT AS chunks, min(id || CASE WHEN parts > 1 THEN ':p:0' ELSE '' END) AS first_id, max(CASE WHEN parts = 1 THEN sha256(t) END) AS text_hash FROM r WHERE parts > 0 GROUP BY 1, 2""",
-    "merged_examples": r"""WITH r AS (SELECT source AS page, doc_id // 10 AS s, doc_id AS o, CASE WHEN doc_id % 4 = 0 THEN '  ' || upper(left(text, 40)) ELSE lower(left(text, 40)) END AS body FROM documents WHERE regexp_matches(left(text, 40), '^[\x20-\x7e]*$')),
+    "merged_examples": r"""WITH r AS (SELECT source AS page, doc_id // 10 AS s, doc_id AS o, CASE WHEN doc_id % 4 = 0 THEN '  ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS body FROM documents),
 f AS (SELECT page, first(s ORDER BY s, o) AS s, first(o ORDER BY s, o) AS o, first(body ORDER BY s, o) AS body FROM r WHERE trim(body) <> '' GROUP BY page, lower(trim(regexp_replace(body, '\s+', ' ', 'g'))))
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY s, o) - 1 AS example_index, sha256(body) AS body_hash FROM f""",
     "catalog_prompt": """WITH r AS (SELECT source AS source_id, lang AS category, 'https://e.org/' || doc_id AS url, '- Page ' || doc_id || ' (https://e.org/' || doc_id || ')' AS line FROM documents),
