@@ -35,8 +35,9 @@ LANGUAGE_ALIASES = {
     "rb": "ruby", "php": "php", "csharp": "csharp", "c#": "csharp", "cs": "csharp", "cpp": "cpp", "c++": "cpp", "c": "c", "md": "markdown", "markdown": "markdown",
     "other": "other",
 }
+#: Endings of files that are read from a checkout.
 REPO_EXTENSIONS = r"(?i)[.]([cm]?[jt]s|[jt]sx|md|mdx)$"
-#: Folders of a checkout that are not walked.
+#: Folders of a checkout that are not walked.
 SKIP_DIRS = ("node_modules", ".git", "dist", "build", "out", "coverage", "vendor", ".next", ".turbo", ".cache")
 
 

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..sources.store import Change, Store
 from ..sources.tables import shared_dir, table
-from .retrieval import asked_terms, bm25_ranked, term_weights
+from .retrieval import asked_terms, bm25_ranked, broadcast_if_small, term_weights
 
 BUCKETS = 64
+#: Raised with every change of what is stored, so that no index of an older form is read.
+FORMAT = 1
 #: A commit deals each bucket over one task for so many chunks, since a very frequent term has a posting in most of them.
 FILE_CHUNKS = 1_000_000
 
@@ -87,7 +89,7 @@ def asked_postings(store: Store, terms: DataFrame) -> DataFrame:
     heads = {r[0] for r in terms.select(bucket(F.col("term"))).distinct().collect()}  # at most BUCKETS
     rows = store.table("postings", _parts(store, heads))
     wanted = terms.select("term").distinct()
-    return _alive(store, rows.join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "term"))
+    return _alive(store, rows.join(broadcast_if_small(wanted), "term"))
 
 
 def search(store: Store, qs: DataFrame, k: int = C.LEXICAL_TOP_K, equal: tuple[str, ...] = ()) -> DataFrame:
@@ -102,7 +104,7 @@ def corpus_index(spark: SparkSession, d: str, chunks: DataFrame) -> Store:
     """The index of a folder's documents in the shared folder, built where there is none for these files."""
     files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = "\n".join(sorted(f"{r[0]} {r[1]} {r[2]}" for r in files.collect()))  # a row per file
-    store = Store(spark, f"{shared_dir(spark)}/lexical-{hashlib.sha256(state.encode()).hexdigest()[:32]}")
+    store = Store(spark, f"{shared_dir(spark)}/lexical-{FORMAT}-{hashlib.sha256(state.encode()).hexdigest()[:32]}")
     return store if store.version else store.commit(index_changes(store, chunks, carry=("source",)))
 
 

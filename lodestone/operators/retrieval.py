@@ -18,12 +18,15 @@ from .. import constants as C
 from ..functions.text import index_heading, index_terms, query_terms
 from ..sources.tables import questions, table
 
-QUESTION_LIMIT, QUESTION_BLOCK = 100_000, 10_000
+QUESTION_LIMIT, QUESTION_BYTES, QUESTION_BLOCK = 100_000, 64_000_000, 10_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast only where the question side is counted small; else Spark chooses the join."""
-    return F.broadcast(df) if df.count() <= QUESTION_LIMIT else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast only where the rows are counted few, and beyond a thousand their bytes as JSON too; else Spark chooses the join."""
+    rows = df.count()
+    if rows > QUESTION_LIMIT or (rows > 1000 and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) > QUESTION_BYTES):
+        return df
+    return F.broadcast(df)
 
 
 def rank_within(df: DataFrame, order: list[Column], out: str = "rank", by: str = "question_id") -> DataFrame:
@@ -125,7 +128,7 @@ def bm25_top_k(qs: DataFrame, chunks: DataFrame, k: int = C.LEXICAL_TOP_K, equal
     sized = term_weights(chunks, equal)
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg(F.col("len").cast("double")).alias("avg_len"))
     said = sized.select("id", *equal, "len", F.explode("terms").alias("t")).select("id", *equal, "len", "t.term", "t.w")
-    postings = said.join(_small(asked.select("term").distinct()), "term").groupBy("id", *equal, "len", "term").agg(F.sum("w").alias("tf"))
+    postings = said.join(broadcast_if_small(asked.select("term").distinct()), "term").groupBy("id", *equal, "len", "term").agg(F.sum("w").alias("tf"))
     return bm25_ranked(postings, asked, stats, k, equal)
 
 
