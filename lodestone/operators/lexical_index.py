@@ -50,15 +50,17 @@ def live_chunks(store: Store) -> DataFrame | None:
     return None if rows is None else _alive(store, rows).select("id", "len", "seg")
 
 
-def index_changes(store: Store, chunks: DataFrame, gone: DataFrame | None = None, carry: tuple[str, ...] = ()) -> dict[str, Change]:
+def index_changes(store: Store, chunks: DataFrame, gone: DataFrame | None = None, carry: tuple[str, ...] = (), positions: bool = False) -> dict[str, Change]:
     """The changes of a store that put chunks (id, text, heading if there is one, and ``carry``) in place of those with their ids.
 
     ``gone`` has the ids to delete. Ids are unique among the chunks. The columns in ``carry`` go with the postings, for searches by equality.
+    With ``positions`` (the same in every commit of a store) a posting has ``marks`` too: its places in the chunk, in order, the heading's first.
     """
     seg = store.version + 1
     every = F.array_append("terms", F.struct(F.lit("").alias("term"), F.lit(0).alias("w")))
-    said = term_weights(chunks, carry).select("id", *carry, "len", F.explode(every).alias("t")).select("id", *carry, "len", "t.term", "t.w")
-    rows = said.groupBy("id", *carry, "len", "term").agg(F.sum("w").alias("tf")).withColumn("seg", F.lit(seg).cast("long"))
+    said = term_weights(chunks, carry).select("id", *carry, "len", F.posexplode(every).alias("at", "t")).select("id", *carry, "len", "at", "t.term", "t.w")
+    marks = [F.sort_array(F.collect_list(F.struct("at", (F.col("w") > 1).alias("head")))).alias("marks")] if positions else []
+    rows = said.groupBy("id", *carry, "len", "term").agg(F.sum("w").alias("tf"), *marks).withColumn("seg", F.lit(seg).cast("long"))
     files = 1 + chunks.count() // FILE_CHUNKS
     out = {"postings": Change(rows.withColumn("part", F.concat(bucket(F.col("term")), F.lit(f"x{seg}"))), files=files)}
     held = live_chunks(store)
@@ -100,12 +102,12 @@ def search(store: Store, qs: DataFrame, k: int = C.LEXICAL_TOP_K, equal: tuple[s
     return bm25_ranked(postings, asked, stats, k, equal)
 
 
-def corpus_index(spark: SparkSession, d: str, chunks: DataFrame) -> Store:
-    """The index of a folder's documents in the shared folder, built where there is none for these files."""
+def corpus_index(spark: SparkSession, d: str, chunks: DataFrame, name: str = "lexical", positions: bool = False) -> Store:
+    """The index of a folder's documents in the shared folder, built where there is none of that name for these files."""
     files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = "\n".join(sorted(f"{r[0]} {r[1]} {r[2]}" for r in files.collect()))  # a row per file
-    store = Store(spark, f"{shared_dir(spark)}/lexical-{FORMAT}-{hashlib.sha256(state.encode()).hexdigest()[:32]}")
-    return store if store.version else store.commit(index_changes(store, chunks, carry=("source",)))
+    store = Store(spark, f"{shared_dir(spark)}/{name}-{FORMAT}-{hashlib.sha256(state.encode()).hexdigest()[:32]}")
+    return store if store.version else store.commit(index_changes(store, chunks, carry=("source",), positions=positions))
 
 
 # --- queries over the tables ---------------------------------------------------------------------------------------
