@@ -3,6 +3,8 @@
 DENSE_TOP_K, LEXICAL_TOP_K, FINAL_TOP_K = 50, 20, 8
 RRF_K = 60
 SEMANTIC_WEIGHT, VECTOR_WEIGHT, POSITION_WEIGHT = 0.5, 0.3, 0.2
+#: The share of code among the candidates from which their fused order is kept.
+CODE_RATIO = 0.6
 STRICT_THRESHOLD, RELAXED_THRESHOLD, WEAK_THRESHOLD, WEAK_TOP_K = 0.65, 0.50, 0.15, 5
 PER_PAGE_CAP = 3
 HEADING_WEIGHT = 5
