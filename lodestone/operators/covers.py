@@ -83,7 +83,7 @@ def _store(spark: SparkSession, d: str) -> Store:
 
 
 def _shown(found: DataFrame) -> DataFrame:
-    return found.select("question_id", "id", F.col("covers").cast("long").alias("covers"), F.round("density", 4).alias("density"), F.col("rank").cast("long").alias("rank"))
+    return found.select("question_id", "id", F.col("covers").cast("long").alias("covers"), "density", F.col("rank").cast("long").alias("rank"))
 
 
 def cover_density_any(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ asked AS (SELECT question_id, term, (n - 1) % 3 AS need FROM (SELECT question_id
 h AS (SELECT doc_id, coalesce(regexp_extract_all(lower(source), '[\p{{L}}\p{{N}}]+'), []) AS hl, coalesce(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), []) AS l FROM documents),
 p AS (SELECT doc_id AS id, t AS term, i AS spot, i <= len(hl) AS head FROM h, unnest(list_concat(hl, l)) WITH ORDINALITY AS u(t, i)),
 hits AS (SELECT question_id, id, need, spot, head FROM p JOIN asked USING (term))"""
-_RANKED = "SELECT * FROM (SELECT question_id, id, covers, round(density, 4) AS density, row_number() OVER (PARTITION BY question_id ORDER BY density DESC, id) - 1 AS rank FROM s) WHERE rank < 20"
+_RANKED = "SELECT * FROM (SELECT question_id, id, covers, density, row_number() OVER (PARTITION BY question_id ORDER BY density DESC, id) - 1 AS rank FROM s) WHERE rank < 20"
 #: The other way round: for each place the nearest place of every need from there on; the last of these ends the interval, and of the intervals with one end the latest beginning counts.
 ORACLE_SQL = {
     "cover_density_any": f"WITH {_PLACES}, s AS (SELECT question_id, id, count(*) AS covers, round(sum(CASE WHEN head THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END), 6) AS density FROM hits GROUP BY 1, 2) {_RANKED}",

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import answering, backends, catalog, chunking, code, covers, crawl, dialogue, flows, html, lexical_index, ranking, refresh, retrieval, schemas, sinks, stored_index, structure, urls
+from .operators import answering, backends, catalog, chunking, code, covers, crawl, dialogue, display, flows, html, lexical_index, ranking, refresh, retrieval, schemas, sinks, stored_index, structure, urls
 from .plans import ingest, layers
 from .streaming import layered, limits
 
-MODULES = [answering, backends, catalog, chunking, code, covers, crawl, dialogue, flows, html, ingest, layered, layers, lexical_index, limits, ranking, refresh, retrieval, schemas, sinks, stored_index, structure, urls]
+MODULES = [answering, backends, catalog, chunking, code, covers, crawl, dialogue, display, flows, html, ingest, layered, layers, lexical_index, limits, ranking, refresh, retrieval, schemas, sinks, stored_index, structure, urls]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
