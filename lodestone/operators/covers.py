@@ -58,11 +58,10 @@ def cover_density(store: Store, asked: DataFrame, k: int = C.LEXICAL_TOP_K) -> D
     most = wanted.agg(F.max("needs")).first()[0] or 1  # at most the terms of a question
     met = asked_postings(store, wanted.select("term")).join(broadcast_if_small(wanted), "term")
     if most == 1:
-        heads = F.size(F.filter("marks", lambda m: m["head"]))
-        found = met.select(*PAIR, F.size("marks").alias("covers"), (heads * HEAD_WEIGHT + (F.size("marks") - heads) * BODY_WEIGHT).alias("density"))
+        found = met.select(*PAIR, F.size("places").alias("covers"), (F.col("heads") * HEAD_WEIGHT + (F.size("places") - F.col("heads")) * BODY_WEIGHT).alias("density"))
         scored = found.groupBy(*PAIR).agg(F.sum("covers").alias("covers"), F.round(F.sum("density"), 6).alias("density"))
     else:
-        places = met.select(*PAIR, "needs", "need", F.inline("marks"))
+        places = met.select(*PAIR, "needs", "need", "heads", F.posexplode("places").alias("nth", "at")).select(*PAIR, "needs", "need", "at", (F.col("nth") < F.col("heads")).alias("head"))
         scored = covers(places, most).groupBy(*PAIR).agg(F.count("*").alias("covers"), F.round(F.sum("density"), 6).alias("density"))
     return rank_within(scored, [F.desc("density"), F.asc("id")]).filter(F.col("rank") < k)
 

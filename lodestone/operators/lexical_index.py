@@ -50,17 +50,34 @@ def live_chunks(store: Store) -> DataFrame | None:
     return None if rows is None else _alive(store, rows).select("id", "len", "seg")
 
 
+def _placed(weighed: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The postings of each chunk with their places, made within its row: its terms are sorted with their places and cut where the term changes."""
+    spots = F.sort_array(F.transform("terms", lambda t, i: F.struct(t["term"].alias("term"), i.alias("at"), t["w"].alias("w"))))
+    n = F.size("spots")
+    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("spots", i)["term"] != F.get("spots", i - 1)["term"]))
+    cut = lambda i, j: F.slice(F.col("spots"), i + 1, F.coalesce(F.get("starts", j + 1), n) - i)
+    runs = F.transform("starts", lambda i, j: F.struct(F.get("spots", i)["term"].alias("term"), cut(i, j).alias("run")))
+    each = weighed.withColumn("spots", spots).withColumn("starts", heads).select("id", *carry, "len", F.inline(runs))
+    tf = F.aggregate("run", F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    return each.select("id", *carry, "len", "term", tf.alias("tf"), F.transform("run", lambda x: x["at"]).alias("places"), F.size(F.filter("run", lambda x: x["w"] > 1)).alias("heads"))
+
+
 def index_changes(store: Store, chunks: DataFrame, gone: DataFrame | None = None, carry: tuple[str, ...] = (), positions: bool = False) -> dict[str, Change]:
     """The changes of a store that put chunks (id, text, heading if there is one, and ``carry``) in place of those with their ids.
 
     ``gone`` has the ids to delete. Ids are unique among the chunks. The columns in ``carry`` go with the postings, for searches by equality.
-    With ``positions`` (the same in every commit of a store) a posting has ``marks`` too: its places in the chunk, in order, the heading's first.
+    With ``positions`` (the same in every commit of a store) a posting has ``places`` too, its places in the chunk in order, of which the first
+    ``heads`` are in the heading.
     """
     seg = store.version + 1
     every = F.array_append("terms", F.struct(F.lit("").alias("term"), F.lit(0).alias("w")))
-    said = term_weights(chunks, carry).select("id", *carry, "len", F.posexplode(every).alias("at", "t")).select("id", *carry, "len", "at", "t.term", "t.w")
-    marks = [F.sort_array(F.collect_list(F.struct("at", (F.col("w") > 1).alias("head")))).alias("marks")] if positions else []
-    rows = said.groupBy("id", *carry, "len", "term").agg(F.sum("w").alias("tf"), *marks).withColumn("seg", F.lit(seg).cast("long"))
+    weighed = term_weights(chunks, carry).withColumn("terms", every)
+    if positions:
+        rows = _placed(weighed, carry)
+    else:
+        said = weighed.select("id", *carry, "len", F.explode("terms").alias("t")).select("id", *carry, "len", "t.term", "t.w")
+        rows = said.groupBy("id", *carry, "len", "term").agg(F.sum("w").alias("tf"))
+    rows = rows.withColumn("seg", F.lit(seg).cast("long"))
     files = 1 + chunks.count() // FILE_CHUNKS
     out = {"postings": Change(rows.withColumn("part", F.concat(bucket(F.col("term")), F.lit(f"x{seg}"))), files=files)}
     held = live_chunks(store)
