@@ -16,9 +16,11 @@ from pyspark.sql.window import Window as W
 
 from .. import constants as C
 from ..functions.text import index_heading, index_terms, query_terms
-from ..sources.tables import questions, table
+from ..sources.tables import checkpointed, questions, table
 
 QUESTION_LIMIT, QUESTION_BYTES, QUESTION_BLOCK = 100_000, 64_000_000, 10_000
+#: Scores of questions by rows that a task holds at once.
+SCORE_CELLS = 4_000_000
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -104,17 +106,72 @@ def term_weights(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def bm25_ranked(postings: DataFrame, asked: DataFrame, stats: DataFrame, k: int, equal: tuple[str, ...] = ()) -> DataFrame:
-    """postings: id, len, term, tf of all asked terms; stats: n_docs, avg_len in one row -> question_id, id, lexical, rank."""
+    """postings: id, len, term, tf of all asked terms; stats: n_docs, avg_len in one row -> question_id, id, lexical, rank.
+
+    The questions' terms go to the tasks with their weights, in blocks of QUESTION_BLOCK questions. Postings are dealt by id, each once however
+    many questions ask for it, and a task keeps the k best rows of each question, so that only these are ranked.
+    """
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, k1, b = F.col("n_docs").cast("double"), C.BM25_K1, C.BM25_B
+    n = F.col("n_docs").cast("double")
     idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    met = postings.join(df, "term").join(asked, "term")
-    for c in equal:
-        met = met.filter(F.col(f"_q_{c}").isNull() | (F.col(f"_q_{c}") == F.col(c)))
-    scored = met.crossJoin(F.broadcast(stats)).groupBy("question_id", "id").agg(F.round(F.sum(part), 6).alias("lexical"))  # one row
-    return rank_within(scored, [F.desc("lexical"), F.asc("id")]).filter(F.col("rank") < k)
+    weights = df.crossJoin(F.broadcast(stats)).select("term", weight.alias("weight"))  # one row
+    blocks = max(1, -(-asked.select("question_id").distinct().count() // QUESTION_BLOCK))
+    found = None
+    for part in range(blocks):
+        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == part)
+        best = _bm25_of_tasks(postings, mine.join(weights, "term"), stats, k, equal)
+        found = best if found is None else found.unionByName(best)
+    return rank_within(found, [F.desc("lexical"), F.asc("id")]).filter(F.col("rank") < k)
+
+
+def _bm25_of_tasks(postings: DataFrame, weighed: DataFrame, stats: DataFrame, k: int, equal: tuple[str, ...]) -> DataFrame:
+    spark = postings.sparkSession
+    rows = weighed.select("question_id", "term", "weight", *[f"_q_{c}" for c in equal]).toPandas()  # at most about QUESTION_BLOCK questions of MAX_QUERY_TERMS terms
+    no, terms = pd.factorize(rows["term"])
+    q, names = pd.factorize(rows["question_id"])
+    order = np.argsort(no, kind="stable")
+    counts = np.bincount(no, minlength=len(terms)) if len(rows) else np.zeros(0, dtype=np.int64)
+    first = rows.iloc[np.unique(q, return_index=True)[1]]
+    wanted = [first[f"_q_{c}"].to_numpy(dtype=object) for c in equal]
+    shared = spark.sparkContext.broadcast((np.asarray(names), wanted, q[order], rows["weight"].to_numpy(dtype=np.float64)[order], counts, np.cumsum(counts) - counts))
+    numbers = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": list(terms), "no": range(len(terms))}), "term string, no int"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted, asks, weight, counts, starts = shared.value
+        held = [b for b in batches if len(b)]
+        if not held or not len(names):
+            return
+        mine = pd.concat(held, ignore_index=True)  # a part of the shuffle
+        doc, ids = pd.factorize(mine["id"])
+        order = np.argsort(doc, kind="stable")
+        doc, no, value = doc[order], mine["no"].to_numpy()[order], mine["part"].to_numpy()[order]
+        once = mine.drop_duplicates("id")
+        have = [once[c].to_numpy(dtype=object) for c in equal]
+        best, size = None, max(1, SCORE_CELLS // len(names))
+        for low in range(0, len(ids), size):
+            high = min(low + size, len(ids))
+            at = slice(*np.searchsorted(doc, (low, high)))
+            many = counts[no[at]]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[no[at]], many)
+            cell = asks[step] * (high - low) + np.repeat(doc[at] - low, many)
+            scores = np.bincount(cell, np.repeat(value[at], many) * weight[step], len(names) * (high - low)).reshape(len(names), high - low)
+            scores = np.where(scores > 0, np.round(scores, 6), -1.0)
+            for want, column in zip(wanted, have):
+                none = np.array([w is None or w != w for w in want])
+                scores[~(none[:, None] | (want[:, None] == column[None, low:high]))] = -1.0
+            least = np.partition(scores, high - low - k, axis=1)[:, [high - low - k]] if high - low > k else 0.0
+            row, col = np.nonzero((scores >= least) & (scores >= 0))
+            new = pd.DataFrame({"q": row, "id": ids[low + col], "lexical": scores[row, col]})
+            new = new if best is None else pd.concat([best, new])
+            best = new.sort_values(["q", "lexical", "id"], ascending=[True, False, True]).groupby("q").head(k)
+        yield pd.DataFrame({"question_id": names[best["q"].to_numpy()], "id": best["id"].to_numpy(), "lexical": best["lexical"].to_numpy()})
+
+    k1, b = C.BM25_K1, C.BM25_B
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    dealt = postings.join(numbers, "term").select("id", "no", "tf", "len", *equal).repartition("id").crossJoin(F.broadcast(stats)).select("id", "no", part.alias("part"), *equal)
+    kinds = {f.name: f.dataType.simpleString() for f in [*weighed.schema, *postings.schema]}
+    return dealt.mapInPandas(scan, f"question_id {kinds['question_id']}, id {kinds['id']}, lexical double").withColumn("lexical", F.round("lexical", 6))
 
 
 def bm25_top_k(qs: DataFrame, chunks: DataFrame, k: int = C.LEXICAL_TOP_K, equal: tuple[str, ...] = ()) -> DataFrame:
@@ -241,7 +298,7 @@ def _lexical(qs: DataFrame, spark: SparkSession, d: str, equal: tuple[str, ...]
     """The lexical leg, from the corpus' stored index."""
     from .lexical_index import corpus_index, search
 
-    return search(corpus_index(spark, d, _chunks(spark, d)), qs, equal=equal)
+    return checkpointed(search(corpus_index(spark, d, _chunks(spark, d)), qs, equal=equal))  # k rows a question
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -250,8 +307,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark, d):
+    """The fused candidates, a bounded pool for each question, kept so that what follows may use them often and search once."""
     qs = questions(spark, d)
-    return fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), _lexical(qs, spark, d))
+    return checkpointed(fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), _lexical(qs, spark, d)))
 
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:

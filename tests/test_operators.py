@@ -256,3 +256,26 @@ def test_pages_of_roots_without_pairs(spark):
     assert dict(map(tuple, out.collect())) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "page_id" in x and "LogicalRDD" not in x]
+
+
+def test_bm25_moves_postings_once(spark):
+    """However many questions ask for a term, its postings are dealt once and only the best rows of a task are ranked."""
+    import math
+
+    docs = [(i, " ".join(["common"] * (1 + i % 3) + ["w%d" % (i % 11), "v%d" % (i % 7)] * (1 + i % 2))) for i in range(400)] + [(400, None), (401, "")]
+    qs = spark.createDataFrame([(q, f"common w{q % 11} v{q % 7} absent", "even" if q % 2 else None) for q in range(60)], "question_id long, question string, kind string")
+    chunks = spark.createDataFrame([(i, t, "even" if i % 2 == 0 else "odd") for i, t in docs], "id long, text string, kind string")
+    sizes = {i: (t or "").split() for i, t in docs}
+    avg = sum(map(len, sizes.values())) / len(sizes)
+    seen = {w: sum(w in t for t in sizes.values()) for t in sizes.values() for w in t}
+    idf = {w: (lambda x: x if x > 0 else 1e-6)(math.log((len(docs) - n + 0.5) / (n + 0.5))) for w, n in seen.items()}
+    for equal in ((), ("kind",)):
+        want = set()
+        for q in range(60):
+            terms = ["common", f"w{q % 11}", f"v{q % 7}"]
+            pool = [i for i in sizes if any(t in sizes[i] for t in terms) and (not equal or q % 2 == 0 or i % 2 == 0)]
+            score = lambda i: round(sum(idf[t] * (c := sizes[i].count(t)) * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(sizes[i]) / avg)) for t in terms), 6)
+            want |= {(q, i, r) for r, (_, i) in enumerate(sorted((-score(i), i) for i in pool)[:20])}
+        out = R.bm25_top_k(qs, chunks, 20, equal)
+        assert {(r["question_id"], r["id"], r["rank"]) for r in out.collect()} == want
+        assert "MapInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
