@@ -13,7 +13,7 @@ from ..functions import extract as E
 from ..functions import text as X
 from ..sources.tables import checkpointed, questions, table
 from .ranking import _list, identifier_query, last_mile, query_intent
-from .retrieval import _ALL, _BM25, _DENSE, _FUSED, _Q, _lexical, _pages, _vectors, ambiguous, coverage, dense_top_k, every_term_sql, first_per, fuse_hybrid, fuse_pools, golden_metrics, parts_sql, rank_within, vector_only_rerank
+from .retrieval import _ALL, _BM25, _DENSE, _FUSED, _Q, _fused, _lexical, _pages, _vectors, ambiguous, broadcast_if_small, coverage, dense_top_k, every_term_sql, first_per, fuse_hybrid, fuse_pools, golden_metrics, parts_sql, rank_within, vector_only_rerank
 
 SITE = "https://docs.example.org/"
 
@@ -214,8 +214,7 @@ def _asked(spark, d):
 
 
 def _pool(spark, d, qs=None):
-    qs = questions(spark, d) if qs is None else qs
-    return fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), _lexical(qs, spark, d))
+    return _fused(spark, d, qs)
 
 
 def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -249,10 +248,13 @@ def retrieve_full(spark: SparkSession, d: str) -> DataFrame:
 def _siblings(spark, d, direct):
     """The chunks of the hit pages by similarity, and whether one of the question's terms is in them."""
     qs = questions(spark, d).select("question_id", "qvec", X.expansion_terms(F.col("question")).alias("terms"))
-    top = direct.select("question_id", "page").distinct()
-    met = top.join(_meta(spark, d).select("id", "page"), "page").join(_vectors(spark, d), "id").join(qs, "question_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), "id")
+    top = direct.select("question_id", "page").distinct().join(qs.select("question_id", "terms"), "question_id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 50).cast("string")).alias("page"))
+    # The pages go to the texts, and only ids leave them; these go to the vectors.
+    found = docs.join(broadcast_if_small(top), "page").select("question_id", "id", "page", F.exists("terms", lambda t: F.contains(F.lower("text"), t)).alias("matches"))
+    met = _vectors(spark, d).join(broadcast_if_small(checkpointed(found)), "id").join(qs.select("question_id", "qvec"), "question_id")
     dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = met.select("question_id", "id", "page", F.round(dot, 6).alias("dot"), F.exists("terms", lambda t: F.contains("text", t)).alias("matches"))
+    scored = met.select("question_id", "id", "page", F.round(dot, 6).alias("dot"), "matches")
     return scored.withColumn("sib_rank", F.row_number().over(W.partitionBy("question_id", "page").orderBy(F.desc("dot"), "id")) - 1)
 
 
@@ -260,7 +262,7 @@ def context_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Direct hits of questions, expanded and put in reading order; odd questions keep the hits of their best page alone."""
     direct = retrieve(_asked(spark, d), _pool(spark, d), _meta(spark, d)).filter((F.col("question_id") % 2 == 0) | (F.col("rank") == 0)).select("question_id", "id", "page", "rank", "score")
     direct = checkpointed(direct)  # read by several steps: anchors, siblings, what is there already
-    full = expand(direct, _siblings(spark, d, direct)).join(_meta(spark, d).select("id", "chunk_index"), "id")
+    full = expand(direct, _siblings(spark, d, direct)).withColumn("chunk_index", F.col("id") % 50)
     return context_order(full).select("question_id", "id", "page", "direct", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 

@@ -306,9 +306,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("question_id", "id", F.round("lexical", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _fused(spark, d):
+def _fused(spark, d, qs=None):
     """The fused candidates, a bounded pool for each question, kept so that what follows may use them often and search once."""
-    qs = questions(spark, d)
+    qs = questions(spark, d) if qs is None else qs
     return checkpointed(fuse_hybrid(dense_top_k(qs, _vectors(spark, d)), _lexical(qs, spark, d)))
 
 
@@ -319,7 +319,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
 def _pages(df: DataFrame, spark, d) -> DataFrame:
     """Pages are the sources' sections of 50 documents."""
     meta = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", F.floor(F.col("doc_id") / 50).cast("string")).alias("page"))
-    return df.join(meta, "id")
+    return meta.join(broadcast_if_small(df), "id")
 
 
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:

@@ -279,3 +279,22 @@ def test_bm25_moves_postings_once(spark):
         out = R.bm25_top_k(qs, chunks, 20, equal)
         assert {(r["question_id"], r["id"], r["rank"]) for r in out.collect()} == want
         assert "MapInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_go_to_the_scan_of_chunks_and_a_fused_pool_is_searched_once(spark):
+    from lodestone.operators import answering, retrieval
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = "/root/testdata/sf0.001"
+        pool = answering._pool(spark, d)
+        assert "MapInPandas" not in plan(pool)  # else each use scans all vectors again
+        hits = retrieval.vector_only_rerank(pool).select("question_id", "id", "rank", "score")
+        assert "SortMergeJoin" not in plan(answering._meta(spark, d).join(retrieval.broadcast_if_small(hits), "id"))
+        assert "SortMergeJoin" not in plan(retrieval._pages(hits, spark, d))
+        met = plan(answering._siblings(spark, d, retrieval._pages(hits, spark, d)))
+        assert "documents.parquet" not in met  # texts stay in their scan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
