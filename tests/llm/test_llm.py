@@ -540,6 +540,20 @@ def test_mix_documents(spark, docs, empty):
     assert curriculum_mix.mix_documents(empty).count() == 0
 
 
+def test_mixed_texts_move_once_and_stand_in_order(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.randint(0, 9)), r.choice(["a", "b", "c", None])) for i in range(400)] + [(7, "x y z", "a")] * 90 + [(None, "u v", None)] * 50 + [(None, "v u", None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = curriculum_mix.plan_mix(docs.select("doc_id", "source", curriculum_mix.word_count(F.col("text")).alias("size"))).collect()
+    place = sorted((t, -1 if p["doc_id"] is None else p["doc_id"]) for p in plan for t in p["positions"])
+    for words in (20, 300, 10**9):
+        out = curriculum_mix.mix_documents(docs, part_words=words)
+        steps = out._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"(?<!Broadcast)Exchange ", steps)) == 1 and "SortMergeJoin" not in steps
+        assert [-1 if x["doc_id"] is None else x["doc_id"] for x in out.collect()] == [i for _, i in place]
+    assert out.filter("doc_id is null").select("text").distinct().count() == 2
+
+
 # --- Jaccard join --------------------------------------------------------------------------------------------------
 
 
