@@ -23,6 +23,16 @@ from ..sources.tables import checkpointed, table
 CHUNK, MERGE, OVERLAP = 4096, 500, 2
 TOKEN = re.compile(r"\\.|//|/\*|\*/|\$\{|[`'\"(){}\[\]\n/]|[A-Za-z0-9_$]+|[^\S\n]+|.", re.S)
 PAIRS = {")": "(", "]": "[", "}": "{"}
+#: What goes on within a comment, a template and a string up to their next mark or line, token by token as TOKEN cuts it.
+INSIDE = {
+    "//": re.compile(r"[^\\\n]*+(?:\\[^\n][^\\\n]*+)*+"),
+    "/*": re.compile(r"(?:[^\\\n*/]++|\*(?!/)|/[/*]?|\\[^\n])*+"),
+    "`": re.compile(r"(?:[A-Za-z0-9_][A-Za-z0-9_$]*+|\$(?!\{)[A-Za-z0-9_$]*+|[^\\\n`$A-Za-z0-9_]++|\\[^\n])*+"),
+    "'": re.compile(r"[^\\\n']*+(?:\\[^\n][^\\\n']*+)*+"),
+    '"': re.compile(r'[^\\\n"]*+(?:\\[^\n][^\\\n"]*+)*+'),
+}
+#: Lines that a task gathers before it gives them on.
+HELD_LINES = 20_000
 #: Words after which a slash begins a regex.
 BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield", "instanceof"}
 HIDDEN = str.maketrans("\"'`; \t{}()", "\x03" * 10)
@@ -32,8 +42,16 @@ def lex(text: str) -> list[tuple[int, str, bool]]:
     """(depth, code, comment) of each line: brackets open at its start, -1 within a literal or comment; strings stay as one word in double quotes."""
     stack: list[str] = []
     out, code, depth, comment, operand = [], [], 0, False, False
-    for m in TOKEN.finditer(text + "\n"):
-        t, top = m[0], stack[-1] if stack else ""
+    text += "\n"
+    at = 0
+    while at < len(text):
+        top = stack[-1] if stack else ""
+        if (inside := INSIDE.get(top)) and (end := inside.match(text, at).end()) > at:
+            if top in ("'", '"'):
+                code.append(text[at:end].translate(HIDDEN))
+            at = end
+        t = TOKEN.match(text, at)[0]
+        at += len(t)
         if t == "\n" or t == "\\\n":
             if t == "\n":
                 while stack and stack[-1] in ("'", '"', "//", "/", "[/"):
@@ -99,6 +117,34 @@ def code_lines(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(read, f"file {kind}, line int, text string, depth int, code string, comment boolean")
 
 
+def code_statements(files: DataFrame) -> DataFrame:
+    """file, text -> file, line, depth, code, above of the lines that have code; above: the line before the comments right above it.
+
+    The lines of a file are read in one place, so only those that ``units`` keeps leave the task, without their texts.
+    """
+    kind = files.schema["file"].dataType.simpleString()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        framed = lambda: pd.DataFrame(rows, columns=["file", "line", "depth", "code", "above"])
+        for batch in batches:
+            for file, text in zip(batch["file"], batch["text"]):
+                above = 0
+                for line, (depth, code, comment) in enumerate(lex(text) if isinstance(text, str) else (), 1):
+                    if code.strip(" "):
+                        rows.append((file, line, depth, code, above))
+                        above = line
+                    elif not comment:
+                        above = line
+                if len(rows) >= HELD_LINES:
+                    yield framed()
+                    rows.clear()
+        if rows:
+            yield framed()
+
+    return files.select("file", "text").mapInPandas(read, f"file {kind}, line int, depth int, code string, above int")
+
+
 MODIFIERS = r"(?:(?:declare|abstract|async|public|private|protected|static|readonly|override|get|set|export|default)\s+)*"
 DECLARES = rf"^\s*{MODIFIERS}(function|class|interface|type|enum|const|let|var|namespace|module)\b\s*\*?\s*([A-Za-z_$][\w$]*)?"
 #: A line that goes on with the statement before it, and an end after which a statement goes on.
@@ -106,11 +152,14 @@ GOES_ON, OPEN_END = r"^\s*(?:[.?:+*/=,)\]}&|<>%^]|=>|-[^-]|in\b|instanceof\b|els
 
 
 def units(lines: DataFrame, level: int, by: list[str]) -> DataFrame:
-    """The statements that start at a depth: by, start, end, kind, name, exported, code. ``by`` keeps the bodies of classes apart."""
+    """The statements that start at a depth: by, start, end, kind, name, exported, code. ``by`` keeps the bodies of classes apart.
+
+    lines: of ``code_lines``, or of ``code_statements``, which know what is above them.
+    """
     order = W.partitionBy(*by).orderBy("line")
     bare = F.trim("code")
     blank_or_note = (bare == "") & F.col("comment")
-    body = lines.withColumn("above", F.coalesce(F.max(F.when(~blank_or_note, F.col("line"))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.min("line").over(order) - 1)).filter(bare != "")
+    body = lines if "above" in lines.columns else lines.withColumn("above", F.coalesce(F.max(F.when(~blank_or_note, F.col("line"))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.min("line").over(order) - 1)).filter(bare != "")
     before = F.lag("code").over(order)
     keyword = F.regexp_like("code", F.lit(r"^\s*(?:import|export|function|class|interface|type|enum|const|let|var|namespace|abstract|declare|async)\b(?!\s*[.(=:?,)])"))
     goes_on = F.regexp_like("code", F.lit(GOES_ON)) | (F.regexp_like(F.coalesce(before, F.lit("")), F.lit(OPEN_END)) & ~keyword)
@@ -217,14 +266,14 @@ def _running(xs: Column) -> Column:
 
 def module_edges(files: DataFrame) -> DataFrame:
     """file, text -> file, module: the distinct modules that a file imports or exports from, outside strings and comments."""
-    found = units(code_lines(files), 0, ["file"]).filter("kind in ('import', 'reexport')")
+    found = units(code_statements(files), 0, ["file"]).filter("kind in ('import', 'reexport')")
     name = F.regexp_extract("code", r"(?s)(?:\bfrom|^\s*import)\s*\"([^\"\s]+)\"", 1)
     return found.select("file", name.alias("module")).filter("module <> ''").distinct()
 
 
 def exported_symbols(files: DataFrame) -> DataFrame:
     """file, text -> file, name, kind, line of the declarations that a file exports."""
-    found = units(code_lines(files), 0, ["file"]).filter("exported and kind not in ('reexport', 'region') and name <> ''")
+    found = units(code_statements(files), 0, ["file"]).filter("exported and kind not in ('reexport', 'region') and name <> ''")
     return found.select("file", "name", "kind", F.col("start").alias("line"))
 
 
@@ -233,8 +282,8 @@ def exported_symbols(files: DataFrame) -> DataFrame:
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
     """Source files with the whole texts of the documents in comments, templates and strings, between imports and exports of their first words."""
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
+    # The words are reached from the start of a text, which is not taken apart for them.
+    word = lambda i: F.coalesce(F.nullif(F.regexp_extract("text", rf"^(?:[^A-Za-z]*+[A-Za-z]++){{{i}}}[^A-Za-z]*+([A-Za-z]++)", 1), F.lit("")), F.lit("x"))
     plain = F.translate(F.coalesce("text", F.lit("")), "`$\\*'", "     ")
     parts = ["import { a } from './", word(0), "';\n/* export const hidden = 1;\n", plain, " */\nimport \"side\";\nconst t = `export * from \"t\"\n", plain, "${ f({ a: '}' }) }`;\nexport async function f", word(1), "() {\n  // ", F.replace(plain, F.lit("\n"), F.lit("\n  // ")),
              "\n  return 'import \"no\" from \\'no\\'';\n}\n  export * from \"./", word(0), "\"\nexport const v", word(2), " = /[/'`]/g;\n"]

@@ -92,3 +92,13 @@ def test_lexer_depths():
 
 def test_empty(spark, files):
     assert code.code_chunks(files.limit(0)).count() == 0 and code.module_edges(files.limit(0)).count() == 0
+
+
+def test_statements_of_a_task_equal_those_of_all_lines(spark):
+    rng = random.Random(11)
+    bits = ["\\", "`", "'", '"', "(", ")", "{", "}", "\n", "\n", "//", "/*", "*/", "/", "${", "$", " ", "\t", "a1", "import x from 'y';\n", "export const b = 1;\n", "\\\n"]
+    files = spark.createDataFrame([(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for i in range(200)], "file long, text string")
+    found = code.code_statements(files).persist()
+    assert "text" not in found.columns and found.filter("trim(code) = ''").isEmpty()
+    rows = lambda lines: sorted(map(tuple, code.units(lines, 0, ["file"]).collect()))
+    assert rows(found) == rows(code.code_lines(files))
