@@ -195,15 +195,21 @@ def find_examples(lists: DataFrame, k: int = C.FINAL_TOP_K) -> DataFrame:
 # --- queries over the tables ---------------------------------------------------------------------------------------
 
 
-def _meta(spark, d):
-    """Documents as chunks of pages of 50, with a path, a symbol and a kind made of their first words."""
+def _meta(spark, d, pool=None):
+    """Documents as chunks of pages of 50, with a path, a symbol and a kind made of their first words.
+
+    With ``pool`` those with its ids alone, made from their texts in one scan and kept, as every step of a retrieval brings them.
+    """
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
     i = F.col("doc_id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("source", "docs", "test", "example", "config")]), (i % 5 + 1).cast("int"))
     path = F.when(i % 3 != 0, F.concat(F.lit("packages/"), "source", F.lit("/v"), (i % 4 + 1).cast("string"), F.lit("/src/"), F.coalesce(F.get(w, F.lit(0)), F.lit("x")), F.lit(".ts")))
     page = F.concat_ws("/", "source", F.floor(i / 50).cast("string"))
     docs = table(spark, d, "documents")
-    return docs.select(i.alias("id"), page.alias("page"), F.concat(F.lit(SITE), page).alias("url"), (i % 50).alias("chunk_index"), path.alias("path"), F.when(i % 2 == 0, F.get(w, F.lit(1))).alias("symbol"), kind.alias("kind"), F.md5(X.near_duplicate_key(page, F.coalesce("text", F.lit("")))).alias("fingerprint"))
+    if pool is not None:
+        docs = docs.join(broadcast_if_small(pool.select(F.col("id").alias("doc_id")).distinct()), "doc_id")
+    made = docs.select(i.alias("id"), page.alias("page"), F.concat(F.lit(SITE), page).alias("url"), (i % 50).alias("chunk_index"), path.alias("path"), F.when(i % 2 == 0, F.get(w, F.lit(1))).alias("symbol"), kind.alias("kind"), F.md5(X.near_duplicate_key(page, F.coalesce("text", F.lit("")))).alias("fingerprint"))
+    return made if pool is None else broadcast_if_small(checkpointed(made))
 
 
 def _asked(spark, d):
@@ -234,14 +240,16 @@ def crawl_root_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def last_mile_rank(spark: SparkSession, d: str) -> DataFrame:
-    hits = vector_only_rerank(_pool(spark, d)).select("question_id", "id", "rank", "score").join(_meta(spark, d), "id").join(_asked(spark, d).select("question_id", "terms", "intent", "identifier"), "question_id")
+    pool = _pool(spark, d)
+    hits = vector_only_rerank(pool).select("question_id", "id", "rank", "score").join(_meta(spark, d, pool), "id").join(_asked(spark, d).select("question_id", "terms", "intent", "identifier"), "question_id")
     hits = rank_within(hits.withColumnRenamed("rank", "_r"), [F.asc("_r")])
     return last_mile(hits).select("question_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def retrieve_full(spark: SparkSession, d: str) -> DataFrame:
     """The whole path to direct hits, with a high threshold so that some questions fall back to weak evidence."""
-    out = retrieve(_asked(spark, d), _pool(spark, d), _meta(spark, d), threshold=0.9)
+    pool = _pool(spark, d)
+    out = retrieve(_asked(spark, d), pool, _meta(spark, d, pool), threshold=0.9)
     return out.select("question_id", "id", "page", "tier", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -260,7 +268,8 @@ def _siblings(spark, d, direct):
 
 def context_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Direct hits of questions, expanded and put in reading order; odd questions keep the hits of their best page alone."""
-    direct = retrieve(_asked(spark, d), _pool(spark, d), _meta(spark, d)).filter((F.col("question_id") % 2 == 0) | (F.col("rank") == 0)).select("question_id", "id", "page", "rank", "score")
+    pool = _pool(spark, d)
+    direct = retrieve(_asked(spark, d), pool, _meta(spark, d, pool)).filter((F.col("question_id") % 2 == 0) | (F.col("rank") == 0)).select("question_id", "id", "page", "rank", "score")
     direct = checkpointed(direct)  # read by several steps: anchors, siblings, what is there already
     full = expand(direct, _siblings(spark, d, direct)).withColumn("chunk_index", F.col("id") % 50)
     return context_order(full).select("question_id", "id", "page", "direct", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
@@ -279,7 +288,7 @@ def retrieve_many(spark: SparkSession, d: str) -> DataFrame:
     qs = questions(spark, d)
     first, second = _pool(spark, d, qs), _pool(spark, d, _variant(qs))
     both = fuse_pools(first.withColumn("pool", F.lit(0)).unionByName(second.withColumn("pool", F.lit(1))))
-    asked, meta = _asked(spark, d), _meta(spark, d)
+    asked, meta = _asked(spark, d), _meta(spark, d, both)
     lists = retrieve(asked, both, meta, 0.8, weak=False).withColumn("list_no", F.lit(0)).unionByName(retrieve(asked, first, meta, 0.8, weak=False).withColumn("list_no", F.lit(1)))
     merged = fuse_ranked_lists(lists.select("question_id", "list_no", "rank", "id", "score", "page"), ["page"])
     return merged.select("question_id", "id", "page", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

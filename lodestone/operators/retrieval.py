@@ -96,13 +96,18 @@ def asked_terms(qs: DataFrame, equal: tuple[str, ...] = ()) -> DataFrame:
     return qs.select("question_id", *[F.col(c).alias(f"_q_{c}") for c in equal], F.explode(query_terms(F.col("question"))).alias("term"))
 
 
-def term_weights(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, len, terms: array<struct<term, w>> of each chunk; a term in the heading counts HEADING_WEIGHT times."""
+def chunk_terms(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, len, and the terms of each chunk in order, those of its heading and those of its text: head, body."""
     none = F.expr("cast(array() as array<string>)")
     heading = F.coalesce(index_terms(F.col("heading")), none) if "heading" in chunks.columns else none
     tokens = chunks.select("id", *carry, F.coalesce(index_terms(F.col("text")), none).alias("body"), heading.alias("head"))
+    return tokens.select("id", *carry, (F.size("body") + F.size("head")).alias("len"), "head", "body")
+
+
+def term_weights(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, len, terms: array<struct<term, w>> of each chunk; a term in the heading counts HEADING_WEIGHT times."""
     once = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-    return tokens.select("id", *carry, (F.size("body") + F.size("head")).alias("len"), F.concat(once("head", C.HEADING_WEIGHT), once("body", 1)).alias("terms"))
+    return chunk_terms(chunks, carry).select("id", *carry, "len", F.concat(once("head", C.HEADING_WEIGHT), once("body", 1)).alias("terms"))
 
 
 def bm25_ranked(postings: DataFrame, asked: DataFrame, stats: DataFrame, k: int, equal: tuple[str, ...] = ()) -> DataFrame:

@@ -39,3 +39,27 @@ def test_a_term_of_two_needs_and_no_question(spark, tmp_path):
     wanted = spark.createDataFrame([(1, 0, "a"), (1, 1, "a")], "question_id long, need int, term string")
     assert V.cover_density(store, wanted).collect() == []
     assert V.cover_density(store, wanted.limit(0)).collect() == []
+
+
+def test_postings_of_chunks_and_of_slices_of_them(spark, tmp_path, monkeypatch):
+    from lodestone.operators import lexical_index as L
+
+    rng = random.Random(8)
+    docs = [(i, "s", [rng.choice("abc") for _ in range(rng.randint(0, 2))], [rng.choice(["a", "b", "ñandú", "Ǆx", "x1", "٣"]) for _ in range(rng.randint(0, 9))]) for i in range(40)]
+    rows = [(i, s, " ".join(h) or None, "-".join(b) or None) for i, s, h, b in docs]
+    chunks = spark.createDataFrame(rows, "id long, source string, heading string, text string").repartition(2)
+    want = []
+    for i, s, h, b in docs:
+        words = [w.lower() for w in h + b]
+        want.append((i, s, len(words), "", 0, [len(words)], 0))
+        for w in set(words):
+            places = [p for p, x in enumerate(words) if x == w]
+            heads = sum(p < len(h) for p in places)
+            want.append((i, s, len(words), w, len(places) + 4 * heads, places, heads))
+    for tokens in (L.TOKENS, 1, 20):
+        monkeypatch.setattr(L, "TOKENS", tokens)
+        store = Store(spark, str(tmp_path / f"index{tokens}"))
+        store.commit(index_changes(store, chunks, carry=("source",), positions=True))
+        got = store.table("postings").select("id", "source", "len", "term", "tf", "places", "heads")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "MapInArrow" in index_changes(store, chunks)["postings"].rows._jdf.queryExecution().optimizedPlan().toString()

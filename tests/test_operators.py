@@ -298,3 +298,14 @@ def test_hits_go_to_the_scan_of_chunks_and_a_fused_pool_is_searched_once(spark):
         assert "documents.parquet" not in met  # texts stay in their scan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_retrieval_makes_the_metadata_of_its_pool_once(spark):
+    from lodestone.operators import answering
+
+    d = "/root/testdata/sf0.001"
+    assert "documents.parquet" not in answering.retrieve_full(spark, d)._jdf.queryExecution().executedPlan().toString()  # else each step reads all texts again
+    pool = answering._pool(spark, d).filter("rank < 3")
+    every = {r["id"]: r for r in answering._meta(spark, d).collect()}
+    want = [every[i] for i in {r["id"] for r in pool.collect()} if i in every]
+    assert want and sorted(answering._meta(spark, d, pool).collect()) == sorted(want)
