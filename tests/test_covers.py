@@ -63,3 +63,37 @@ def test_postings_of_chunks_and_of_slices_of_them(spark, tmp_path, monkeypatch):
         got = store.table("postings").select("id", "source", "len", "term", "tf", "places", "heads")
         assert sorted(map(tuple, got.collect())) == sorted(want)
         assert "MapInArrow" in index_changes(store, chunks)["postings"].rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_and_documents_in_pieces_give_what_all_at_once_give(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    docs = [(i, "b" if i % 3 == 0 else "", [rng.choice("abcdexyz") for _ in range(rng.randint(0, 30))]) for i in range(50)]
+    store = Store(spark, str(tmp_path / "index"))
+    store.commit(index_changes(store, spark.createDataFrame([(f"d{i:02}", h, " ".join(b)) for i, h, b in docs], "id string, heading string, text string"), positions=True))
+    asked = {f"q{q}": rng.sample("abcde", 4) for q in range(9)}
+    for few in (1, 2):  # needs of a question
+        needs = {q: ["".join(ts[n::few]) for n in range(few)] for q, ts in asked.items()}
+        wanted = spark.createDataFrame([(q, n, t) for q, ns in needs.items() for n, ts in enumerate(ns) for t in ts], "question_id string, need int, term string")
+        want = []
+        for q, ns in needs.items():
+            each = [(f"d{i:02}", *brute(h.split() + b, len(h.split()), ns)) for i, h, b in docs]
+            if few == 1:  # every place counts its own weight
+                each = [(f"d{i:02}", sum(w in ns[0] for w in h.split() + b), round(sum((V.HEAD_WEIGHT if p < len(h.split()) else V.BODY_WEIGHT) for p, w in enumerate(h.split() + b) if w in ns[0]), 6)) for i, h, b in docs]
+            ranked = sorted((-density, i, n) for i, n, density in each if n)[:5]
+            want += [(q, i, n, -density, r) for r, (density, i, n) in enumerate(ranked)]
+        for cells, block in ((V.CELLS, V.QUESTION_BLOCK), (60, 4), (1, 4)):
+            monkeypatch.setattr(V, "CELLS", cells)
+            monkeypatch.setattr(V, "QUESTION_BLOCK", block)
+            out = V.cover_density(store, wanted, 5)
+            assert sorted(map(tuple, out.collect())) == sorted(want)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan  # no place is a row
+        monkeypatch.undo()
+
+
+def test_rounding_is_that_of_spark(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    xs = [0.0015625, 0.4 / 256, 1.0000005, 2.5 / 3, 0.1 + 0.2, 1234.5678915, 0.0, 7.0000025]
+    assert V.rounded(np.array(xs)).tolist() == [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(F.round("x", 6)).collect()]
