@@ -161,62 +161,70 @@ def disclosures(docs: DataFrame, detected: DataFrame, threshold: float = GENERAL
     # words are out before the words of the corpus are counted.
     possible = df_pair.join(df_near, "term").filter(bits("df_near") <= threshold).join(df_entity, "entity")
     possible = written(possible, "pii-pairs")
-    df_term = count_terms(docs, copies.filter("copies > 1"), slots(possible))
+    df_term = count_terms(docs, copies.filter("copies > 1"), slots(possible, "term"))
     ic = F.log2(d / F.col("df_entity"))
-    judged = possible.join(df_term, "term").withColumn("bits", bits("df_term")).filter(F.col("bits") <= threshold)
+    judged = possible.hint("merge").join(df_term, "term").withColumn("bits", bits("df_term")).filter(F.col("bits") <= threshold)
     return judged.withColumn("ic", ic).withColumn("pmi", F.col("ic") - F.col("bits"))
 
 
-def slots(terms: DataFrame) -> bytes:
-    """One bit per slot of a hash, 1 where a term falls: words outside are none of the terms, whatever their number.
+def slots(keys: DataFrame, column: str) -> bytes:
+    """One bit per slot of a hash, 1 where a value of the column falls: others are none of the values, whatever their number.
 
-    The slots leave the tasks as words of 64 bits, in at most SLOTS / 64 rows, and are 8 MB.
+    The slots leave the tasks as words of 64 bits, in at most SLOTS / 64 rows, and are 8 MB. The driver gets them as Arrow
+    batches of 12 bytes a row: as Python rows they would take it some hundreds of MB.
     """
-    slot = terms.select((F.crc32(F.col("term").cast("binary")) % SLOTS).alias("slot"))
+    slot = keys.select((F.crc32(F.col(column).cast("binary")) % SLOTS).alias("slot"))
     bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    cells = slot.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("cell")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    cells = slot.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(SLOTS // 64, dtype="<i8")
-    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
     return out.tobytes()
 
 
+def in_slots(value: str, held: bytes) -> bool:
+    slot = crc32(value.encode()) % SLOTS
+    return bool(held[slot >> 3] >> (slot & 7) & 1)
+
+
 def words_in(text: str, held: bytes) -> list[str]:
     """The different words of a text that fall into the slots."""
-    found = []
-    for w in {w.lower() for w in set(_WORD.findall(text))}:
-        slot = crc32(w.encode()) % SLOTS
-        if held[slot >> 3] >> (slot & 7) & 1:
-            found.append(w)
-    return found
+    return [w for w in {w.lower() for w in set(_WORD.findall(text))} if in_slots(w, held)]
 
 
 def count_terms(docs: DataFrame, copied: DataFrame, held: bytes) -> DataFrame:
-    """term, df_term: the number of different texts with a word, for the words that fall into the slots."""
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    """term, df_term: the number of different texts with a word, for the words that fall into the slots.
+
+    Words of texts that may have copies, by the slots of their keys, leave the task with their text's key and count once for
+    it, so that no text is shuffled, however many have copies.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((held, slots(copied, "text_key")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter[str] = Counter()
+        n: Counter[tuple[str, str | None]] = Counter()
+        terms, copies = shared.value
 
         def counted() -> pd.DataFrame:
-            return pd.DataFrame({"term": pd.Series(list(n.keys()), dtype=object), "n": pd.Series(list(n.values()), dtype=float)})
+            columns = zip(*n) if n else ([], [])
+            return pd.DataFrame({c: pd.Series(list(x), dtype=object) for c, x in zip(("term", "text_key"), columns)} | {"n": pd.Series(list(n.values()), dtype="int64")})
 
         for batch in batches:
-            for text, copies in zip(batch["text"], batch["copies"]):
-                for w in words_in(text, shared.value) if isinstance(text, str) else ():
-                    n[w] += 1 / copies
+            for text, key in zip(batch["text"], batch["text_key"]):
+                if isinstance(text, str):
+                    own = key if in_slots(key, copies) else None
+                    n.update((w, own) for w in words_in(text, terms))
                 if len(n) > 200_000:
                     yield counted()
                     n.clear()
         yield counted()
 
-    # Each of k copies counts 1/k, so that no text is shuffled to be counted once.
-    weighed = join_bounded(docs.select("text", text_key().alias("text_key")), copied, "text_key").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
-    return weighed.mapInPandas(count, "term string, n double").groupBy("term").agg(F.round(F.sum("n"), 6).alias("df_term"))
+    counted = docs.select("text", text_key().alias("text_key")).mapInPandas(count, "term string, text_key string, n long")
+    once = counted.groupBy("term", "text_key").agg(F.when(F.col("text_key").isNull(), F.sum("n")).otherwise(1).alias("n"))
+    return once.groupBy("term").agg(F.sum("n").alias("df_term"))
 
 
 def occurrences(docs: DataFrame, risky: DataFrame) -> DataFrame:
     """row_key, start, end, bits of every place in docs where a risky term stands outside the base spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(slots(risky))
+    shared = docs.sparkSession.sparkContext.broadcast(slots(risky, "term"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,7 +239,7 @@ def occurrences(docs: DataFrame, risky: DataFrame) -> DataFrame:
 
     # The slots drop nearly every other word before the join, which decides.
     words = docs.select(row_key().alias("row_key"), "text").mapInPandas(scan, "row_key string, term string, start int, end int")
-    return join_bounded(words, risky, "term", "inner").select("row_key", "start", "end", "bits")
+    return join_bounded(words, risky, "term", "inner", spread=8).select("row_key", "start", "end", "bits")
 
 
 def find_spans(docs: DataFrame, threshold: float = GENERALISE) -> DataFrame:

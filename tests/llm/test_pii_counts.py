@@ -1,5 +1,9 @@
 """The counts of op4 are those of its spans, whatever kinds a text has and in which order."""
 
+import tracemalloc
+
+from pyspark.sql import functions as F
+
 from lodestone.llm import pii_sanitiser
 
 
@@ -12,3 +16,32 @@ def test_counts_are_of_kinds(spark):
     for r in rows.values():
         kinds = [s.split(":")[0] for s in r["spans"].split(",")]
         assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+
+
+def test_slots_take_little_of_the_driver(spark):
+    """A million words of slots came to the driver as Python rows, some 300 bytes each."""
+    n = 300_000
+    terms = spark.range(n).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
+    tracemalloc.start()
+    try:
+        held = pii_sanitiser.slots(terms, "term")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6
+    assert len(held) == pii_sanitiser.SLOTS // 8 and all(pii_sanitiser.in_slots(f"w{i}", held) for i in range(0, n, 7))
+    assert sum(pii_sanitiser.in_slots(f"v{i}", held) for i in range(10_000)) < 200
+    assert pii_sanitiser.slots(terms.limit(0), "term") == bytes(len(held))
+
+
+def test_copies_count_once(spark):
+    """Beyond what may be broadcast, all texts were shuffled to count copies once."""
+    texts = ["alpha beta"] * 5 + ["alpha gamma", "alpha beta gamma", None, "", "", "delta"] + [f"mail me {i} a@b.co" for i in range(3)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.groupBy(pii_sanitiser.text_key().alias("text_key")).agg(F.count("*").alias("copies"))
+    words = spark.createDataFrame([(w,) for w in ("alpha", "beta", "gamma", "mail", "none")], "term string")
+    counted = pii_sanitiser.count_terms(docs, keyed.filter("copies > 1"), pii_sanitiser.slots(words, "term"))
+    assert {(r["term"], r["df_term"]) for r in counted.collect()} >= {("alpha", 3), ("beta", 2), ("gamma", 2), ("mail", 3)}
+    assert {r["term"] for r in counted.collect()} == {"alpha", "beta", "gamma", "mail"}
+    moved = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in moved
