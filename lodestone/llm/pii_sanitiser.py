@@ -258,12 +258,19 @@ def find_spans(docs: DataFrame, threshold: float = GENERALISE) -> DataFrame:
 def sanitise(docs: DataFrame, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with their texts sanitised: base spans become labels, terms are generalised to their shape or removed.
 
-    Spans are joined by row key, one row for identical rows; where few documents have any, no text is shuffled.
+    Spans are joined by row key, one row for identical rows. Only texts whose keys fall into the slots of those with spans
+    are shuffled and rewritten; the others are passed on as they are.
     """
     spans = find_spans(docs, threshold).filter(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("spans"))
     spans = written(spans, "pii-spans")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key().alias("row_key"))  # no name can clash
-    joined = join_bounded(whole, spans, "row_key", spread=1)
+    shared = docs.sparkSession.sparkContext.broadcast(slots(spans, "row_key"))
+
+    @F.pandas_udf("boolean")
+    def may_have(keys: pd.Series) -> pd.Series:
+        return pd.Series([in_slots(k, shared.value) for k in keys], dtype=bool)
+
+    joined = whole.filter(may_have("row_key")).join(spans.hint("merge"), "row_key", "left")
 
     def rewrite(text: str | None, spans) -> str | None:
         if text is None or spans is None:
@@ -287,7 +294,8 @@ def sanitise(docs: DataFrame, threshold: float = GENERALISE, remove: float = REM
         return pd.Series([rewrite(t if isinstance(t, str) else None, s) for t, s in zip(texts, spans)], dtype=object)
 
     new = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(apply("row.text", "spans"))
-    return joined.select(*[(new if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    rewritten = joined.select(*[(new if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return rewritten.union(whole.filter(~may_have("row_key")).select("row.*"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,15 @@ def test_copies_count_once(spark):
     assert {r["term"] for r in counted.collect()} == {"alpha", "beta", "gamma", "mail"}
     moved = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in moved
+
+
+def test_only_texts_with_spans_move(spark):
+    """Spans were broadcast up to 64 MB, and beyond that all texts were shuffled to meet them."""
+    texts = ["alpha beta"] * 5 + ["alpha gamma", "alpha beta gamma", None, "", "", "delta"] + [f"mail me {i} a@b.co" for i in range(3)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii_sanitiser.sanitise(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "may_have" in plan
+    got = dict(out.select("doc_id", "text").collect())
+    assert len(got) == out.count() == len(texts)
+    assert [got[i] for i in range(11)] == texts[:11] and all("[EMAIL]" in got[i] and "@" not in got[i] for i in range(11, 17))
